@@ -10,6 +10,7 @@ from functools import partial
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _own: list[str] = []
 
@@ -47,6 +48,11 @@ def _call(fn, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return fn(batches, TaskContext.get().partitionId())
 
 
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
+def with_fields(schema: StructType, **fields: str) -> StructType:
+    """The schema with nullable fields added."""
+    return StructType([*schema.fields, *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in fields.items())).fields])
+
+
+def map_batches(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     """mapInArrow with a function of the batches and the partition's number."""
     return df.mapInArrow(partial(_call, fn), schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_batches
+from .shared import map_batches, with_fields
 from .tokens import encoder, text_blocks
 
 GROUP = ["source", "lang", "tokenizer_version"]
@@ -38,7 +38,7 @@ def _count(batches: Iterator[pa.RecordBatch], task: int, path: str) -> Iterator[
 def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
     """The documents without their text, with ``n_tokens`` (null text: 0)."""
     docs = docs.drop("n_tokens")
-    return map_batches(docs, partial(_count, path=tokenizer), docs.drop("text").schema.add("n_tokens", "long"))
+    return map_batches(docs, partial(_count, path=tokenizer), with_fields(docs.drop("text").schema, n_tokens="long"))
 
 
 class TokenRollup:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches, stored
+from .shared import map_batches, stored, with_fields
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 # odd multipliers, one for each kind of feature and place in it
@@ -151,4 +151,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     texts alone; all columns stay but for one of that name.  Null and empty
     texts get the score of no words; repeated rows are scored each."""
     docs = docs.drop("score")
-    return map_batches(docs, partial(_score, model=docs.sparkSession.sparkContext.broadcast(model)), docs.schema.add("score", "double"))
+    return map_batches(docs, partial(_score, model=docs.sparkSession.sparkContext.broadcast(model)), with_fields(docs.schema, score="double"))

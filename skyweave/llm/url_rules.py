@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches
+from .shared import map_batches, with_fields
 
 _TOKEN = re.compile(r"[^./\-_~%&=+,;:@!$'()*\[\]|]+")
 #: Broadcast with every task; more rules than this are refused.
@@ -98,6 +98,6 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url
     four names are replaced.
     """
     split = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}).drop("rule", "verdict")
-    schema = split.schema.add("rule", "string").add("verdict", "string")
+    schema = with_fields(split.schema, rule="string", verdict="string")
     index = pages.sparkSession.sparkContext.broadcast(RuleIndex(rules, default))
     return map_batches(split, partial(_judge, index=index), schema)
