@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from . import scalars, tracks
+from .base import Query
+
 FLAGSHIP = "fusion_observation_weighted"
+_MODULES = (scalars, tracks)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: q for m in _MODULES for k, q in m.plans.queries.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: q for m in _MODULES for k, q in m.plans.sql.items()}
