@@ -46,7 +46,7 @@ def node_feature(lat0: Column, lon0: Column, alt0: Column) -> Column:
     valid = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("alt").isNotNull()
     place = [F.when(valid, F.round(x, 4) + 0.0).otherwise(0.0) for x in geo.enu(F.col("lat"), F.col("lon"), F.col("alt"), lat0, lon0, alt0)]
     hot = [(F.col("modality") == m).cast("double") for m in MODALITIES]
-    return F.array(*place, F.round(clip(F.col("confidence")), 6) + 0.0, valid.cast("double"), *hot)
+    return F.array(*place, F.round(clip(F.col("confidence")), 9) + 0.0, valid.cast("double"), *hot)
 
 
 def priority_steps(rows: DataFrame, usable: Column, order: tuple[str, ...]) -> DataFrame:

@@ -76,10 +76,12 @@ def fusion_observation_weighted(spark, sf_dir):
     return fused.select("uav_id", "t_us", "n_obs", *((F.round(c, d) + 0.0).alias(c) for c, d in (("lat", 7), ("lon", 7), ("alt", 5))))
 
 
-@plans(f"WITH {OBS_SQL} SELECT {_HOUR} AS hour, count(*) AS n, round(avg(lat), 6) + 0 AS x, round(avg(lon), 6) + 0 AS y, round(avg(alt), 6) + 0 AS z FROM obs WHERE modality <> 'truth' GROUP BY 1")
+@plans(f"""WITH {OBS_SQL} SELECT {_HOUR} AS hour, count(*) AS n, round(avg(radians(lon - 5e0) * cos(radians(45e0)) * 6378137e0), 6) + 0 AS x,
+  round(avg(radians(lat - 45e0) * 6378137e0), 6) + 0 AS y, round(avg(alt - 100e0), 6) + 0 AS z FROM obs WHERE modality <> 'truth' GROUP BY 1""")
 def timestamp_mean_fusion(spark, sf_dir):
-    rows = sensed(spark, sf_dir).withColumn("hour", F.floor(F.col("us") / (3600 * MICROS)))
-    return rows.groupBy("hour").agg(F.count(F.lit(1)).alias("n"), *(r6(F.avg(c)).alias(a) for c, a in (("lat", "x"), ("lon", "y"), ("alt", "z")))).orderBy("hour")
+    east, north, up = geo.enu(F.col("lat"), F.col("lon"), F.col("alt"), F.lit(45.0), F.lit(5.0), F.lit(100.0))
+    rows = sensed(spark, sf_dir).select(F.floor(F.col("us") / (3600 * MICROS)).alias("hour"), east.alias("x"), north.alias("y"), up.alias("z"))
+    return rows.groupBy("hour").agg(F.count(F.lit(1)).alias("n"), *(r6(F.avg(c)).alias(c) for c in "xyz")).orderBy("hour")
 
 
 W_SIZE, W_STRIDE = 20, 5
@@ -163,7 +165,7 @@ def norm_stats(spark, sf_dir):
 
 
 @plans(f"""WITH {CONF_SQL} SELECT event_id, [round(radians(lon - 5e0) * cos(radians(45e0)) * 6378137e0, 4) + 0, round(radians(lat - 45e0) * 6378137e0, 4) + 0, round(alt - 100e0, 4) + 0,
-    round(confidence, 6) + 0, 1e0, (modality = 'gps')::INT::DOUBLE, (modality = 'radar')::INT::DOUBLE, (modality = 'fiveg')::INT::DOUBLE, (modality = 'tdoa')::INT::DOUBLE, (modality = 'acoustic')::INT::DOUBLE] AS feature FROM conf WHERE lat IS NOT NULL""")
+    round(confidence, 9) + 0, 1e0, (modality = 'gps')::INT::DOUBLE, (modality = 'radar')::INT::DOUBLE, (modality = 'fiveg')::INT::DOUBLE, (modality = 'tdoa')::INT::DOUBLE, (modality = 'acoustic')::INT::DOUBLE] AS feature FROM conf WHERE lat IS NOT NULL""")
 def node_features(spark, sf_dir):
     feature = fusion.node_feature(F.lit(45.0), F.lit(5.0), F.lit(100.0))
     return confident(spark, sf_dir).select("event_id", feature.alias("feature"))
