@@ -105,15 +105,15 @@ def spanning_links(values: list[int], radius: int) -> list[tuple[int, int]]:
 
 def _shard_links(batches: Iterator[pa.RecordBatch], task: int, radius: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by shard; a shard may go on in the next batch."""
-    shard, waiting = None, np.zeros(0, np.int64)
+    shard, waiting = None, np.zeros(0, np.uint64)  # unsigned: distances count all 64 bits
 
     def links(groups: list[np.ndarray]) -> pa.RecordBatch:
         found = [x for g in groups for x in spanning_links(g.tolist(), radius)]
-        return pa.record_batch([pa.array(np.array([x[k] for x in found], np.int64)) for k in (0, 1)], names=["a", "b"])
+        return pa.record_batch([pa.array(np.array([x[k] for x in found], np.uint64).view(np.int64)) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
         keys = list(zip(*(batch.column(k).to_pylist() for k in ("part", "key", "part2", "key2")), strict=True))
-        values = batch.column("fp").to_numpy()
+        values = batch.column("fp").to_numpy().view(np.uint64)
         codes = np.array([k != (keys[i - 1] if i else shard) for i, k in enumerate(keys)], bool)
         cuts = np.flatnonzero(codes)
         if not len(cuts):
