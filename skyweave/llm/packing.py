@@ -163,7 +163,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
     per_task = stored(pieces.groupBy("length", "task").count(), "piece-counts")
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
     before = F.sum("count").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    # a row for each task and length grows with the tasks, so it is merged and never broadcast
     offsets = per_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("rank_offset"))
-    ranked = pieces.join(offsets, ["length", "task"]).withColumn("rank", F.col("rank_offset") + F.col("task_rank"))
+    ranked = pieces.join(offsets.hint("merge"), ["length", "task"]).withColumn("rank", F.col("rank_offset") + F.col("task_rank"))
     plan = plan_best_fit(histogram, capacity)
     return map_batches(ranked, partial(_place, plan=plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
