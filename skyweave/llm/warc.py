@@ -15,10 +15,11 @@ put together.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import urllib.parse
-import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -94,7 +95,7 @@ def _records(batches: Iterator[pa.RecordBatch], task: int, chunk_chars: int, arc
                 for number, piece in chunks(text, chunk_chars):
                     raw = piece.encode()
                     so_far.update(raw)
-                    own = _identifier(page_id) if not number else f"<urn:uuid:{uuid.uuid4()}>"
+                    own = _identifier(page_id) if not number else f"{_identifier(page_id)[:-1]}:segment:{number + 1}>"
                     fields = [("WARC-Type", "response" if not number else "continuation"), ("WARC-Record-ID", own), *common]
                     if many:
                         fields += [("WARC-Segment-Number", number + 1), ("WARC-Segment-Origin-ID", _identifier(page_id)), ("WARC-Segment-Total-Length", size), ("X-Digest-So-Far", f"sha1:{base32_sha1(so_far.digest())}")]
@@ -128,25 +129,28 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, chunk_chars: int
     rows = pages.select("page_id", "url", "html")
     rows = rows.join(revisits(pages, min_bytes).withColumnRenamed("page_id", "revisit_id"), F.col("page_id").eqNullSafe(F.col("revisit_id")), "left")
     records = map_batches(rows, partial(_records, chunk_chars=chunk_chars, archive_bytes=archive_bytes), "archive int, row long, value string")
-    records.sortWithinPartitions("archive", "row").drop("row").write.partitionBy("archive").option("lineSep", _END).text(path)
+    records.sortWithinPartitions("archive", "row").drop("row").write.partitionBy("archive").option("lineSep", _END).option("compression", "gzip").text(path)
 
 
-_FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
+def parse_records(archive: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (names in lower case) and block of each record of an
+    unpacked stream, of which one record is held at a time."""
+    while line := archive.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at {line[:40]!r}")
+        fields = {}
+        while (line := archive.readline()).strip():
+            name, _, value = line.decode().partition(":")
+            fields[name.strip().lower()] = value.strip()
+        block = archive.read(int(fields["content-length"]))
+        if archive.read(4) != b"\r\n\r\n":
+            raise ValueError(f"the record {fields.get('warc-record-id')} doesn't end where it should")
+        yield fields, block
 
 
-def parse_records(content: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Header fields (names in lower case) and block of each record."""
-    at = 0
-    data = content.obj
-    while at < len(content):
-        end = data.find(b"\r\n\r\n", at) + 2
-        if end == 1 or data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {k.decode().lower(): v.decode() for k, v in _FIELD.findall(data, data.find(b"\r\n", at) + 2, end)}
-        start = end + 2
-        stop = start + int(fields["content-length"])
-        yield fields, content[start:stop]
-        at = stop + 4
+def _unpacked(content: bytes) -> io.BufferedIOBase:
+    raw = io.BytesIO(content)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch], task: int, with_payload: bool) -> Iterator[pa.RecordBatch]:
@@ -156,7 +160,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], task: int, with_payload: bool
     for batch in batches:
         for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
             rows, held, record, page_id, digest, seen = [], 0, -1, None, hashlib.sha1(), 0
-            for fields, block in parse_records(memoryview(content.as_py())):
+            for fields, block in parse_records(_unpacked(content.as_py())):
                 kind, stated = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
                 total = int(fields["x-payload-length"])
                 if kind != "continuation":
@@ -169,7 +173,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], task: int, with_payload: bool
                 if last and kind != "revisit" and base32_sha1(digest.digest()) != stated:
                     raise ValueError(f"page {page_id} in {name}: the payload isn't that of its digest")
                 kind = "response" if kind == "continuation" else kind
-                rows.append((name.as_py(), record, chunk, page_id, fields["warc-target-uri"], kind, number(fields.get("warc-refers-to")), len(block), total, stated, last, bytes(block) if with_payload else None))
+                rows.append((name.as_py(), record, chunk, page_id, fields["warc-target-uri"], kind, number(fields.get("warc-refers-to")), len(block), total, stated, last, block if with_payload else None))
                 held += len(block) if with_payload else 200
                 if held > 4 << 20:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import re
 from collections import defaultdict
@@ -52,7 +53,7 @@ def test_payloads_come_back_in_bounded_chunks(spark, tmp_path):
 
 def test_files_are_warc(spark, tmp_path):
     warc.write_warc(pages(spark).where("page_id < 3").coalesce(1), f"file://{tmp_path}/f")
-    text = b"".join(p.read_bytes() for p in Path(tmp_path, "f").rglob("part-*"))
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in Path(tmp_path, "f").rglob("part-*"))
     assert text.startswith(b"WARC/1.1\r\nWARC-Type: ") and text.endswith(b"\r\n\r\n")
     assert len(re.findall(rb"^WARC-Target-URI: http://a/%20b%0D%0AX:%201\r$", text, re.M)) == 1
 
