@@ -26,7 +26,8 @@ from .shared import map_batches
 from .tokens import encoder, ids_crc32, text_blocks
 
 BLOCK_SCHEMA = "part int, block int, doc_ids array<long>, counts array<long>, table binary, control binary, data binary"
-_LENGTHS = 1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3)
+_LENGTHS = (1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3)).astype(np.uint8)
+_BYTES = np.arange(4, dtype=np.uint8)
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -35,16 +36,15 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     lengths = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
     codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     codes[: len(values)] = lengths - 1
-    control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    keep = np.arange(4) < lengths[:, None]
-    return control.astype(np.uint8).tobytes(), values.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    control = codes[::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
+    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[_BYTES < lengths[:, None]].tobytes()
 
 
 def decode_values(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The values that encode_values() was given."""
     lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:count]
     out = np.zeros((count, 4), np.uint8)
-    out[np.arange(4) < lengths[:, None]] = np.frombuffer(data, np.uint8)
+    out[_BYTES < lengths[:, None]] = np.frombuffer(data, np.uint8)
     return out.view("<u4").ravel()
 
 
@@ -54,7 +54,7 @@ def encode_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
         return b"", b"", b""
     counts = np.bincount(ids)
     table = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
-    rank = np.zeros(len(counts), np.int64)
+    rank = np.zeros(len(counts), np.uint32)
     rank[table] = np.arange(len(table))
     return (table.astype("<u4").tobytes(), *encode_values(rank[ids]))
 
@@ -79,7 +79,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], task: int, path: str, end_id: int
         return pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["part", "block", "doc_ids", "counts", "table", "control", "data"])
 
     for batch in batches:
-        for low, high in text_blocks(batch.column(1), 2 << 20):
+        for low, high in text_blocks(batch.column(1)):
             ids, bounds = encode(batch.column(1)[low:high])
             parts.append(np.insert(ids, bounds[1:], end_id))
             counts.append(np.diff(bounds) + 1)

@@ -124,13 +124,16 @@ class TextEncoder:
         if None in got:
             if len(self._slot) > self._max_chunks or self._chars > self._max_chars:
                 self._reset()
-            new = [c for c in dict.fromkeys(chunks) if c not in self._slot]
-            marked = [c for c in new if c[-1] in _MARKS and c.rstrip(_MARKS)[-1:].isalnum()]
-            if rest := [*set(new).difference(marked)]:
+                got = [None] * len(chunks)
+            missed = [i for i, slot in enumerate(got) if slot is None]
+            new = dict.fromkeys([chunks[i] for i in missed])
+            marked = [c for c in new if c and c[-1] in _MARKS and c.rstrip(_MARKS)[-1:].isalnum()]
+            if rest := [*set(new).difference(marked, [""])]:
                 self._learn(rest)
             if marked:
                 self._compose(marked)
-            got = list(map(self._slot.get, chunks))
+            for i in missed:
+                got[i] = self._slot[chunks[i]]
         return np.array(got, np.int32)
 
     def _gather(self, slots: np.ndarray, lengths: np.ndarray) -> np.ndarray:
