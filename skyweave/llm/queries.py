@@ -95,8 +95,7 @@ def held_out(doc_id) -> object:
 def train_toxicity(spark: SparkSession, documents: DataFrame, sf_dir: str) -> toxicity.Model:
     """The model of the rows that aren't held out."""
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    rows = documents.select("doc_id", "text").join(labels, "doc_id").where(~held_out(F.col("doc_id")))
-    return toxicity.train(rows)
+    return toxicity.train(documents, labels.where(~held_out(F.col("doc_id"))))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
@@ -44,7 +44,20 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What empties the caches that this Python worker keeps between tasks.
+on_switch: list[Callable[[], None]] = []
+_operator = ""
+
+
 def _call(fn, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs ``fn``; a worker that turns to another operator first drops what
+    the last one cached, so that a pipeline's stages don't add up."""
+    global _operator
+    if (now := getattr(getattr(fn, "func", fn), "__module__", "")) != _operator:
+        for clear in on_switch:
+            clear()
+        _operator = now
+        pa.default_memory_pool().release_unused()
     return fn(batches, TaskContext.get().partitionId())
 
 

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import on_switch
+
 # The code points of Unicode White_Space, the pre-tokenizer's \s.
 _SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _WS = "".join(map(chr, _SPACES))
@@ -180,6 +182,7 @@ def text_blocks(texts: pa.Array, max_bytes: int = 8 << 20) -> Iterator[tuple[int
 
 
 _encoders: dict[str, TextEncoder] = {}
+on_switch.append(_encoders.clear)
 
 
 def encoder(path: str) -> TextEncoder:

@@ -1,18 +1,19 @@
 """Toxicity: FTRL-proximal logistic regression over hashed n-grams.
 
 Features are the distinct words, word pairs and pairs with one word between,
-hashed to ``2**bits`` places.  Labelled rows train it, up to ``max_rows`` of
-them (a documented bound, drawn by a hash of the doc_id); about
-``shard_rows`` rows make a shard, each shard runs FTRL-proximal over its
-rows, and after every epoch the shards' states are averaged.  L1 leaves few
-weights, so the model that scoring broadcasts is small and its size bounded
-by ``2**bits``.
+hashed to ``2**bits`` places.  Up to ``max_rows`` labels train it (a
+documented bound, drawn by a hash of the doc_id): they are few enough to
+broadcast, so the documents are only scanned.  The places of about
+``shard_rows`` of their texts are stored as one row, a shard.  In every epoch
+each shard runs FTRL-proximal from the common state, and the shards' states
+are averaged block by block.  L1 leaves few weights, so the model that
+scoring broadcasts is small and its size bounded by ``2**bits``.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches, stored, with_fields
+from .shared import map_batches, on_switch, stored, with_fields
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 # odd multipliers, one for each kind of feature and place in it
@@ -40,6 +41,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+on_switch.append(_hashes.clear)
 
 
 def features(text: str | None, bits: int) -> np.ndarray:
@@ -55,13 +57,14 @@ def features(text: str | None, bits: int) -> np.ndarray:
 @dataclass(frozen=True)
 class Settings:
     bits: int = 20
-    alpha: float = 1.0
+    alpha: float = 2.0
     beta: float = 1.0
     l1: float = 8.0
     l2: float = 0.01
     epochs: int = 4
     max_rows: int = 20_000
     shard_rows: int = 5_000
+    shard_places: int = 8_000_000  # a shard of long texts has fewer rows
 
 
 def _weights(z: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
@@ -69,7 +72,7 @@ def _weights(z: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
     return np.where(np.abs(z) <= s.l1, 0.0, (np.sign(z) * s.l1 - z) / ((s.beta + np.sqrt(n)) / s.alpha + s.l2))
 
 
-def ftrl_pass(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray, s: Settings) -> None:
+def ftrl_pass(rows: Iterable[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray, s: Settings) -> None:
     """One pass over rows of (distinct places, label); changes the state."""
     for at, label in rows:
         w = _weights(z[at], n[at], s)
@@ -78,15 +81,60 @@ def ftrl_pass(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray,
         n[at] += g * g
 
 
-def _train_shard(batches: Iterator[pa.RecordBatch], task: int, state, s: Settings) -> Iterator[pa.RecordBatch]:
-    z, n = np.zeros(1 << s.bits), np.zeros(1 << s.bits)
-    if state is not None:
-        z[state.value[0]], n[state.value[0]] = state.value[1], state.value[2]
-    rows = [(np.unique(features(t, s.bits)), y) for b in batches for t, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True)]
-    if rows:
-        ftrl_pass(rows, z, n, s)
-        at = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(at), pa.array(z[at]), pa.array(n[at]), pa.array(np.ones(len(at)))], names=["at", "z", "n", "shards"])
+_SHARD = "shard string, labels binary, sizes binary, places binary"
+_STATE = "block int, shards double, z binary, n binary"
+_BLOCK = 1 << 14
+
+
+def _shards(batches: Iterator[pa.RecordBatch], task: int, s: Settings) -> Iterator[pa.RecordBatch]:
+    """Rows (text, label) packed to shards, a row for each."""
+    labels: list[int] = []
+    parts: list[np.ndarray] = []
+    number = 0
+
+    def packed() -> pa.RecordBatch:
+        nonlocal number
+        arrays = np.array(labels, np.int8), np.array([len(p) for p in parts], np.int32), np.concatenate(parts)
+        row = [pa.array([f"{task}-{number}"]), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)]
+        labels.clear(), parts.clear()
+        number += 1
+        return pa.record_batch(row, names=["shard", "labels", "sizes", "places"])
+
+    waiting = 0
+    for batch in batches:
+        for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
+            labels.append(label)
+            parts.append(np.unique(features(text.as_py(), s.bits)).astype(np.int32))
+            waiting += len(parts[-1])
+            if len(labels) >= s.shard_rows or waiting >= s.shard_places:
+                yield packed()
+                waiting = 0
+    if labels:
+        yield packed()
+
+
+def _pass(batches: Iterator[pa.RecordBatch], task: int, state, s: Settings) -> Iterator[pa.RecordBatch]:
+    """One epoch of each shard, from the common state to its own, in blocks."""
+    for batch in batches:
+        for labels, sizes, places in zip(*(batch.column(c) for c in ("labels", "sizes", "places")), strict=True):
+            z, n = (x.astype(np.float64) for x in state.value)
+            places = np.frombuffer(places.as_buffer(), np.int32)
+            bounds = np.cumsum(np.frombuffer(sizes.as_buffer(), np.int32))[:-1]
+            ftrl_pass(zip(np.split(places, bounds), np.frombuffer(labels.as_buffer(), np.int8).tolist(), strict=True), z, n, s)
+            cut = [[x[i : i + _BLOCK].astype(np.float32).tobytes() for i in range(0, len(x), _BLOCK)] for x in (z, n)]
+            yield pa.record_batch([pa.array(range(len(cut[0])), pa.int32()), pa.array(np.ones(len(cut[0]))), *(pa.array(x, pa.binary()) for x in cut)], names=["block", "shards", "z", "n"])
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean state of one block, one shard's at a time."""
+    total = block = None
+    shards = 0.0
+    for batch in batches:
+        for k, z, n in zip(batch.column("block").to_pylist(), batch.column("z"), batch.column("n"), strict=True):
+            own = np.stack([np.frombuffer(x.as_buffer(), np.float32) for x in (z, n)]).astype(np.float64)
+            total, block, shards = own if total is None else total + own, k, shards + 1
+    z, n = (total / shards).astype(np.float32)
+    yield pa.record_batch([pa.array([block], pa.int32()), pa.array([shards]), pa.array([z.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["block", "shards", "z", "n"])
 
 
 @dataclass(frozen=True)
@@ -103,34 +151,37 @@ class Model:
         return out
 
 
-def train(labelled: DataFrame, settings: Settings | None = None) -> Model:
-    """Fits the model on rows (doc_id, text, label 0 or 1); others are ignored.
+def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
+    """Fits the model on the texts of ``docs`` (doc_id, text) that ``labels``
+    (doc_id, label 0 or 1) marks.
 
-    Of more than ``max_rows`` rows about that many are drawn by a hash of
-    doc_id, the same at every run.  Rows without a label don't count, null
-    texts are empty, and without rows every score is 0.5.
+    Of more than ``max_rows`` labels about that many are drawn by a hash of
+    doc_id, the same at every run.  Null labels and labels without a document
+    don't count, null texts are empty, and without rows every score is 0.5.
     """
     s = settings or Settings()
-    spark = labelled.sparkSession
-    rows = labelled.where("label IS NOT NULL").select("doc_id", "text", F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("draw"))
-    total = rows.count()
-    used = min(total, s.max_rows)
-    if not total:
-        return Model(s.bits, np.zeros(0, np.int64), np.zeros(0))
-    drawn = rows.where(F.col("draw") < (1 << 20) * s.max_rows / total)
-    shards = -(-used // s.shard_rows)
-    sample = stored(drawn.repartition(shards, F.xxhash64("draw")).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text"), "toxicity-sample")
-    # as many tasks as shards again, in the same order
-    dealt = sample.repartition(shards, F.xxhash64("draw")).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text")
-    state = None
+    spark = docs.sparkSession
+    known = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("draw"))
+    total = known.count()
+    drawn = known.where(F.col("draw") < (1 << 20) * s.max_rows / max(total, 1))
+    # about max_rows numbers, whatever the corpus: the documents aren't shuffled for them
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label", "draw")
+    tasks = -(-min(max(total, 1), s.max_rows) // s.shard_rows)
+    # coalesced, for a shard costs a whole state and sessions may deal to more partitions
+    dealt = rows.repartition(tasks, F.xxhash64("draw")).coalesce(tasks).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text")
+    shards = stored(map_batches(dealt, partial(_shards, s=s), _SHARD), "toxicity-shards")
+    z = n = np.zeros(1 << s.bits, np.float32)
     for _ in range(s.epochs):
-        passed = map_batches(dealt, partial(_train_shard, state=state, s=s), "at long, z double, n double, shards double")
-        merged = passed.groupBy("at").agg((F.sum("z") / F.sum("shards")).alias("z"), (F.sum("n") / F.sum("shards")).alias("n")).toPandas()  # at most 2**bits rows
-        state = spark.sparkContext.broadcast((merged["at"].to_numpy(), merged["z"].to_numpy(), merged["n"].to_numpy()))
-    at, z, n = state.value
-    w = _weights(z, n, s)
-    order = np.argsort(at[w != 0])
-    return Model(s.bits, at[w != 0][order], w[w != 0][order])
+        state = spark.sparkContext.broadcast((z, n))
+        passed = map_batches(shards.coalesce(tasks), partial(_pass, state=state, s=s), _STATE)
+        mean = passed.groupBy("block").applyInArrow(_averaged, _STATE).toArrow().sort_by("block")  # 2**bits numbers
+        if not len(mean):
+            break
+        z, n = (np.frombuffer(b"".join(mean.column(c).to_pylist()), np.float32) for c in ("z", "n"))
+        state.unpersist()
+    w = _weights(z.astype(np.float64), n.astype(np.float64), s)
+    at = np.flatnonzero(w)
+    return Model(s.bits, at, w[at])
 
 
 def _score(batches: Iterator[pa.RecordBatch], task: int, model) -> Iterator[pa.RecordBatch]:

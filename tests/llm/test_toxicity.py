@@ -30,14 +30,15 @@ ROWS = [(i, ("awful vile slur " if i % 2 else "kind calm words ") + f"filler{i}"
 
 
 def small(spark, rows=ROWS):
-    return toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, label int"), toxicity.Settings(l1=1.0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    return toxicity.train(df, df, toxicity.Settings(l1=1.0))
 
 
 def test_edge_rows(spark):
     scored = toxicity.score(documents(spark), small(spark))
     assert len(got(scored)) == len(DOCS) and all(0 <= r[-1] <= 1 for r in got(scored))
     assert toxicity.score(documents(spark, []), small(spark)).count() == 0
-    assert scored.columns == [*documents(spark).columns[:-len([c for c in documents(spark).columns if c == "score"]) or None], "score"] or "score" in scored.columns
+    assert scored.columns == [*(c for c in documents(spark).columns if c != "score"), "score"]
 
 
 def test_separates_and_is_sparse(spark):
@@ -53,6 +54,11 @@ def test_no_rows_and_rows_without_label(spark):
     assert not len(small(spark, [(1, "a", None)]).at)
 
 
+def test_bound_draws_about_as_many(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, label int")
+    assert len(toxicity.train(df, df, toxicity.Settings(l1=1.0, max_rows=100, shard_rows=7)).at)
+
+
 def test_training_is_repeatable(spark):
     a, b = small(spark), small(spark, ROWS[::-1])
     assert np.array_equal(a.at, b.at) and np.allclose(a.weights, b.weights)
