@@ -55,7 +55,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The documents without the words that any benchmark window covers;
     those of which nothing else is left go.  n_chars follows the text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    clean = decontam.remove_spans(decontam.find_spans(docs, benchmark))
+    clean = decontam.find_spans(docs, benchmark, cut=True)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return clean.select(docs.columns)

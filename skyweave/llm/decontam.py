@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import map_batches
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 SAMPLE = 16
 
 
@@ -227,8 +227,9 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search(batches: Iterator[pa.RecordBatch], task: int, phrases, shard_words: int) -> Iterator[pa.RecordBatch]:
-    """Adds what one block of phrases hits to the columns n_words, spans, item_ids."""
+def _search(batches: Iterator[pa.RecordBatch], task: int, phrases, shard_words: int, cut: bool) -> Iterator[pa.RecordBatch]:
+    """Adds what one block of phrases hits to the columns n_words, spans,
+    item_ids; then, if asked, cuts what all blocks hit out of the texts."""
     phrases = phrases.value
     number = phrases.vocabulary.get
 
@@ -243,7 +244,8 @@ def _search(batches: Iterator[pa.RecordBatch], task: int, phrases, shard_words:
             "spans": pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], rows.schema.field("spans").type),
             "item_ids": pa.array(items, pa.list_(pa.string())),
         }
-        return pa.record_batch([new[c] if c in new else rows.column(c) for c in names], names=names)
+        out = pa.record_batch([new[c] if c in new else rows.column(c) for c in names], names=names)
+        return _without_spans(out) if cut else out
 
     rows: list[pa.RecordBatch] = []
     docs: list[np.ndarray] = []
@@ -280,7 +282,7 @@ def _blocks(items: Iterator, window: int, max_words: int) -> Iterator[Phrases]:
     yield Phrases(block, window)
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS, block_words: int = 1_000_000) -> DataFrame:
+def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS, block_words: int = 1_000_000, cut: bool = False) -> DataFrame:
     """The documents with n_words, spans and item_ids.
 
     ``spans`` are the words [first, last) inside occurrences of any window of
@@ -291,11 +293,16 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_wo
     and the documents once for each block, so that what is broadcast is
     bounded whatever its size.  Null texts have no words; an item whose
     text has none has no window; repeated documents and items count each.
+    With ``cut`` the rows are those of remove_spans(), made in the same pass.
     """
     spark = docs.sparkSession
     out = docs.drop("n_words", "spans", "item_ids").selectExpr("*", "CAST(0 AS BIGINT) n_words", "CAST(NULL AS ARRAY<STRUCT<first: INT, last: INT>>) spans", "CAST(NULL AS ARRAY<STRING>) item_ids")
-    for phrases in _blocks(benchmark.select("item_id", "text").toLocalIterator(), window, block_words):
-        out = map_batches(out, partial(_search, phrases=spark.sparkContext.broadcast(phrases), shard_words=shard_words), out.schema)
+    blocks = _blocks(benchmark.select("item_id", "text").toLocalIterator(), window, block_words)
+    phrases = next(blocks)
+    while phrases:
+        after = next(blocks, None)
+        out = map_batches(out, partial(_search, phrases=spark.sparkContext.broadcast(phrases), shard_words=shard_words, cut=cut and not after), out.schema)
+        phrases = after
     return out
 
 
@@ -320,18 +327,21 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[done:]]).decode()
 
 
+def _without_spans(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows with their spans cut out, but for those hit in every word."""
+    spans = [[(s["first"], s["last"]) for s in found] for found in batch.column("spans").to_pylist()]
+    texts = [cut_spans(t.as_py(), s) if s else t.as_py() for t, s in zip(batch.column("text"), spans, strict=True)]
+    rest = [not s or sum(b - a for a, b in s) < n for s, n in zip(spans, batch.column("n_words").to_pylist(), strict=True)]
+    names = batch.schema.names
+    out = pa.record_batch([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
+    return out.filter(pa.array(rest, pa.bool_()))
+
+
 def _cut(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [
-            cut_spans(t, [(s["first"], s["last"]) for s in spans]) if spans else t
-            for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)
-        ]
-        names = batch.schema.names
-        yield pa.record_batch([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
+    return map(_without_spans, batches)
 
 
 def remove_spans(found: DataFrame) -> DataFrame:
     """The rows of find_spans() with their spans cut out of the text, without
     those that were hit in every word.  ``spans`` still tells what was cut."""
-    rest = found.where((F.size("spans") == 0) | (n_hit(F.col("spans")) < F.col("n_words")))
-    return map_batches(rest, _cut, rest.schema)
+    return map_batches(found, _cut, found.schema)

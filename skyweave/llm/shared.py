@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _own: list[str] = []
+_libc = ctypes.CDLL(None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +60,8 @@ def _call(fn, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             clear()
         _operator = now
         pa.default_memory_pool().release_unused()
+        if hasattr(_libc, "malloc_trim"):
+            _libc.malloc_trim(0)  # else what was freed stays with the worker
     return fn(batches, TaskContext.get().partitionId())
 
 

@@ -43,7 +43,7 @@ class TextEncoder:
     Special-token strings inside a text are ordinary text.
     """
 
-    def __init__(self, path: str, max_chunks: int = 1_500_000, max_chars: int = 24_000_000):
+    def __init__(self, path: str, max_chunks: int = 1_000_000, max_chars: int = 16_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -170,7 +170,7 @@ class TextEncoder:
         return self._gather(at, lengths), np.append(0, np.cumsum(lengths, dtype=np.int64))[bounds]
 
 
-def text_blocks(texts: pa.Array, max_bytes: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def text_blocks(texts: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``max_bytes`` of text, one row at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     first = 0

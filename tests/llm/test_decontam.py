@@ -64,8 +64,10 @@ def test_edge_rows_in_small_shards_and_blocks(spark):
 
 def test_removed_text_is_clean(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    kept = {r.doc_id: r.text for r in decontam.remove_spans(decontam.find_spans(documents(spark, [(1, "x, alpha-beta; y"), (2, "alpha beta"), (3, None), (4, "clean")]), items)).collect()}
-    assert kept == {1: "x, ; y", 3: None, 4: "clean"}
+    docs = documents(spark, [(1, "x, alpha-beta; y"), (2, "alpha beta"), (3, None), (4, "clean")])
+    for block in (10**6, 4):
+        for rows in (decontam.remove_spans(decontam.find_spans(docs, items, block_words=block)), decontam.find_spans(docs, items, block_words=block, cut=True)):
+            assert {r.doc_id: r.text for r in rows.collect()} == {1: "x, ; y", 3: None, 4: "clean"}
 
 
 @settings(deadline=None, max_examples=60)
