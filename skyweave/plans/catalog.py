@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import scalars, tracks
+from . import matching, relations, scalars, situations, streams, tracks
 from .base import Query
 
 FLAGSHIP = "fusion_observation_weighted"
-_MODULES = (scalars, tracks)
+_MODULES = (scalars, tracks, matching, situations, relations, streams)
 
 
 def queries() -> dict[str, Query]:
