@@ -58,8 +58,14 @@ def check_answer(uav_id: Column, answer: Column, long_reasons: bool = False) ->
     are refused unless ``long_reasons``; null is ``empty``."""
     trimmed = lambda x: F.regexp_replace(x, _OUTER_SPACE, "")
     lines = F.filter(F.transform(F.split(answer, _LINE_END), trimmed), lambda x: x != "")
-    first, second = F.get(lines, F.lit(0)), F.get(lines, F.lit(1))
-    said = F.regexp_extract(first, rf"^([A-Za-z0-9_]+)，请(?:{'|'.join(COMMANDS)})$", 1)
-    reason = trimmed(F.substring(second, len(REASON) + 1, 1 << 20))
-    out = F.when(answer.isNull(), "empty").when(F.size(lines) != 2, "not_two_lines").when(said == "", "bad_first_line").when(said != uav_id, "uav_id_mismatch").when(~second.startswith(REASON), "bad_reason_prefix")
-    return (out if long_reasons else out.when(F.char_length(reason) > REASON_CHARS, "reason_too_long")).otherwise("ok")
+    said = lambda x: F.regexp_extract(F.get(x, F.lit(0)), rf"^([A-Za-z0-9_]+)，请(?:{'|'.join(COMMANDS)})$", 1)
+
+    def verdict(x: Column) -> Column:
+        second, who = F.get(x["lines"], F.lit(1)), x["who"]
+        out = F.when(F.size(x["lines"]) != 2, "not_two_lines").when(who == "", "bad_first_line").when(who != uav_id, "uav_id_mismatch").when(~second.startswith(REASON), "bad_reason_prefix")
+        reason = trimmed(F.substring(second, len(REASON) + 1, 1 << 20))
+        return (out if long_reasons else out.when(F.char_length(reason) > REASON_CHARS, "reason_too_long")).otherwise("ok")
+
+    # arrays of one, so that lines are split once and not in every branch
+    parts = F.transform(F.array(lines), lambda x: F.struct(x.alias("lines"), said(x).alias("who")))
+    return F.when(answer.isNull(), "empty").otherwise(F.get(F.transform(parts, verdict), F.lit(0)))
