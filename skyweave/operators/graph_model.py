@@ -1,0 +1,101 @@
+"""Forward pass of the graph attention model over windows of observations.
+
+A window's nodes attend to their nearest ones; each edge adds a bias for every
+head, made from how far apart its nodes are in space, time, sensor and
+confidence.  Node states are averaged per time and projected to a position.
+A window is a small group by construction (window x sensors), so it is the
+unit of the grouped function, and no padding is needed.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+#: Fixed value: how far apart nodes without a position count.
+FAR = 50.0
+
+
+@dataclass(frozen=True)
+class Shape:
+    features: int
+    width: int = 128
+    heads: int = 4
+    layers: int = 3
+    hidden: int = 256
+    neighbours: int = 6
+    window: int = 20
+
+
+def seeded_weights(shape: Shape, seed: int = 0) -> dict[str, np.ndarray]:
+    """Weights drawn by a seed; trained ones have the same names and sizes."""
+    rng, d = np.random.default_rng(seed), shape.width
+    sizes = {"encoder": (shape.features, d), "edge_in": (6, d), "edge_out": (d, shape.heads), "head": (d, 3)}
+    for k in range(shape.layers):
+        sizes |= {f"qkv{k}": (d, 3 * d), f"mix{k}": (d, d), f"up{k}": (d, shape.hidden), f"down{k}": (shape.hidden, d)}
+    out = {name: rng.normal(0, 1 / np.sqrt(size[0]), size) for name, size in sizes.items()}
+    return out | {f"{name}_bias": np.zeros(size[1]) for name, size in sizes.items()}
+
+
+def edges(place: np.ndarray, valid: np.ndarray, conf: np.ndarray, t: np.ndarray, sensor: np.ndarray, window: int) -> np.ndarray:
+    """Distance, time gap, same sensor, same time, confidence gap and whether
+    both nodes have a position, for all pairs of a window's nodes."""
+    both = valid[:, None] & valid[None, :]
+    distance = np.where(both, np.linalg.norm(place[:, None] - place[None, :], axis=-1), FAR)
+    gap = np.abs(t[:, None] - t[None, :])
+    parts = distance, gap / max(window - 1, 1), sensor[:, None] == sensor[None, :], gap == 0, np.abs(conf[:, None] - conf[None, :]), both
+    return np.stack([np.asarray(p, float) for p in parts], axis=-1)
+
+
+def neighbourhood(cost: np.ndarray, k: int) -> np.ndarray:
+    """Who may attend to whom: each node's k cheapest, itself among them, and back."""
+    cost = cost.copy()
+    np.fill_diagonal(cost, 0.0)
+    near = np.argsort(cost, axis=1, kind="stable")[:, : min(k, len(cost))]
+    allowed = np.eye(len(cost), dtype=bool)
+    np.put_along_axis(allowed, near, True, axis=1)
+    return allowed | allowed.T
+
+
+def _normed(x: np.ndarray) -> np.ndarray:
+    return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5)
+
+
+def forward(nodes: np.ndarray, edge: np.ndarray, t: np.ndarray, w: dict[str, np.ndarray], shape: Shape) -> np.ndarray:
+    """Positions (window, 3) for one window's nodes."""
+    linear = lambda x, name: x @ w[name] + w[f"{name}_bias"]
+    split = lambda x: x.reshape(len(x), shape.heads, -1).swapaxes(0, 1)
+    bias = linear(np.maximum(linear(edge, "edge_in"), 0), "edge_out").transpose(2, 0, 1)
+    bias = np.where(neighbourhood(edge[..., 0] + edge[..., 1], shape.neighbours), bias, -np.inf)
+    h = linear(nodes, "encoder")
+    for k in range(shape.layers):
+        q, key, value = map(split, np.split(linear(h, f"qkv{k}"), 3, axis=1))
+        score = q @ key.swapaxes(1, 2) / np.sqrt(q.shape[-1]) + bias
+        share = np.exp(score - score.max(-1, keepdims=True))
+        mixed = (share / share.sum(-1, keepdims=True)) @ value
+        h = _normed(h + linear(mixed.swapaxes(0, 1).reshape(len(h), -1), f"mix{k}"))
+        h = _normed(h + linear(np.maximum(linear(h, f"up{k}"), 0), f"down{k}"))
+    at = np.eye(shape.window)[t]
+    return linear(at.T @ h / (at.sum(0)[:, None] + 1e-6), "head")
+
+
+def predicted(windows: DataFrame, features: list[str], weights: dict[str, np.ndarray], shape: Shape) -> DataFrame:
+    """uav_id, start, pos, x, y, z for each time of each window.
+
+    Rows are nodes: uav_id, start, pos, sensor, the ``features``, of which the
+    first three are the position, and ``conf`` and ``pos_valid`` among them.
+    """
+    shared = windows.sparkSession.sparkContext.broadcast(weights)
+    conf, valid = features.index("conf"), features.index("pos_valid")
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["pos", "sensor", *features])
+        x, t = rows[features].to_numpy(float), rows["pos"].to_numpy(int)
+        edge = edges(x[:, :3], x[:, valid] > 0.5, x[:, conf], t, rows["sensor"].to_numpy(), shape.window)
+        out = forward(x, edge, t, shared.value, shape)
+        return pd.DataFrame({"uav_id": key[0], "start": key[1], "pos": np.arange(shape.window), "x": out[:, 0], "y": out[:, 1], "z": out[:, 2]})
+
+    return windows.select("uav_id", "start", "pos", "sensor", *features).groupBy("uav_id", "start").applyInPandas(one, "uav_id long, start long, pos long, x double, y double, z double")

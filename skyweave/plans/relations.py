@@ -95,3 +95,27 @@ def synth_tracks(spark, sf_dir):
     lat = 45.0 + geo.metres_to_lat(F.col("step") * F.col("speed") * F.cos(angle))
     lon = 5.0 + geo.metres_to_lon(F.col("step") * F.col("speed") * F.sin(angle), F.lit(45.0))
     return t.select("uav_id", "step", (F.round(lat, 9) + 0.0).alias("lat"), (F.round(lon, 9) + 0.0).alias("lon"), "alt", r6(F.col("speed") * F.cos(angle)).alias("vx"), r6(F.col("speed") * F.sin(angle)).alias("vy"))
+
+
+@plans()
+def model_forward(spark, sf_dir):
+    """The graph model with seeded weights over all windows of the tracks."""
+    from ..operators import graph_model, windows
+    from ..sources.tables import track
+
+    rows = windows.with_length(track(spark, sf_dir), "uav_id")
+    dealt = windows.dealt(rows, "t_idx", F.col("length"), 20, 5)
+    hot = [(F.col("t_idx") % 5 == k).cast("double").alias(f"is_{k}") for k in range(5)]
+    nodes = dealt.select("uav_id", "start", "pos", (F.col("t_idx") % 5).alias("sensor"), "gx", "gy", "gz", F.least(F.lit(1.0), F.abs("px") * 4.0).alias("conf"), (F.col("gx") > 0).cast("double").alias("pos_valid"), (F.col("pos") / 19.0).alias("t_norm"), *hot)
+    shape = graph_model.Shape(11)
+    out = graph_model.predicted(nodes, nodes.columns[4:], graph_model.seeded_weights(shape), shape)
+    return out.select("uav_id", "start", "pos", *(r6(F.col(c)).alias(c) for c in "xyz"))
+
+
+@plans()
+def synth_disturbed(spark, sf_dir):
+    """Scenarios, drift, jitter, delays and blackouts of the synthetic tracks."""
+    from ..operators import synthetic
+
+    steps = synth_tracks(spark, sf_dir).select("uav_id", F.col("step").cast("double").alias("t"))
+    return synthetic.disturbed(steps, 20260209)
