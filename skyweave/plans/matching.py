@@ -52,10 +52,12 @@ def gate_quantile(spark, sf_dir):
     return sensed(spark, sf_dir).select("event_id", r6(gate).alias("gate"))
 
 
-@plans(f"""WITH RECURSIVE {OBS_SQL}, s AS MATERIALIZED (SELECT event_id, uav_id, q1 / 100e0 AS q, row_number() OVER (PARTITION BY uav_id ORDER BY us, event_id) AS n FROM obs WHERE modality <> 'truth'),
+EMA_SQL = f"""WITH RECURSIVE {OBS_SQL}, s AS MATERIALIZED (SELECT event_id, uav_id, q1 / 100e0 AS q, row_number() OVER (PARTITION BY uav_id ORDER BY us, event_id) AS n FROM obs WHERE modality <> 'truth'),
   r(uav_id, n, event_id, tau) AS (SELECT uav_id, n, event_id, 0.8e0 * 0.5e0 + (1e0 - 0.8e0) * q FROM s WHERE n = 1
-    UNION ALL SELECT s.uav_id, s.n, s.event_id, 0.8e0 * tau + (1e0 - 0.8e0) * q FROM r JOIN s ON s.uav_id = r.uav_id AND s.n = r.n + 1)
-  SELECT event_id, round(tau, 6) + 0 AS tau FROM r""")
+    UNION ALL SELECT s.uav_id, s.n, s.event_id, 0.8e0 * tau + (1e0 - 0.8e0) * q FROM r JOIN s ON s.uav_id = r.uav_id AND s.n = r.n + 1)"""
+
+
+@plans(f"{EMA_SQL} SELECT event_id, round(tau, 6) + 0 AS tau FROM r")
 def gate_ema(spark, sf_dir):
     rows = sensed(spark, sf_dir).withColumn("q", F.col("q1") / 100.0)
     return rows.select("event_id", r6(matching.smoothed("uav_id", ["us", "event_id"], "q")).alias("tau"))

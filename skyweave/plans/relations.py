@@ -119,3 +119,12 @@ def synth_disturbed(spark, sf_dir):
 
     steps = synth_tracks(spark, sf_dir).select("uav_id", F.col("step").cast("double").alias("t"))
     return synthetic.disturbed(steps, 20260209)
+
+
+@plans("SELECT event_id, event_id // 64 AS block, row_number() OVER (PARTITION BY event_id // 64 ORDER BY md5('7|' || event_id), event_id) - 1 AS place FROM events")
+def block_shuffle(spark, sf_dir):
+    """Rows in an order drawn by a seed, within blocks of 64."""
+    block = F.floor(F.col("event_id") / 64)
+    drawn = F.md5(F.concat_ws("|", F.lit("7"), F.col("event_id").cast("string")).cast("binary"))
+    place = (F.row_number().over(Window.partitionBy(block).orderBy(drawn, "event_id")) - 1).cast("long")
+    return table(spark, sf_dir, "events").select("event_id", block.alias("block"), place.alias("place"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import micros, modality, truth
 from ..streaming import streams
 from .base import Plans, r6
+from .matching import EMA_SQL
 from .tracks import HOURS6, NEAR_SQL, POS
 
 plans = Plans()
@@ -26,3 +27,10 @@ def stream_static_asof(spark, sf_dir):
     events = streams.table_stream(spark, sf_dir, "events").where(F.col("event_type") != "view")
     seen = events.select("event_id", F.col("user_id").alias("uav_id"), micros(F.col("ts")).alias("us"), modality(F.col("event_type")).alias("modality"))
     return streams.aligned(seen, truth(spark, sf_dir), "uav_id", "us", POS, HOURS6, "stream-asof").select("event_id", "t_us", "dt")
+
+
+@plans(f"{EMA_SQL} SELECT r.event_id, round(tau, 6) + 0 AS tau, sum((q > 0.9e0)::INT) OVER (PARTITION BY r.uav_id ORDER BY r.n ROWS UNBOUNDED PRECEDING)::BIGINT AS votes FROM r JOIN s ON s.event_id = r.event_id")
+def stream_thresholds(spark, sf_dir):
+    events = streams.table_stream(spark, sf_dir, "events").where(F.col("event_type") != "view")
+    seen = events.select(F.col("user_id").alias("uav_id"), micros(F.col("ts")).alias("us"), "event_id", (F.col("value") / 100.0).alias("q"))
+    return streams.run(streams.thresholds(seen, "uav_id", ["us", "event_id"], "q"), "stream-thresholds").select("event_id", r6(F.col("tau")).alias("tau"), "votes")

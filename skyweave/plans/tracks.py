@@ -295,3 +295,47 @@ def worst_n(spark, sf_dir):
 def conf_error_corr(spark, sf_dir):
     rows = track(spark, sf_dir)
     return rows.groupBy("uav_id").agg(r6(F.corr(metrics.distance3(rows), F.abs("px"))).alias("corr_err_conf"), F.count(F.lit(1)).alias("n"))
+
+
+_TURN = "degrees(atan2({p}x - lag({p}x) OVER w, {p}y - lag({p}y) OVER w))"
+
+
+@plans(f"""WITH {TRACK_SQL}, b AS (SELECT uav_id, {_TURN.format(p='p')} - {_TURN.format(p='g')} AS turn FROM track WINDOW w AS (PARTITION BY uav_id ORDER BY t_idx)),
+  e AS (SELECT uav_id, fmod(fmod(turn + 180e0, 360e0) + 360e0, 360e0) - 180e0 AS off FROM b WHERE turn IS NOT NULL)
+  SELECT uav_id, round(avg(abs(off)), 6) + 0 AS mae, round(sqrt(avg(off * off)), 6) + 0 AS rmse, round(max(abs(off)), 6) + 0 AS max_off FROM e GROUP BY uav_id""")
+def bearing_error(spark, sf_dir):
+    w = Window.partitionBy("uav_id").orderBy("t_idx")
+    course = lambda p: F.degrees(F.atan2(F.col(f"{p}x") - F.lag(f"{p}x").over(w), F.col(f"{p}y") - F.lag(f"{p}y").over(w)))
+    rows = track(spark, sf_dir).withColumn("off", geo.angle_difference(course("p"), course("g"))).where("off IS NOT NULL")
+    return rows.groupBy("uav_id").agg(r6(F.avg(F.abs("off"))).alias("mae"), r6(F.sqrt(F.avg(F.col("off") * F.col("off")))).alias("rmse"), r6(F.max(F.abs("off"))).alias("max_off"))
+
+
+_MU, _SD = [0.1 * k for k in range(8)], [1.0 + 0.5 * k for k in range(8)]
+
+
+@plans("""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+  SELECT vec_id, len(list_resize(e, 70, 0e0)) AS long_size, round(list_sum(list_resize(e, 70, 0e0)), 6) + 0 AS long_sum, round(list_sum(e[1:10]), 6) + 0 AS short_sum,
+    list_transform(e[1:10], lambda v, i: round(CASE WHEN i <= 8 THEN (v - 0.1e0 * (i - 1)) / (1e0 + 0.5e0 * (i - 1)) ELSE v END, 6) + 0) AS scaled, list_transform(e[1:10], lambda v: round(v, 6) + 0) AS back FROM x""")
+def vector_scaling(spark, sf_dir):
+    from ..functions import vectors
+    from ..sources.tables import table
+
+    e = F.col("embedding").cast("array<double>")
+    short, total = vectors.fit_length(e, 10), lambda x: r6(F.aggregate(x, F.lit(0.0), lambda a, v: a + v))
+    z = vectors.scaled(short, _MU, _SD)
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.size(vectors.fit_length(e, 70)).cast("long").alias("long_size"), total(vectors.fit_length(e, 70)).alias("long_sum"), total(short).alias("short_sum"),
+        F.transform(z, r6).alias("scaled"), F.transform(vectors.unscaled(z, _MU, _SD), r6).alias("back"),
+    )
+
+
+@plans(f"""WITH {CONF_SQL}, h AS (SELECT *, {_HOUR} AS hour FROM conf),
+  g AS (SELECT uav_id, hour, lat, confidence FROM h WHERE modality = 'gps' QUALIFY row_number() OVER (PARTITION BY uav_id, hour ORDER BY us DESC, event_id DESC) = 1),
+  r AS (SELECT uav_id, hour, lat, confidence FROM h WHERE modality = 'radar' QUALIFY row_number() OVER (PARTITION BY uav_id, hour ORDER BY us DESC, event_id DESC) = 1)
+  SELECT count(*) AS n, round(avg(abs(g.lat - r.lat) * 111000e0), 5) + 0 AS mean_gap_m, round(max(abs(g.lat - r.lat) * 111000e0), 5) + 0 AS max_gap_m, round(corr(abs(g.lat - r.lat), g.confidence), 6) + 0 AS corr_gap_conf FROM g JOIN r USING (uav_id, hour)""")
+def sensor_gap_report(spark, sf_dir):
+    rows = confident(spark, sf_dir).withColumn("hour", F.floor(F.col("us") / (3600 * MICROS)))
+    side = lambda m: asof.last_wins(rows.where(F.col("modality") == m).select("uav_id", "hour", "us", "event_id", "lat", "confidence"), ["uav_id", "hour"], "us", "event_id").select("uav_id", "hour", F.col("lat").alias(f"lat_{m}"), F.col("confidence").alias(f"confidence_{m}"))
+    both = side("gps").join(side("radar"), ["uav_id", "hour"]).withColumn("gap", F.abs(F.col("lat_gps") - F.col("lat_radar")))
+    metres = F.col("gap") * geo.METRES_PER_DEGREE
+    return both.agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg(metres), 5) + 0.0).alias("mean_gap_m"), (F.round(F.max(metres), 5) + 0.0).alias("max_gap_m"), r6(F.corr("gap", "confidence_gps")).alias("corr_gap_conf"))

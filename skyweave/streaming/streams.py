@@ -7,8 +7,12 @@ goes on where it was.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators import asof
@@ -56,3 +60,28 @@ def aligned(observations: DataFrame, truth: DataFrame, key: str, time: str, colu
     query = observations.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
+
+
+def thresholds(observations: DataFrame, key: str, order: list[str], value: str, start: float = 0.5, beta: float = 0.8, abnormal: float = 0.9) -> DataFrame:
+    """Each streamed row with its key's smoothed threshold ``tau`` and the
+    ``votes`` of abnormal values so far, kept as state between batches.
+
+    Rows of one batch are taken in order; a batch goes on where the last one
+    of its key ended, so the state is two numbers for each key.
+    """
+    fields = [f for f in observations.schema.fields if f.name in (key, *order, value)]
+    schema = StructType([*fields]).add("tau", "double").add("votes", "long")
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tau, votes = state.get if state.exists else (start, 0)
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+        taus, counts = [], []
+        for x in rows[value]:
+            tau, votes = beta * tau + (1 - beta) * x, votes + int(x > abnormal)
+            taus.append(tau)
+            counts.append(votes)
+        state.update((tau, votes))
+        yield rows[[f.name for f in fields]].assign(tau=taus, votes=counts)
+
+    wanted = observations.select(*(f.name for f in fields)).where(F.col(value).isNotNull())
+    return wanted.groupBy(key).applyInPandasWithState(step, schema, "tau double, votes long", "append", GroupStateTimeout.NoTimeout)
