@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyweave.llm import decontam, exact_dedup, packing, simhash, toxicity
+from skyweave.llm import decontam, exact_dedup, near_copies, packing, toxicity
 from skyweave.llm.queries import tokenizer, train_toxicity
 from skyweave.llm.shared import stored
 
@@ -45,10 +45,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest
-    doc_id; rows that repeat this doc_id stay together."""
-    found = simhash.near_duplicates(docs, radius=2)
-    return _without(docs, found.where("NOT doc_id <=> component_id").select("doc_id").distinct())
+    """One document of each group that links of a five-word Jaccard similarity
+    of 0.8 or more join, that with the smallest doc_id; rows that repeat this
+    doc_id stay together."""
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "near-rows")
+    found = rows.join(near_copies.groups(rows), F.col("row") == F.col("node")).select("doc_id", "root")
+    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return _without(docs, found.join(least, "root").where("NOT doc_id <=> component_id").select("doc_id").distinct())
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
