@@ -45,13 +45,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of a five-word Jaccard similarity
-    of 0.8 or more join, that with the smallest doc_id; rows that repeat this
-    doc_id stay together."""
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "near-rows")
-    found = rows.join(near_copies.groups(rows), F.col("row") == F.col("node")).select("doc_id", "root")
-    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return _without(docs, found.join(least, "root").where("NOT doc_id <=> component_id").select("doc_id").distinct())
+    """One row of each group that links of a five-word Jaccard similarity of
+    0.8 or more join, that with the smallest doc_id, where null is larger than
+    any other; of rows that repeat this doc_id in the group, one."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    groups = near_copies.groups(rows.select(F.col("_row").alias("row"), "text"))
+    found = stored(rows.select("_row", "doc_id").join(groups, F.col("_row") == F.col("node")).select("_row", "doc_id", "root"), "near-groups")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
+    rest = found.join(first, "root").where("_row != first._row").select("_row")
+    return rows.join(rest, "_row", "left_anti").select(docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,3 +65,19 @@ def test_a_shard_of_several_groups(spark, monkeypatch):
 
 def test_no_rows(spark):
     assert near_copies.groups(spark.createDataFrame([], "row long, text string")).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    copies = [" ".join([*words[:k], "new", *words[k + 1 :]]) for k in (0, 59)]
+    others = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    text = " ".join(words)
+
+    def kept(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        return sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()), key=repr)
+
+    clean = [(None, others[0]), (None, others[1]), (3, others[2])]
+    assert kept([(None, copies[0]), *clean, (1, text), (3, copies[1])]) == sorted([*clean, (1, text)], key=repr)
+    assert kept([(None, text), (None, copies[0]), *clean, (None, copies[1])]) in [sorted([*clean, (None, t)], key=repr) for t in (text, *copies)]
+    assert kept([(5, text), (5, copies[0]), (5, others[3]), (6, copies[1])]) in [sorted([(5, others[3]), (5, t)], key=repr) for t in (text, copies[0])]
