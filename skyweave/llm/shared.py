@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,11 +21,14 @@ _libc = ctypes.CDLL(None)
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder
-    of this process is made.  Also makes it the checkpoint folder.
+    Only where that is unset and Spark runs on one machine, as in tests, a
+    temporary folder of this process is made; on a cluster executors couldn't
+    see it, so that is an error.  Also makes it the checkpoint folder.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="skyweave-"))
         folder = f"file://{_own[0]}"
@@ -33,6 +37,38 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+class Folder:
+    """Names below a path of any store that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._type = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._root = path.rstrip("/")
+        root = self._type(self._root)
+        self._fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._whole = self._fs.makeQualified(root).toString()
+
+    def _at(self, name: str):
+        return self._type(f"{self._root}/{name}" if name else self._root)
+
+    def has(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
+    def names(self) -> list[str]:
+        """What lies directly in the folder, none if it isn't there."""
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(""))) if self.has("") else []
+
+    def holds(self, path: str) -> bool:
+        """Whether a path lies below the folder."""
+        return bool(path) and self._fs.makeQualified(self._type(path)).toString().startswith(f"{self._whole}/")
+
+    def make(self, name: str) -> None:
+        self._fs.mkdirs(self._at(name))
+
+    def delete(self, name: str = "") -> None:
+        """Removes what has the name, or the folder itself."""
+        self._fs.delete(self._at(name), True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

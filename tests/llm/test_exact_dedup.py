@@ -3,7 +3,10 @@ import re
 import uuid
 from collections import defaultdict
 
+import pytest
+
 from skyweave.llm import exact_dedup, queries
+from skyweave.llm.shared import new_path
 from tests.oracle import SMALL, compare, views
 
 from .cases import DOCS, documents, got
@@ -47,3 +50,66 @@ def test_later_batches_keep_what_came_first(spark):
     assert again == later
     assert spark.table(own.table).count() == 3
     own.drop()
+
+
+def test_the_index_outlives_the_catalog(spark):
+    path, name = new_path(spark, "test-index"), f"digests_{uuid.uuid4().hex}"
+    exact_dedup.DigestIndex(spark, name, 8, path).ingest(documents(spark, [(5, "a b"), (6, "c")]))
+    spark.sql(f"DROP TABLE {name}")  # as another session finds it
+    for again in (lambda: exact_dedup.DigestIndex(spark, name, 8, path), lambda: exact_dedup.DigestIndex(spark, f"{name}_b", path=path), lambda: exact_dedup.DigestIndex(spark.newSession(), name, path=path)):
+        own = again()
+        assert {r.doc_id: (r.keep_id, r.kept) for r in own.ingest(documents(spark, [(1, "a  b"), (6, "c")])).collect()} == {1: (5, False), 6: (6, True)}
+        assert own._spark.table(own.table).count() == 2
+    with pytest.raises(ValueError, match="8 buckets, not 16"):
+        exact_dedup.DigestIndex(spark, name, 16, path)
+    own.drop()
+
+
+def test_the_index_is_found_by_its_name(spark):
+    own = index(spark)
+    own.ingest(documents(spark, [(5, "a b")]))
+    assert spark.table(exact_dedup.DigestIndex(spark, own.table).table).count() == 1
+    spark.sql(f"DROP TABLE {own.table}")
+    assert spark.table(exact_dedup.DigestIndex(spark, own.table).table).count() == 1
+    own.drop()
+
+
+def test_nothing_else_is_taken_for_an_index(spark):
+    path, name = new_path(spark, "test-index"), f"digests_{uuid.uuid4().hex}"
+    spark.range(3).write.parquet(path)
+    with pytest.raises(ValueError, match="isn't empty"):
+        exact_dedup.DigestIndex(spark, name, path=path)
+    spark.range(3).write.saveAsTable(name)
+    with pytest.raises(ValueError, match="another table"):
+        exact_dedup.DigestIndex(spark, name)
+    assert spark.table(name).count() == 3 and spark.read.parquet(path).count() == 3
+
+
+def test_a_merge_neither_shuffles_nor_sorts_the_index(spark):
+    own = index(spark)
+    groups = spark.range(1000).selectExpr("unhex(sha2(CAST(id AS STRING), 256)) AS digest", "id AS first_id")
+
+    def above_scan():
+        with own.in_order():
+            plan = own.unseen(groups)._jdf.queryExecution().executedPlan().toString()
+        side = plan[: plan.index("FileScan parquet")].splitlines()
+        depth = len(plan[: plan.index("FileScan parquet")].splitlines()[-1])
+        return [x for x in side[side.index(next(x for x in side if "SortMergeJoin" in x)) :] if ("Sort " in x or "Exchange" in x) and x.index(re.search("Sort |Exchange", x)[0]) < depth and side.index(x) > max(k for k, y in enumerate(side) if "Range" in y or "SortMergeJoin" in y)]
+
+    own.ingest(documents(spark, [(i, f"text {i}") for i in range(500)]))
+    assert not above_scan()
+    own.ingest(documents(spark, [(i, f"other {i}") for i in range(500)]))
+    assert above_scan()  # two files a bucket
+    own.compact()
+    assert not above_scan() and spark.table(own.table).count() == 1000
+    own.compact()
+    own.compact()
+    assert own._folder.names() == ["gen-000002", "gen-000003", "layout"]
+    assert {r.kept for r in own.ingest(documents(spark, [(900 + i, f"text {i}") for i in range(500)])).collect()} == {False}
+    own.drop()
+
+
+def test_query_leaves_no_index(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    queries.op1_exact_dedup(spark, SMALL).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
