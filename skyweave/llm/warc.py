@@ -1,23 +1,23 @@
 """WARC archives written and read through tables of chunks.
 
-Writing: a payload becomes rows of at most ``chunk_chars`` characters (record
-identifier, chunk number, digest so far), each of which is one WARC record:
-the first a ``response``, the others its ``continuation`` segments.  Spark's
-text writer puts them into archives, with the blank lines that end a record
-as line separator, so archives lie in any store and are committed as a whole.
-Payloads that an earlier page has are written as ``revisit`` records.
-
-Reading: each archive, bounded in size by the writer, is parsed record by
-record; a payload's digest is carried from chunk to chunk, and no payload is
-put together.
+Writing: Spark cuts payloads into rows of at most ``chunk_bytes`` bytes
+(record identifier, chunk number), so that Python workers never see a whole
+one.  Each row becomes a WARC record, the first of a page a ``response``, the
+others its ``continuation`` segments, with the digest of the payload so far,
+which is carried from row to row.  Spark's text writer puts the records into
+archives, with the blank lines that end a record as line separator, so
+archives lie in any store and are committed as a whole.  Payloads that
+another page has are written as ``revisit`` records.
+
+Reading: archives are streamed by Spark's text reader, with the same
+separator, and parsed record by record.  A payload's digest is again carried
+from chunk to chunk; neither a payload nor an archive is put together.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
 import re
 import urllib.parse
 from collections.abc import Iterator
@@ -31,31 +31,29 @@ from .shared import map_batches, stored
 
 _END = "\r\n\r\n"
 _DATE = "1970-01-01T00:00:00Z"  # pages carry no time
+_HEAD_BYTES = 600  # about what a record's fields take
 
 
 def base32_sha1(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def _digests(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        payloads = [(t.as_py() or "").encode() for t in batch.column("html")]
-        yield pa.record_batch([batch.column("page_id"), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha1(p).digest() for p in payloads], pa.binary())], names=["page_id", "payload_bytes", "digest"])
+def _payloads(pages: DataFrame) -> DataFrame:
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.select("page_id", "url", payload.alias("payload"))
+    return rows.select("*", F.length("payload").cast("long").alias("payload_bytes"), F.unhex(F.sha1("payload")).alias("digest"))
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload a smaller page_id has."""
-    found = stored(map_batches(pages.select("page_id", "html"), _digests, "page_id long, payload_bytes long, digest binary"), "warc-digests")
-    long_enough = found.where(F.col("payload_bytes") >= min_bytes)
-    groups = long_enough.groupBy("digest", "payload_bytes").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
-    # both sides come from tables and are shuffled, so that a hot payload's rows can be split
-    groups = stored(groups.where("n > 1").drop("n"), "warc-groups")
-    joined = long_enough.join(groups, ["digest", "payload_bytes"])
-    return joined.where("NOT page_id <=> refers_to").select("page_id", "refers_to").distinct()
+    """Of each payload (digest, payload_bytes) of at least ``min_bytes`` bytes
+    that several rows have, ``refers_to``, the smallest page_id with it."""
+    groups = _payloads(pages).where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes")
+    found = groups.agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
+    return found.where("n > 1 AND refers_to IS NOT NULL").drop("n")
 
 
-def _header(fields: list[tuple[str, object]]) -> str:
-    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
+def _header(fields: list[tuple[str, object]]) -> bytes:
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode()
 
 
 def _identifier(page_id: int | None) -> str:
@@ -66,131 +64,174 @@ def _uri(url: str | None) -> str:
     return urllib.parse.quote(url or "", safe="!#$%&'()*+,/:;=?@[]~")
 
 
-def chunks(text: str, chunk_chars: int) -> Iterator[tuple[int, str]]:
-    """Numbered pieces of a text, one at least."""
-    for number, at in enumerate(range(0, max(1, len(text)), chunk_chars)):
-        yield number, text[at : at + chunk_chars]
-
-
-def _records(batches: Iterator[pa.RecordBatch], task: int, chunk_chars: int, archive_bytes: int) -> Iterator[pa.RecordBatch]:
-    """A row for each record of an archive: (archive, row, value)."""
+def _records(batches: Iterator[pa.RecordBatch], task: int, archive_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Chunk rows, those of a page in order and side by side, as the records
+    of archives: (archive, row, value)."""
     archive = row = used = 0
+    so_far = hashlib.sha1()
+    columns = ("page_id", "url", "refers_to", "payload_bytes", "digest", "chunk", "chunks", "piece")
     for batch in batches:
-        out: list[tuple[int, int, str]] = []
-        for page_id, url, html, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True):
-            page_id, url, text, refers_to = page_id.as_py(), url.as_py(), html.as_py() or "", refers_to.as_py()
-            digest, size = hashlib.sha1(), 0
-            for _, piece in chunks(text, chunk_chars):
-                raw = piece.encode()
-                digest.update(raw)
-                size += len(raw)
-            common = [("WARC-Target-URI", _uri(url)), ("WARC-Date", _DATE), ("WARC-Payload-Digest", f"sha1:{base32_sha1(digest.digest())}"), ("X-Payload-Length", size)]
+        values = []
+        first = (archive, row)
+        archives = []
+        for page_id, url, refers_to, size, digest, chunk, chunks, piece in zip(*(batch.column(c) for c in columns), strict=True):
+            page_id, refers_to, size, chunk, chunks = page_id.as_py(), refers_to.as_py(), size.as_py(), chunk.as_py(), chunks.as_py()
+            raw, stated = piece.as_py(), base32_sha1(digest.as_py())
+            if not chunk:
+                so_far = hashlib.sha1()
+                weight = (0 if refers_to is not None else size) + chunks * _HEAD_BYTES
+                if used and used + weight > archive_bytes:
+                    archive, used = archive + 1, 0
+                used += weight
+            own = _identifier(page_id) if not chunk else f"{_identifier(page_id)[:-1]}:segment:{chunk + 1}>"
+            kind = "revisit" if refers_to is not None else "continuation" if chunk else "response"
+            fields = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Target-URI", _uri(url.as_py())), ("WARC-Date", _DATE), ("WARC-Payload-Digest", f"sha1:{stated}"), ("X-Payload-Length", size)]
             if refers_to is not None:
-                fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", _identifier(page_id)), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _identifier(refers_to)), ("Content-Length", 0)]
-                out.append((archive, row, _header(fields)))
-                row += 1
+                fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _identifier(refers_to)), ("Content-Length", 0)]
             else:
-                many = len(text) > chunk_chars
-                so_far = hashlib.sha1()
-                for number, piece in chunks(text, chunk_chars):
-                    raw = piece.encode()
-                    so_far.update(raw)
-                    own = _identifier(page_id) if not number else f"{_identifier(page_id)[:-1]}:segment:{number + 1}>"
-                    fields = [("WARC-Type", "response" if not number else "continuation"), ("WARC-Record-ID", own), *common]
-                    if many:
-                        fields += [("WARC-Segment-Number", number + 1), ("WARC-Segment-Origin-ID", _identifier(page_id)), ("WARC-Segment-Total-Length", size), ("X-Digest-So-Far", f"sha1:{base32_sha1(so_far.digest())}")]
-                    out.append((archive, row, _header([*fields, ("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(raw))]) + piece))
-                    row += 1
-                    used += len(raw)
-            used += 600
-            if used >= archive_bytes:
-                archive, used = archive + 1, 0
-            if sum(len(v) for _, _, v in out) > 4 << 20:
-                yield _rows(out)
-                out = []
-        if out:
-            yield _rows(out)
-
-
-def _rows(out: list[tuple[int, int, str]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())], names=["archive", "row", "value"])
-
-
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, chunk_chars: int = 256 << 10, archive_bytes: int = 16 << 20) -> None:
+                so_far.update(raw)
+                if chunks > 1:
+                    fields += [("WARC-Segment-Number", chunk + 1), ("WARC-Segment-Origin-ID", _identifier(page_id)), ("WARC-Segment-Total-Length", size), ("X-Digest-So-Far", f"sha1:{base32_sha1(so_far.digest())}")]
+                fields += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(raw))]
+                if chunk == chunks - 1 and base32_sha1(so_far.digest()) != stated:
+                    raise ValueError(f"page {page_id}: its chunks aren't those of its digest")
+            values.append(_header(fields) + raw)
+            archives.append(archive)
+        row = first[1] + len(values)
+        yield pa.record_batch([pa.array(archives, pa.int32()), pa.array(range(first[1], row), pa.int64()), pa.array(values, pa.binary())], names=["archive", "row", "value"])
+
+
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, chunk_bytes: int = 256 << 10, archive_bytes: int = 16 << 20) -> None:
     """Writes a WARC record for each page (page_id, url, html).
 
-    Of pages with equal payloads of at least ``min_bytes`` bytes, that with
-    the smallest page_id is a response and the others revisit it; rows that
-    repeat this page_id are responses too.  A null html is an empty payload,
-    a null page_id has an empty identifier and never is one that others refer
-    to unless all are null; a null url is empty; other columns are ignored.
-    No page makes no archive.
+    Of rows with equal payloads of at least ``min_bytes`` bytes, those with
+    the smallest page_id are responses and the others revisit it; each row is
+    judged by its own payload, also where a page_id repeats.  A null html is
+    an empty payload; a null page_id has an empty identifier and never is one
+    that others refer to, so rows that have an equal payload and no page_id
+    are responses; a null url is empty; other columns are ignored.  An archive
+    ends before the page that would make it larger than ``archive_bytes``, so
+    only a larger page makes a larger one.  No page makes no archive.
     """
-    rows = pages.select("page_id", "url", "html")
-    rows = rows.join(revisits(pages, min_bytes).withColumnRenamed("page_id", "revisit_id"), F.col("page_id").eqNullSafe(F.col("revisit_id")), "left")
-    records = map_batches(rows, partial(_records, chunk_chars=chunk_chars, archive_bytes=archive_bytes), "archive int, row long, value string")
-    records.sortWithinPartitions("archive", "row").drop("row").write.partitionBy("archive").option("lineSep", _END).option("compression", "gzip").text(path)
-
-
-def parse_records(archive: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of an
-    unpacked stream, of which one record is held at a time."""
-    while line := archive.readline():
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at {line[:40]!r}")
-        fields = {}
-        while (line := archive.readline()).strip():
-            name, _, value = line.decode().partition(":")
-            fields[name.strip().lower()] = value.strip()
-        block = archive.read(int(fields["content-length"]))
-        if archive.read(4) != b"\r\n\r\n":
-            raise ValueError(f"the record {fields.get('warc-record-id')} doesn't end where it should")
-        yield fields, block
+    rows = _payloads(pages)
+    # both sides come from tables and are shuffled, so that a hot payload's rows can be split
+    groups = stored(revisits(pages, min_bytes), "warc-groups")
+    rows = rows.join(groups, ["digest", "payload_bytes"], "left")
+    rows = rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")))
+    size = F.lit(chunk_bytes).cast("long")
+    chunks = F.when(F.col("refers_to").isNotNull(), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / size))).cast("int")
+    rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    piece = F.when(F.col("refers_to").isNotNull(), F.lit(b"")).otherwise(F.substring("payload", (F.col("chunk") * size + 1).cast("int"), F.lit(chunk_bytes)))
+    rows = rows.select("page_id", "url", "refers_to", "payload_bytes", "digest", "chunk", "chunks", piece.alias("piece"))
+    records = map_batches(rows, partial(_records, archive_bytes=archive_bytes), "archive int, row long, value binary")
+    ordered = records.sortWithinPartitions("archive", "row").select("archive", F.col("value").cast("string").alias("value"))
+    ordered.write.partitionBy("archive").option("lineSep", _END).option("compression", "gzip").text(path)
+
+
+class RecordParser:
+    """Takes an archive's bytes bit by bit; gives header fields (names in
+    lower case) and block of each record that is complete."""
+
+    def __init__(self) -> None:
+        self._waiting = b""
+        self._fields: dict[str, str] | None = None
+
+    def feed(self, data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        self._waiting += data
+        while True:
+            if self._fields is None:
+                head, end, rest = self._waiting.partition(b"\r\n\r\n")
+                if not end:
+                    return
+                lines = head.decode().split("\r\n")
+                if not lines[0].startswith("WARC/"):
+                    raise ValueError(f"no WARC record at {lines[0][:40]!r}")
+                pairs = (line.partition(":") for line in lines[1:])
+                self._fields, self._waiting = {name.strip().lower(): value.strip() for name, _, value in pairs}, rest
+            size = int(self._fields["content-length"])
+            if len(self._waiting) < size + 4:
+                return
+            if self._waiting[size : size + 4] != b"\r\n\r\n":
+                raise ValueError(f"the record {self._fields.get('warc-record-id')} doesn't end where it should")
+            fields, block = self._fields, self._waiting[:size]
+            self._fields, self._waiting = None, self._waiting[size + 4 :]
+            yield fields, block
+
+    def done(self) -> bool:
+        return self._fields is None and not self._waiting
+
+
+def _number(identifier: str | None) -> int | None:
+    return int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", identifier or "")) else None
+
+
+class _Archive:
+    """One archive's chunk rows, made as its bytes come."""
+
+    def __init__(self, name: str, with_payload: bool):
+        self.name, self._with_payload, self._parser, self._lines = name, with_payload, RecordParser(), 0
+        self._record, self._page_id, self._digest, self._seen = -1, None, hashlib.sha1(), 0
+
+    def rows(self, data: bytes) -> Iterator[tuple]:
+        for fields, block in self._parser.feed(data):
+            kind, stated, total = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-length"])
+            chunk = 0
+            if kind != "continuation":
+                self._record, self._page_id, self._digest, self._seen = self._record + 1, _number(fields["warc-record-id"]), hashlib.sha1(), 0
+            else:
+                chunk = int(fields["warc-segment-number"]) - 1
+            self._digest.update(block)
+            self._seen += len(block)
+            last = kind == "revisit" or self._seen == total
+            if last and kind != "revisit" and base32_sha1(self._digest.digest()) != stated:
+                raise ValueError(f"page {self._page_id} in {self.name}: the payload isn't that of its digest")
+            kind = "response" if kind == "continuation" else kind
+            yield self.name, self._record, chunk, self._page_id, fields["warc-target-uri"], kind, _number(fields.get("warc-refers-to")), len(block), total, stated, last, block if self._with_payload else None
+
+    def line(self, value: bytes) -> Iterator[tuple]:
+        """Rows of what stands between two separators."""
+        self._lines += 1
+        return self.rows(value if self._lines == 1 else _END.encode() + value)
+
+    def close(self) -> Iterator[tuple]:
+        # the last separator is one unless a block's last line break was taken for half of it
+        if not self._parser.done():
+            yield from self.rows(_END.encode())
+        if not self._parser.done():
+            raise ValueError(f"{self.name} ends inside a record")
 
 
-def _unpacked(content: bytes) -> io.BufferedIOBase:
-    raw = io.BytesIO(content)
-    return io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
+CHUNKS = "archive string, record long, chunk int, page_id long, url string, record_type string, refers_to long, bytes long, payload_bytes long, payload_digest string, last boolean, payload binary"
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch], task: int, with_payload: bool) -> Iterator[pa.RecordBatch]:
-    names = ["archive", "record", "chunk", "page_id", "url", "record_type", "refers_to", "bytes", "payload_bytes", "payload_digest", "last", "payload"]
+    """Pieces (archive, value) of archives, one archive after the other."""
+    names = [x.split()[0] for x in CHUNKS.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
-    number = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", x or "")) else None
+    table = lambda rows: pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    archive = None
     for batch in batches:
-        for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
-            rows, held, record, page_id, digest, seen = [], 0, -1, None, hashlib.sha1(), 0
-            for fields, block in parse_records(_unpacked(content.as_py())):
-                kind, stated = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-                total = int(fields["x-payload-length"])
-                if kind != "continuation":
-                    record, chunk, page_id, digest, seen = record + 1, 0, number(fields["warc-record-id"]), hashlib.sha1(), 0
-                else:
-                    chunk = int(fields["warc-segment-number"]) - 1
-                digest.update(block)
-                seen += len(block)
-                last = kind == "revisit" or seen == total
-                if last and kind != "revisit" and base32_sha1(digest.digest()) != stated:
-                    raise ValueError(f"page {page_id} in {name}: the payload isn't that of its digest")
-                kind = "response" if kind == "continuation" else kind
-                rows.append((name.as_py(), record, chunk, page_id, fields["warc-target-uri"], kind, number(fields.get("warc-refers-to")), len(block), total, stated, last, block if with_payload else None))
-                held += len(block) if with_payload else 200
-                if held > 4 << 20:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                    rows, held = [], 0
-            if rows:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-
-CHUNKS = "archive string, record long, chunk int, page_id long, url string, record_type string, refers_to long, bytes long, payload_bytes long, payload_digest string, last boolean, payload binary"
+        rows = []
+        for name, value in zip(batch.column("archive").to_pylist(), batch.column("value"), strict=True):
+            if archive is None or archive.name != name:
+                if archive:
+                    rows += archive.close()
+                archive = _Archive(name, with_payload)
+            rows += archive.line(value.as_py())
+        if rows:
+            yield table(rows)
+    if archive and (rows := [*archive.close()]):
+        yield table(rows)
 
 
 def read_chunks(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """The archives' chunk table: a row for each record or segment, in
     (archive, record, chunk) order within each archive.  A payload whose
     digest isn't the stated one fails the job."""
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path)
-    return map_batches(files.select("path", "content"), partial(_chunk_rows, with_payload=with_payload), CHUNKS)
+    # gzip can't be split, so a task has all of an archive, in order
+    lines = spark.read.schema("value string").option("lineSep", _END).option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).text(path)
+    lines = lines.select(lines.metadataColumn("_metadata")["file_path"].alias("archive"), F.col("value").cast("binary").alias("value"))
+    return map_batches(lines, partial(_chunk_rows, with_payload=with_payload), CHUNKS)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
