@@ -24,8 +24,18 @@ def tokenizer() -> str:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches, the smaller half of the doc_ids first, so that a text's
+    smallest doc_id is the one that the index knows it by."""
+    docs = _table(spark, sf_dir, "documents")
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return index.ingest(_table(spark, sf_dir, "documents"))
+    middle = docs.select(F.percentile_approx("doc_id", 0.5)).first()[0]
+    early = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
+    parts = [stored(index.ingest(docs.where(rows)), "deduplicated") for rows in (early, ~early)]
+    index.drop()
+    verdicts = parts[0].unionByName(parts[1])
+    # in a table, so that a hot text's rows can be split
+    sizes = stored(verdicts.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size")), "group-sizes")
+    return verdicts.drop("group_size").join(sizes, "text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +56,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
-    warc.write_warc(_table(spark, sf_dir, "pages"), path, min_bytes=0)
+    warc.write_warc(_table(spark, sf_dir, "pages"), path, min_bytes=0, chunk_bytes=4 << 10)
     return warc.read_records(spark, path)
 
 
@@ -66,12 +76,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rollup = token_counts.TokenRollup(spark, new_path(spark, "token-rollup"), tokenizer(), TOKENIZER)
-    # an eighth is loaded as its first half, then revised: the drafts are deleted and the whole texts inserted
+    # an eighth is loaded under another source, then revised: deleted there and inserted where it belongs
     revised = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 8 == 0, F.lit(False))
-    draft = F.expr("substring(text, 1, CAST(char_length(text) / 2 AS INT))")
-    load = docs.withColumn("text", F.when(revised, draft).otherwise(F.col("text")))
-    sides = F.explode(F.array(F.struct(draft.alias("text"), F.lit(-1).alias("sign")), F.struct("text", F.lit(1).alias("sign"))))
-    revision = docs.where(revised).select("source", "lang", sides.alias("side")).select("source", "lang", "side.text", "side.sign")
+    unsorted = F.concat_ws("/", F.lit("unsorted"), "source")
+    load = docs.withColumn("source", F.when(revised, unsorted).otherwise(F.col("source")))
+    sides = F.explode(F.array(F.struct(unsorted.alias("source"), F.lit(-1).alias("sign")), F.struct("source", F.lit(1).alias("sign"))))
+    revision = docs.where(revised).select("lang", "text", sides.alias("side")).select("side.source", "lang", "text", "side.sign")
     rollup.commit("load", load)
     rollup.commit("revision", revision, "sign")
     rollup.commit("load", load)  # replays, which change nothing

@@ -2,8 +2,8 @@
 
 A batch of signed rows (+1 insert, -1 delete; a revision is both) is counted
 and summed to one row for each group before anything is kept.  A batch is
-committed as one folder that is written whole: a batch that is there already
-is left alone, so replays after a failure don't count twice.  Totals are sums
+committed as one folder that counts once it is whole: a batch that is there
+already is left alone, so replays after a failure don't count twice.  Totals are sums
 over the committed batches; compact() folds them into one folder that names
 the batches it holds.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_batches, with_fields
+from .shared import Folder, map_batches, with_fields
 from .tokens import encoder, text_blocks
 
 GROUP = ["source", "lang", "tokenizer_version"]
@@ -46,21 +46,21 @@ class TokenRollup:
 
     Group keys may be null, and then make a group of their own.  An empty
     batch commits no rows.  Groups whose totals are all zero aren't returned.
+    Batches may be committed by several writers, also while another compacts:
+    every attempt has a folder of its own, and of a batch that was committed
+    twice at once, one attempt counts.
     """
 
     def __init__(self, spark: SparkSession, path: str, tokenizer: str, tokenizer_version: str):
         self._spark, self._path = spark, path.rstrip("/")
         self._tokenizer, self._version = tokenizer, tokenizer_version
-        jvm = spark.sparkContext._jvm
-        self._file = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._file(self._path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._folder = Folder(spark, self._path)
 
     def committed(self) -> dict[str, list[str]]:
-        """Folders of the batches that count, and the batch names each holds."""
-        root = self._file(self._path)
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
-        whole = [n for n in names if re.match("(batch|base)-", n) and self._fs.exists(self._file(f"{self._path}/{n}/_SUCCESS"))]
-        held = {n: [n.removeprefix("batch-")] for n in whole if n.startswith("batch-")}
+        """Folders that count, and the names of the batches each holds."""
+        whole = [n for n in self._folder.names() if re.match("(batch|base)-", n) and self._folder.has(f"{n}/_SUCCESS")]
+        # attempts at one batch hold the same; the first name counts
+        held = {n: [batch] for batch, n in {re.fullmatch(r"batch-([\w.]+)--.*", n)[1]: n for n in reversed(whole) if n.startswith("batch-")}.items()}
         bases = {n: [r[0] for r in self._spark.read.schema("batch string").parquet(f"{self._path}/holds-{n}").collect()] for n in whole if n.startswith("base-")}
         if bases:  # the base that holds most; batches that it holds don't count again
             best = max(bases, key=lambda n: (len(bases[n]), n))
@@ -78,19 +78,25 @@ class TokenRollup:
         counted = count_tokens(changes.select("source", "lang", "text", signed.alias("sign")), self._tokenizer)
         delta = counted.groupBy("source", "lang").agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
         delta = delta.select("source", "lang", F.lit(self._version).alias("tokenizer_version"), "n_docs", "n_tokens")
-        delta.write.mode("overwrite").parquet(f"{self._path}/batch-{batch}")  # _SUCCESS comes last
+        delta.write.parquet(f"{self._path}/batch-{batch}--{uuid.uuid4().hex}")  # _SUCCESS comes last
         return True
 
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer_version, n_docs, n_tokens."""
-        folders = [f"{self._path}/{n}" for n in self.committed()]
+    def _sums(self, names: Iterable[str]) -> DataFrame:
+        folders = [f"{self._path}/{n}" for n in names]
         rows = self._spark.read.schema(_DELTA).parquet(*folders) if folders else self._spark.createDataFrame([], _DELTA)
         sums = rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs != 0 OR n_tokens != 0")
 
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer_version, n_docs, n_tokens."""
+        return self._sums(self.committed())
+
     def compact(self) -> None:
-        """Writes the totals as one base; the batches it holds then no longer count."""
-        names = sorted(b for held in self.committed().values() for b in held)
+        """Writes the totals of the batches committed by now as one base;
+        these no longer count by themselves.  What others commit meanwhile
+        isn't in the base and goes on counting by itself."""
+        held = self.committed()
         base = f"base-{uuid.uuid4().hex}"
+        names = sorted(b for batches in held.values() for b in batches)
         self._spark.createDataFrame([(n,) for n in names], "batch string").write.parquet(f"{self._path}/holds-{base}")
-        self.totals().write.parquet(f"{self._path}/{base}")
+        self._sums(held).write.parquet(f"{self._path}/{base}")

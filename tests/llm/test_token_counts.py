@@ -1,14 +1,66 @@
+from collections import Counter
+
 from skyweave.llm import queries, token_counts
+from skyweave.llm.shared import new_path
 from tests.oracle import SMALL
 
 
+def rollup(spark):
+    return token_counts.TokenRollup(spark, new_path(spark, "test-rollup"), queries.tokenizer(), "v1")
+
+
+def docs(spark, n, source="s"):
+    return spark.createDataFrame([(source, "en", f"text {i}") for i in range(n)], "source string, lang string, text string")
+
+
+def counts(own):
+    return {r.source: r.n_docs for r in own.totals().collect()}
+
+
 def test_query_sums_signed_batches(spark, monkeypatch):
     made, totals = [], token_counts.TokenRollup.totals
     monkeypatch.setattr(token_counts.TokenRollup, "totals", lambda self: made.append(self) or totals(self))
-    tokens = lambda df: sum(r.n_tokens for r in df.collect())
-    total = tokens(queries.op7_token_counts(spark, SMALL))
-    assert sorted(made[0].committed()) == ["batch-load", "batch-revision"]
-    parts = {n: tokens(spark.read.parquet(f"{made[0]._path}/{n}")) for n in made[0].committed()}
-    assert all(parts.values()) and sum(parts.values()) == total
-    docs = token_counts.count_tokens(spark.read.parquet(f"{SMALL}/documents.parquet").select("text"), queries.tokenizer())
-    assert tokens(docs) == total
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in queries.op7_token_counts(spark, SMALL).collect()}
+    assert sorted(b for names in made[0].committed().values() for b in names) == ["load", "revision"]
+    parts = {names[0]: spark.read.parquet(f"{made[0]._path}/{n}").collect() for n, names in made[0].committed().items()}
+    assert any(r.source.startswith("unsorted/") for r in parts["load"]) and min(r.n_docs for r in parts["revision"]) < 0 < max(r.n_docs for r in parts["revision"])
+    n_docs, n_tokens = Counter(), Counter()
+    for r in token_counts.count_tokens(spark.read.parquet(f"{SMALL}/documents.parquet"), queries.tokenizer()).collect():
+        n_docs[r.source, r.lang] += 1
+        n_tokens[r.source, r.lang] += r.n_tokens
+    assert got == {k: (n_docs[k], n_tokens[k]) for k in n_docs}
+
+
+def test_a_batch_committed_while_another_compacts_counts_once(spark, monkeypatch):
+    own = rollup(spark)
+    own.commit("one", docs(spark, 1))
+    other, listed = token_counts.TokenRollup(spark, own._path, queries.tokenizer(), "v1"), own.committed
+
+    def meanwhile():
+        held = listed()
+        monkeypatch.undo()
+        other.commit("two", docs(spark, 1))
+        return held
+
+    monkeypatch.setattr(own, "committed", meanwhile)
+    own.compact()
+    assert counts(own) == {"s": 2}
+    own.compact()
+    own.commit("three", docs(spark, 1, "t"))
+    assert counts(own) == {"s": 2, "t": 1}
+
+
+def test_a_batch_committed_twice_at_once_counts_once(spark, monkeypatch):
+    own = rollup(spark)
+    monkeypatch.setattr(own, "committed", dict)  # neither sees the other
+    assert own.commit("one", docs(spark, 3)) and own.commit("one", docs(spark, 3))
+    monkeypatch.undo()
+    assert counts(own) == {"s": 3} and not own.commit("one", docs(spark, 3))
+
+
+def test_deletes_revisions_nulls_and_empty_batches(spark):
+    own = rollup(spark)
+    own.commit("load", spark.createDataFrame([(None, None, None), ("a", "en", "x"), ("a", "en", "y")], "source string, lang string, text string"))
+    own.commit("none", docs(spark, 0))
+    own.commit("delete", spark.createDataFrame([("a", "en", "x", -1), ("a", "en", "y", -1), ("b", "en", "y", 1)], "source string, lang string, text string, sign int"), "sign")
+    assert counts(own) == {None: 1, "b": 1}
