@@ -9,6 +9,7 @@ lately, and numpy copies the ids of repeated chunks.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
@@ -35,12 +36,25 @@ _ODD = rf"[{_WS_RE2}][{_WS_RE2}]|^[{_WS_RE2}]|[{_WS_RE2}]$|\x01"
 _JOINABLE = re.compile(rf"[ \n][^{_WS}](?:[^ \n]*[^{_WS}])?").fullmatch
 
 
+def _added_strings(file: dict, path: str) -> tuple[str, ...]:
+    """The special strings of a ``tokenizers`` file, longest first, if it is of
+    the kind whose ids chunks can be put together to."""
+    cutter, added = file.get("pre_tokenizer") or {}, file.get("added_tokens") or []
+    byte_level = cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space")
+    exact = not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if file["model"].get("type") != "BPE" or file["model"].get("dropout") or file.get("normalizer") or not byte_level or not exact:
+        raise ValueError(f"{path} isn't a byte-level BPE without normalizer whose special tokens stand for themselves")
+    return tuple(sorted((t["content"] for t in added), key=len, reverse=True))
+
+
 class TextEncoder:
     """Encodes texts with a ``tokenizers`` file, each distinct chunk once.
 
     The chunk cache is emptied when it holds ``max_chars`` characters or
-    ``max_chunks`` chunks, so memory stays bounded whatever the input.
-    Special-token strings inside a text are ordinary text.
+    ``max_chunks`` chunks, so memory stays bounded whatever the input.  Ids are
+    those of the library's ``encode(text, add_special_tokens=False)``; so the
+    string of a special token inside a text is that token.  Files are refused
+    if their ids can't be put together from chunks.
     """
 
     def __init__(self, path: str, max_chunks: int = 1_000_000, max_chars: int = 16_000_000):
@@ -48,7 +62,9 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._added = _added_strings(json.loads(self._tokenizer.to_str()), path)
+        self._cut = re.compile("|".join(f"({re.escape(t)})" for t in self._added)) if self._added else None
+        self._odd = "|".join([_ODD, *map(re.escape, self._added)])
         vocab = self._tokenizer.get_vocab()
         self._opens = np.zeros(max(vocab.values()) + 1, bool)
         openers = tuple(self._tokenizer.encode(c, add_special_tokens=False).tokens[0] for c in " \n")
@@ -120,6 +136,11 @@ class TextEncoder:
         ids, lens = self._gather(pair, lengths), lengths[::2] + lengths[1::2]
         self._add(chunks, ids, lens)
 
+    def _chunks(self, text: str) -> list[str]:
+        """A text cut where the library cuts it: special tokens first."""
+        parts = [p for p in self._cut.split(text) if p] if self._cut else [text]
+        return [c for p in parts for c in ([p] if p in self._added else _CHUNK.findall(p))]
+
     def _slots(self, chunks: list[str]) -> np.ndarray:
         """Places of chunks in the cache."""
         got = list(map(self._slot.get, chunks))
@@ -129,7 +150,7 @@ class TextEncoder:
                 got = [None] * len(chunks)
             missed = [i for i, slot in enumerate(got) if slot is None]
             new = dict.fromkeys([chunks[i] for i in missed])
-            marked = [c for c in new if c and c[-1] in _MARKS and c.rstrip(_MARKS)[-1:].isalnum()]
+            marked = [c for c in new if c and c[-1] in _MARKS and c.rstrip(_MARKS)[-1:].isalnum() and c not in self._added]
             if rest := [*set(new).difference(marked, [""])]:
                 self._learn(rest)
             if marked:
@@ -148,7 +169,7 @@ class TextEncoder:
         """All ids of a column of texts, and where each text's ids begin
         (one place more than texts).  Null has no ids, as an empty text."""
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, _ODD)
+        odd = pc.match_substring_regex(texts, self._odd)
         marked = pc.binary_join_element_wise(_START, pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), "")
         lists = pc.split_pattern(marked, " ")
         words = lists.flatten().dictionary_encode()
@@ -156,7 +177,7 @@ class TextEncoder:
         chunks = [p if p[:1] == "\n" else p[1:] if p[:1] == _START else " " + p for p in words.dictionary.to_pylist()]
         known, rest = len(chunks), {}
         for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
-            rest[i] = _CHUNK.findall(texts[i].as_py())
+            rest[i] = self._chunks(texts[i].as_py())
             chunks += rest[i]
         places = self._slots(chunks)
         at, bounds = places[:known][words.indices.to_numpy()], np.asarray(lists.offsets, np.int64)

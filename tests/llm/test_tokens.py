@@ -1,7 +1,9 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -14,7 +16,6 @@ from .cases import DOCS, documents, got
 
 def plain():
     t = Tokenizer.from_file(queries.tokenizer())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -33,6 +34,11 @@ def test_chunked_ids_are_the_library_s(texts):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [ENCODE(t) for t in texts]
 
 
+def test_files_of_another_kind_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        tokens.TextEncoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_chunked_ids_of_whole_documents(spark):
     texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
     ids, bounds = tokens.TextEncoder(queries.tokenizer()).encode(pa.array(texts, pa.string()))
