@@ -13,6 +13,7 @@ share one symbol that, like the border between documents, matches nothing.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from functools import partial
@@ -22,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches
+from .shared import map_batches, stored
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: The same words before A-Z are lower-cased, as Spark's expressions match them.
+_WORD_CHARS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SHARD_WORDS = 1 << 19
 SAMPLE = 16
 
@@ -138,7 +141,7 @@ class FMIndex:
             go = np.flatnonzero((back < lengths) & (low < high))
             if not len(go):
                 break
-            symbol = phrases[go, -1 - back]
+            symbol = phrases[go, -1 - back].astype(np.int64)
             low[go] = self._first[symbol] + self._tree.rank(symbol, low[go])
             high[go] = self._first[symbol] + self._tree.rank(symbol, high[go])
         return low, high
@@ -159,16 +162,18 @@ class FMIndex:
 class Phrases:
     """The distinct windows of some benchmark items, as numbers of words."""
 
-    def __init__(self, items: list[tuple[object, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.vocabulary: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[int]] = {}
-        self.items = [item for item, _ in items]
-        for k, (_, words) in enumerate(items):
+        places: dict[str, int] = {}
+        for item, words in items:
+            k = places.setdefault(item, len(places))
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
                 owners.setdefault(tuple(ids[i : i + window]), set()).add(k)
+        self.items = list(places)
         self.lengths = np.array([len(p) for p in owners], np.int64)
-        self.symbols = np.zeros((len(owners), window), np.int64)
+        self.symbols = np.zeros((len(owners), window), np.int32)
         for row, phrase in zip(self.symbols, owners, strict=True):
             row[window - len(phrase) :] = phrase
         counts = np.array([len(x) for x in owners.values()], np.int64)
@@ -230,7 +235,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _search(batches: Iterator[pa.RecordBatch], task: int, phrases, shard_words: int, cut: bool) -> Iterator[pa.RecordBatch]:
     """Adds what one block of phrases hits to the columns n_words, spans,
     item_ids; then, if asked, cuts what all blocks hit out of the texts."""
-    phrases = phrases.value
+    phrases = pickle.loads(phrases.value)
     number = phrases.vocabulary.get
 
     def searched(rows: pa.RecordBatch, docs: list[np.ndarray]) -> pa.RecordBatch:
@@ -238,7 +243,7 @@ def _search(batches: Iterator[pa.RecordBatch], task: int, phrases, shard_words:
         names = rows.schema.names
         for k, (old_spans, old_items) in enumerate(zip(rows.column("spans").to_pylist(), rows.column("item_ids").to_pylist(), strict=True)):
             spans[k] = _merged([*((s["first"], s["last"]) for s in old_spans or []), *spans[k]])
-            items[k] = sorted({*(old_items or []), *(str(phrases.items[i]) for i in items[k])})
+            items[k] = sorted({*(old_items or []), *(phrases.items[i] for i in items[k])})
         new = {
             "n_words": pa.array([len(d) for d in docs], pa.int64()),
             "spans": pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], rows.schema.field("spans").type),
@@ -270,39 +275,59 @@ def _joined(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
     return rows[0] if len(rows) == 1 else pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
 
 
-def _blocks(items: Iterator, window: int, max_words: int) -> Iterator[Phrases]:
-    block, size = [], 0
-    for row in items:
-        words = words_of(row["text"])
-        if block and size + len(words) > max_words:
-            yield Phrases(block, window)
-            block, size = [], 0
-        block.append((row["item_id"], words))
-        size += len(words)
-    yield Phrases(block, window)
+def _phrases(items: pa.Table, window: int) -> pa.Table:
+    """One block's items as the row (block, phrases)."""
+    pairs = zip(items.column("item_id").to_pylist(), map(words_of, items.column("text").to_pylist()), strict=True)
+    return pa.table({"block": items.column("block").slice(0, 1), "phrases": pa.array([pickle.dumps(Phrases(sorted(pairs), window))], pa.binary())})
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS, block_words: int = 1_000_000, cut: bool = False) -> DataFrame:
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[bytes]:
+    """The benchmark's windows in blocks that tasks make; one that is empty if
+    there is nothing else.  The driver only hands one on at a time."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.regexp_count("text", F.lit(_WORD_CHARS)))).first()[0] or 0
+    count = max(1, -(-2 * total // block_words))  # half full, as a hash deals unevenly
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)).cast("int"))
+
+    def build(items: pa.Table) -> pa.Table:
+        return _phrases(items, window)
+
+    made = stored(dealt.groupBy("block").applyInArrow(build, "block int, phrases binary"), "benchmark-blocks")
+    numbers = sorted(r.block for r in made.select("block").collect())
+    for number in numbers:
+        yield bytes(made.where(F.col("block") == number).first().phrases)
+    if not numbers:
+        yield pickle.dumps(Phrases([], window))
+
+
+def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS, block_words: int = 500_000, cut: bool = False) -> DataFrame:
     """The documents with n_words, spans and item_ids.
 
     ``spans`` are the words [first, last) inside occurrences of any window of
     ``benchmark`` (item_id, text): ``window`` consecutive words, or all of an
     item that has fewer.  ``item_ids`` (text, sorted as text) are the items
     with an occurring window.  The documents' columns all stay, but for any
-    of these names.  The benchmark is read in blocks of ``block_words`` words,
-    and the documents once for each block, so that what is broadcast is
-    bounded whatever its size.  Null texts have no words; an item whose
-    text has none has no window; repeated documents and items count each.
+    of these names.  The benchmark is dealt to blocks of ``block_words`` words
+    at most, if no single item has more.  The documents are read once for
+    each block, and what a block found is stored before the next, so that one
+    block alone is broadcast at a time, whatever the benchmark's size.
+
+    Null texts have no words; an item whose text has none has no window.
+    Repeated documents count each.  Rows that repeat an item_id are one item;
+    a null item_id is one too, its id the empty text.
     With ``cut`` the rows are those of remove_spans(), made in the same pass.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     out = docs.drop("n_words", "spans", "item_ids").selectExpr("*", "CAST(0 AS BIGINT) n_words", "CAST(NULL AS ARRAY<STRUCT<first: INT, last: INT>>) spans", "CAST(NULL AS ARRAY<STRING>) item_ids")
-    blocks = _blocks(benchmark.select("item_id", "text").toLocalIterator(), window, block_words)
-    phrases = next(blocks)
-    while phrases:
-        after = next(blocks, None)
-        out = map_batches(out, partial(_search, phrases=spark.sparkContext.broadcast(phrases), shard_words=shard_words, cut=cut and not after), out.schema)
-        phrases = after
+    blocks = _blocks(benchmark, window, block_words)
+    block = next(blocks)
+    while block is not None:
+        after, sent = next(blocks, None), context.broadcast(block)
+        out = map_batches(out, partial(_search, phrases=sent, shard_words=shard_words, cut=cut and after is None), out.schema)
+        if after is not None:
+            out = stored(out, "found-spans")
+            sent.unpersist()
+        block = after
     return out
 
 

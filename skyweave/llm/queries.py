@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, exact_dedup, packing, simhash, token_counts, token_files, toxicity, url_rules, warc
@@ -106,8 +106,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=2)
 
 
-def held_out(doc_id) -> object:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+def held_out(doc_id: Column) -> Column:
+    """A null doc_id isn't held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train_toxicity(spark: SparkSession, documents: DataFrame, sf_dir: str) -> toxicity.Model:

@@ -158,10 +158,15 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     Of more than ``max_rows`` labels about that many are drawn by a hash of
     doc_id, the same at every run.  Null labels and labels without a document
     don't count, null texts are empty, and without rows every score is 0.5.
+    Any label but 0 is 1.  A doc_id that is labelled again counts once, as 1
+    if any of its labels is; documents that repeat a doc_id count each.
     """
     s = settings or Settings()
     spark = docs.sparkSession
-    known = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("draw"))
+    known = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), (F.col("label") != 0).cast("int").alias("label"))
+    # a row for each doc_id, so that what is drawn below is about max_rows rows
+    known = known.groupBy("_id").agg(F.max("label").alias("label")).withColumn("draw", F.pmod(F.xxhash64("_id"), F.lit(1 << 20)))
+    known = stored(known, "toxicity-labels")
     total = known.count()
     drawn = known.where(F.col("draw") < (1 << 20) * s.max_rows / max(total, 1))
     # about max_rows numbers, whatever the corpus: the documents aren't shuffled for them

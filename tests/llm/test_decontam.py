@@ -32,7 +32,7 @@ def brute(docs, items, window=10):
                 if (p := tuple(w[i : i + n])) in owners:
                     hit.update(range(i, i + n))
                     found |= owners[p]
-        ids = ",".join(sorted(map(str, found)))
+        ids = ",".join(sorted("" if i is None else str(i) for i in found))
         out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)))
     return sorted(out, key=repr)
 
@@ -51,13 +51,16 @@ def test_query_against_brute_force(spark):
     assert any(r[5] for r in rows)
 
 
-ITEMS = [(1, "the quick brown fox the quick brown fox the quick brown fox"), (2, "Alpha BETA"), (3, None), (4, "..."), (5, "東京 😀"), (5, "alpha beta"), (6, "gamma")]
+ITEMS = [(1, "the quick brown fox the quick brown fox the quick brown fox"), (2, "Alpha BETA"), (3, None), (4, "..."), (5, "東京 😀"), (5, "alpha beta"), (6, "gamma"), (6, "gamma"), (None, "only here"), (None, "alpha")]
 
 
 def test_edge_rows_in_small_shards_and_blocks(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     for shard, block in ((1 << 20, 10**6), (5, 4)):
         assert got(digest(decontam.find_spans(documents(spark), items, shard_words=shard, block_words=block))) == brute(DOCS, ITEMS)
+        # blocks are stored between, never chained
+        plan = decontam.find_spans(documents(spark), items, shard_words=shard, block_words=block)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
     assert decontam.find_spans(documents(spark, []), items).count() == 0
     assert not any(r[5] for r in got(digest(decontam.find_spans(documents(spark), items.limit(0)))))
 
@@ -74,7 +77,7 @@ def test_removed_text_is_clean(spark):
 @given(st.lists(st.lists(st.integers(0, 3), max_size=12), max_size=6), st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=6), max_size=4))
 def test_index_finds_what_scanning_finds(docs, items):
     named = lambda xs: [b"w%d" % x for x in xs]
-    phrases = decontam.Phrases([(k, named(x)) for k, x in enumerate(items)], 3)
+    phrases = decontam.Phrases([(str(k), named(x)) for k, x in enumerate(items)], 3)
     spans, found = decontam.search_shard([np.array([phrases.vocabulary.get(b"w%d" % x, 0) for x in d], np.int64) for d in docs], phrases)
     for d, s, f in zip(docs, spans, found, strict=True):
         hit, owners = set(), set()
@@ -86,4 +89,4 @@ def test_index_finds_what_scanning_finds(docs, items):
                         hit.update(range(at, at + len(p)))
                         owners.add(k)
         assert {x for a, b in s for x in range(a, b)} == hit
-        assert sorted(f) == sorted(owners)
+        assert sorted(phrases.items[i] for i in f) == sorted(map(str, owners))

@@ -1,6 +1,13 @@
+import math
+import re
 import zlib
 
 import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skyweave.llm import queries, toxicity
 from tests.oracle import SMALL
@@ -62,3 +69,70 @@ def test_bound_draws_about_as_many(spark):
 def test_training_is_repeatable(spark):
     a, b = small(spark), small(spark, ROWS[::-1])
     assert np.array_equal(a.at, b.at) and np.allclose(a.weights, b.weights)
+
+
+def plain_features(text, bits):
+    """The places of a text, n-gram by n-gram."""
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(b"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    h, m = [xxhash.xxh64_intdigest(w) for w in words], [int(x) for x in toxicity._MIX]
+    grams = [*h, *((a * m[1] % 2**64) ^ (b * m[2] % 2**64) for a, b in zip(h, h[1:])), *((a * m[3] % 2**64) ^ (b * m[4] % 2**64) for a, b in zip(h, h[2:]))]
+    return sorted({*((g * m[0] % 2**64) >> (64 - bits) for g in grams), 0})
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.one_of(st.none(), st.text(alphabet="aB cé1-\n東", max_size=30)))
+def test_features_are_what_a_plain_loop_gives(text):
+    assert np.unique(toxicity.features(text, 12)).tolist() == plain_features(text, 12)
+
+
+def plain_pass(rows, z, n, s):
+    """FTRL-proximal weight by weight."""
+    for at, label in rows:
+        w = {}
+        for i in at:
+            w[i] = 0.0 if abs(z[i]) <= s.l1 else -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for i in at:
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+
+
+@pytest.mark.parametrize("shard_rows", [5000, 90])
+def test_training_is_what_plain_loops_give(spark, shard_rows):
+    """Every epoch from the mean of the shards' states, kept as 32-bit floats."""
+    s = toxicity.Settings(bits=10, l1=0.1, shard_rows=shard_rows)
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, label int")
+    dealt = -(-len(ROWS) // shard_rows)
+    model = toxicity.train(df, df, s)
+    # the shards that Spark deals, by the hashes it deals them by
+    order = df.select("text", "label", F.pmod(F.hash(F.xxhash64(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))), F.lit(dealt)).alias("p"), F.xxhash64("doc_id", F.lit(1)).alias("o")).orderBy("p", "o").collect()
+    shards = []
+    for p in range(dealt):
+        own = [(plain_features(r.text, s.bits), r.label) for r in order if r.p == p]
+        shards += [own[i : i + shard_rows] for i in range(0, len(own), shard_rows)]
+    z = n = [0.0] * (1 << s.bits)
+    for _ in range(s.epochs):
+        states = []
+        for rows in shards:
+            states.append((list(z), list(n)))
+            plain_pass(rows, *states[-1], s)
+        z, n = ([float(np.float32(np.mean([np.float32(x[k][i]) for x in states]))) for i in range(1 << s.bits)] for k in (0, 1))
+    want = {i: -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2) for i in range(1 << s.bits) if abs(z[i]) > s.l1}
+    got_weights = dict(zip(model.at.tolist(), model.weights.tolist(), strict=True))
+    near = {i for i in range(1 << s.bits) if abs(abs(z[i]) - s.l1) < 1e-3}
+    assert want.keys() - near == got_weights.keys() - near and len(want) > 20
+    assert all(got_weights[i] == pytest.approx(want[i], rel=1e-3, abs=1e-4) for i in want.keys() - near)
+
+
+def test_repeated_and_odd_labels_count_once(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, label int")
+    more = [(i, t, 5 if label else 0) for i, t, label in ROWS] + [(i, t, 0) for i, t, label in ROWS if label] + [(None, "x", 1), (3, "x", None)]
+    a = toxicity.train(docs, docs, toxicity.Settings(l1=1.0))
+    b = toxicity.train(docs, spark.createDataFrame(more, "doc_id long, text string, label int"), toxicity.Settings(l1=1.0))
+    assert np.array_equal(a.at, b.at) and np.allclose(a.weights, b.weights)
+
+
+def test_a_null_doc_id_is_not_held_out(spark):
+    rows = spark.createDataFrame([(None,), (1,), (5,)], "doc_id long").select("doc_id", queries.held_out(F.col("doc_id")).alias("h")).collect()
+    assert {r.doc_id: r.h for r in rows} == {None: False, **{i: zlib.crc32(str(i).encode()) % 5 == 0 for i in (1, 5)}}
