@@ -1,17 +1,23 @@
 """Near copies: rows whose sets of five-word shingles are alike (Jaccard 0.8 or more).
 
-One 64-bit SimHash can't find these at scale: such pairs differ in up to 17
-bits (sf0.001), and blocks that leave a link in one shard at such a radius
-leave shards nearly as large as the table.  So shards are dealt by min-hashes: 24 bands of five,
-of which a pair at 0.8 shares one with probability 0.9999 and any pair above
-it more.  Every link is then checked by the exact similarity of the two sets.
-Each shard's rows are checked against its first; where that leaves more than
-one group, all pairs of rows of different groups are checked, so that a large
-group of near copies costs in proportion to its size and no link is skipped.
+The SimHash operator for similarities instead of a fixed, small radius.  Two
+sets at 0.8 differ in about 10 of 64 fingerprint bits, up to 20, and blocks of
+bits that leave such a pair in one shard would leave shards nearly as large as
+the table.  So shards are dealt by min-hashes: 24 bands of five, of which a
+pair at 0.8 shares one with probability 0.9999 and any pair above it more.
+Within a shard, a BK-tree over the fingerprints gives the rows within
+``RADIUS`` bits, and these are checked, nearest first, by the exact similarity
+of their sets.  Rows that are joined already aren't checked again, so a group
+of near copies costs about one check for each row.
+
+A shard of more than ``BLOCK_ROWS`` rows is dealt to blocks.  When the links
+within the blocks are known, those rows that its largest group lacks are sent
+to all of its blocks, so that no link is skipped.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import map_batches, stored
-from .simhash import components
+from .simhash import BKTree, Forest, components, majority_bits
 
 WORDS, PERCENT = 5, 80
 BANDS, WIDTH = 24, 5
+#: Five deviations above the mean of pairs at 0.8, whatever their length.
+RADIUS = 25
+BLOCK_ROWS, BLOCK_BYTES = 512, 16 << 20
 _random = np.random.default_rng(42)
 _FACTORS = _random.integers(0, 2**63, (BANDS * WIDTH, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _random.integers(0, 2**63, (BANDS * WIDTH, 1), np.uint64)
@@ -53,18 +62,21 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
     common = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, keys = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, BANDS), np.uint64)
+        sizes, prints, keys = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, BANDS), np.uint64)
         for n, text in enumerate(batch.column(1)):
             hashes = shingles(text.as_py())
-            sizes[n], keys[n] = len(hashes), band_keys(hashes)
+            sizes[n], prints[n], keys[n] = len(hashes), majority_bits(hashes), band_keys(hashes)
         ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
-        yield pa.record_batch([batch.column(0), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1).view(np.int64)))], names=["row", "size", "keys"])
+        columns = [batch.column(0), pa.array(sizes), pa.array(prints.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1).view(np.int64)))]
+        yield pa.record_batch(columns, names=["row", "size", "fp", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[pa.RecordBatch]:
@@ -72,24 +84,55 @@ def _sets(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[pa.RecordBat
         yield pa.record_batch([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["row", "hashes"])
 
 
-def _check(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[pa.RecordBatch]:
+class _Shard:
+    """The rows of one shard's block that came so far."""
+
+    def __init__(self) -> None:
+        self._tree, self._joined = BKTree(), Forest()
+        self._rows: list[int] = []
+        self._prints: list[int] = []
+        self._sets: list[np.ndarray] = []
+        self._at: defaultdict[int, list[int]] = defaultdict(list)  # rows by node of the tree
+        self._first: dict[int, int] = {}  # of those that were joined before
+
+    def take(self, row: int, fp: int, root: int, hashes: np.ndarray, search: bool) -> Iterator[tuple[int, int]]:
+        """Adds a row, first looking for links to those before it if asked."""
+        own, root_of = self._joined.add(), self._joined.root
+        self._joined.join(own, self._first.setdefault(root, own))
+        if search:
+            found = [i for node in self._tree.near(fp, RADIUS) for i in self._at[node]]
+            found = [(((self._prints[i] ^ fp).bit_count()), i) for i in found if root_of(i) != root_of(own)]
+            for _, i in sorted(found):
+                if root_of(i) != root_of(own) and alike(hashes, self._sets[i]):
+                    self._joined.join(own, i)
+                    yield row, self._rows[i]
+        self._rows.append(row)
+        self._prints.append(fp)
+        self._sets.append(hashes)
+        self._at[self._tree.add(fp)].append(own)
+
+
+def _links(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard and part; a part may go on in the next batch."""
+    last, shard = (), _Shard()
     for batch in batches:
-        pairs = zip(batch.column(2), batch.column(3), strict=True)
-        near = pa.array([alike(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair)) for pair in pairs], pa.bool_())
-        yield batch.select([0, 1]).filter(near)
+        found: list[tuple[int, int]] = []
+        keys = zip(*(batch.column(c).to_pylist() for c in ("key", "block", "part")), strict=True)
+        prints = batch.column("fp").to_numpy().view(np.uint64).tolist()
+        rows, roots, searches = (batch.column(c).to_pylist() for c in ("row", "root", "search"))
+        for key, row, fp, root, hashes, search in zip(keys, rows, prints, roots, batch.column("hashes"), searches, strict=True):
+            if key != last:
+                last, shard = key, _Shard()
+            found += shard.take(row, fp, root, np.frombuffer(hashes.as_buffer(), np.uint64).copy(), search)
+        yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are alike.  Both joins are of tables and are
-    shuffled, so that a row of many pairs can be split."""
-    one, two = (sets.select(F.col("row").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in "ab")
-    joined = stored(pairs, "near-pairs").join(one, "a").join(two, "b").select("a", "b", "a_hashes", "b_hashes")
-    return stored(map_batches(joined, _check, "a long, b long"), "near-links")
-
-
-def _may_be(a: str, b: str) -> str:
-    """Whether sets of these sizes can be alike at all."""
-    return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
+def _linked(dealt: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """Links (a, b) within each block and part of the shards."""
+    keys = ["key", "block", "part"]
+    rows = dealt.join(sets, "row").select(*keys, "search", "row", "root", "fp", "hashes")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "search", "row")
+    return stored(map_batches(ordered, _links, "a long, b long"), name)
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -98,24 +141,32 @@ def groups(rows: DataFrame) -> DataFrame:
     that stays when the table is read again, and ``text``.  Null and empty
     texts, and texts of white space, have no shingle and are alike."""
     rows = rows.select("row", "text")
-    sketches = stored(map_batches(rows, _sketches, "row long, size long, keys array<long>"), "near-sketches")
-    flat = sketches.select("row", "size", F.explode("keys").alias("key"))
-    shards = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "size")).alias("first"), F.max("row").alias("last"), F.bit_xor(F.xxhash64("row")).alias("mark"))
+    sketches = stored(map_batches(rows, _sketches, "row long, size long, fp long, keys array<long>"), "near-sketches")
+    flat = sketches.select("row", "size", "fp", F.explode("keys").alias("key"))
+    shards = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("row").alias("first"), F.max("row").alias("last"), F.bit_xor(F.xxhash64("row")).alias("mark"))
     # shards of one row have no link; of shards with the same rows one is enough
-    shards = shards.where("n > 1").groupBy("n", "first", "last", "mark").agg(F.min("key").alias("key"))
-    shards = stored(shards.select("key", F.col("first.row").alias("first"), F.col("first.size").alias("first_size")), "near-shards")
-    members = stored(flat.join(shards, "key"), "near-members")
-    sets = stored(map_batches(rows.join(members.select("row").distinct(), "row", "left_semi"), _sets, "row long, hashes binary"), "near-sets")
-    found = _checked(members.where(f"row != first AND {_may_be('size', 'first_size')}").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct(), sets)
-    roots = stored(components(found), "near-roots")
-    members = members.join(roots, members.row == roots.node, "left").withColumn("root", F.coalesce("root", "row"))
-    members = stored(members.select("key", "row", "size", "first", "root"), "near-members")
-    main = members.groupBy("key", "root").count().groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("count", "root")).alias("main"))
-    # the first row's pairs are done
-    still = stored(members.where("row != first").join(main.where("roots > 1").select("key", "main"), "key"), "near-open")
-    one = still.where("root != main").select("key", "main", *(F.col(c).alias(f"{c}_a") for c in ("row", "size", "root")))
-    two = still.select("key", *(F.col(c).alias(f"{c}_b") for c in ("row", "size", "root")))
-    pairs = one.join(two, "key").where(f"root_a != root_b AND (root_b = main OR row_a < row_b) AND {_may_be('size_a', 'size_b')}")
-    more = _checked(pairs.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct(), sets)
-    roots = roots if more.isEmpty() else stored(components(found.unionByName(more)), "near-roots")
+    shards = shards.where("n > 1").groupBy("n", "size", "first", "last", "mark").agg(F.min("key").alias("key"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, 8 * F.col("size") / BLOCK_BYTES)).cast("int")
+    shards = stored(shards.select("key", F.greatest(F.lit(1), blocks).alias("blocks")), "near-shards")
+    members = stored(flat.join(shards, "key").select("key", "blocks", "row", "fp"), "near-members")
+    sets = stored(map_batches(rows.join(stored(members.select("row").distinct(), "near-rows-of-shards"), "row", "left_semi"), _sets, "row long, hashes binary"), "near-sets")
+    own_block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    dealt = members.select("key", own_block.alias("block"), F.lit(0).alias("part"), F.lit(True).alias("search"), "row", F.col("row").alias("root"), "fp")
+    links = _linked(dealt, sets, "near-links")
+    roots = stored(components(links), "near-roots")
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        large = large.join(roots, large.row == roots.node, "left").select("key", "blocks", "row", "fp", F.coalesce("root", "row").alias("root"))
+        large = stored(large, "near-large")
+        sizes = large.groupBy("key", "blocks", "root").count().groupBy("key", "blocks")
+        sizes = sizes.agg(F.sum("count").alias("n"), F.max(F.struct("count", "root")).alias("main")).where("n > main.count")
+        parts = F.ceil((F.col("n") - F.col("main.count")) * F.col("blocks") / F.col("n")).cast("int")
+        large = stored(large.join(stored(sizes.select("key", F.col("main.root").alias("main"), parts.alias("parts")), "near-mains"), "key"), "near-open")
+        # every row in its block, for each part of the rows that search; these in each block
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        there = large.select("key", own_block.alias("block"), numbers(F.col("parts")).alias("part"), F.lit(False).alias("search"), "row", "root", "fp")
+        seeking = large.where("root != main").select("key", numbers(F.col("blocks")).alias("block"), F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("search"), "row", "root", "fp")
+        more = _linked(there.unionByName(seeking), sets, "near-more-links")
+        if not more.isEmpty():
+            roots = stored(components(links.unionByName(more)), "near-roots")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -64,7 +64,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.read_digests(stored(chat.expand(rows), "chat-examples"))
+    return chat.read_digests(stored(chat.whole_examples(rows, tails=True), "chat-examples"))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

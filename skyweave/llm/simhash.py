@@ -40,7 +40,11 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
+    return majority_bits(np.array([digest(joined[a:b], seed) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; none of none."""
     by_byte = hashes.view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(by_byte[:, k], minlength=256) @ _BITS for k in range(8)])
     return sum(1 << b for b in np.flatnonzero(2 * ones > len(hashes)).tolist())
@@ -59,48 +63,70 @@ class BKTree:
         self._values: list[int] = []
         self._children: list[dict[int, int]] = []
 
-    def link(self, value: int, radius: int) -> list[int]:
-        """Numbers of the nodes within the radius; then adds the value."""
-        if not self._values:
-            self._values.append(value)
-            self._children.append({})
-            return []
-        found, todo, values, children = [], [0], self._values, self._children
+    def near(self, value: int, radius: int) -> list[int]:
+        """Numbers of the nodes within the radius; only edges that may lead
+        to one are followed."""
+        found, todo, values, children = [], [0] if self._values else [], self._values, self._children
         while todo:
             node = todo.pop()
             distance = (values[node] ^ value).bit_count()
             if distance <= radius:
                 found.append(node)
-            below = children[node]
-            for d in range(max(1, distance - radius), distance + radius + 1):
-                if d in below:
-                    todo.append(below[d])
-        node = 0
-        while (d := (values[node] ^ value).bit_count()) in children[node]:
-            node = children[node][d]
-        children[node][d] = len(values)
-        values.append(value)
-        children.append({})
+            low, high, below = distance - radius, distance + radius, children[node]
+            if len(below) <= 2 * radius:
+                todo += [child for d, child in below.items() if low <= d <= high]
+            else:
+                todo += [below[d] for d in range(low, high + 1) if d in below]
         return found
 
+    def add(self, value: int) -> int:
+        """The number of the value's node, a new one if it has none."""
+        node, new = 0, len(self._values)
+        if new:
+            while (d := (self._values[node] ^ value).bit_count()) in self._children[node]:
+                node = self._children[node][d]
+            if not d:
+                return node
+            self._children[node][d] = new
+        self._values.append(value)
+        self._children.append({})
+        return new
 
-def spanning_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links (of distinct fingerprints within the radius) that connect
-    whatever all such links connect, each fingerprint to its component's first."""
-    tree, parent = BKTree(), list(range(len(values)))
 
-    def root(i: int) -> int:
+class Forest:
+    """Which of the numbered things are joined."""
+
+    def __init__(self) -> None:
+        self._parent: list[int] = []
+
+    def add(self) -> int:
+        self._parent.append(len(self._parent))
+        return len(self._parent) - 1
+
+    def root(self, i: int) -> int:
+        parent = self._parent
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
-    for i, value in enumerate(values):
-        for j in tree.link(value, radius):
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    return [(values[root(i)], value) for i, value in enumerate(values) if root(i) != i]
+    def join(self, i: int, j: int) -> bool:
+        """False if they were joined before."""
+        a, b = self.root(i), self.root(j)
+        self._parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def spanning_links(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links (of distinct fingerprints within the radius) that connect
+    whatever all such links connect, each fingerprint to its component's first."""
+    tree, joined = BKTree(), Forest()
+    for value in values:
+        i = joined.add()
+        for j in tree.near(value, radius):
+            joined.join(i, j)
+        tree.add(value)
+    return [(values[joined.root(i)], value) for i, value in enumerate(values) if joined.root(i) != i]
 
 
 def _shard_links(batches: Iterator[pa.RecordBatch], task: int, radius: int) -> Iterator[pa.RecordBatch]:

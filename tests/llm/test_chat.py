@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -37,10 +38,14 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
+def digests(rows, **options):
+    return got(chat.read_digests(chat.whole_examples(rows, tails=True, **options)))
+
+
 def test_edge_rows(spark):
-    assert got(chat.read_digests(chat.expand(table(spark, TURNS)))) == brute(TURNS)
-    assert got(chat.read_digests(chat.expand(table(spark, TURNS), flush_chars=1))) == brute(TURNS)
-    assert chat.read_digests(chat.expand(table(spark, []))).count() == 0
+    assert digests(table(spark, TURNS)) == brute(TURNS)
+    assert digests(table(spark, TURNS), flush_chars=1) == brute(TURNS)
+    assert digests(table(spark, [])) == []
 
 
 def test_query(spark):
@@ -50,7 +55,7 @@ def test_query(spark):
 
 
 def test_every_reply_is_an_example_with_all_turns_before_it(spark):
-    whole = {(r.conv_id, r.example): r for r in chat.whole_examples(chat.expand(table(spark, TURNS))).collect()}
+    whole = {(r.conv_id, r.example): r for r in chat.whole_examples(table(spark, TURNS)).collect()}
     assert len(whole) == sum(r[2] == "assistant" for r in TURNS)
     r = whole[1, 1]
     assert list(chat.parse_turns(r.text)) == [("user", "hi"), ("assistant", "a [INST] </s> \\ \\\\b"), ("user", ""), ("assistant", "")]
@@ -58,6 +63,23 @@ def test_every_reply_is_an_example_with_all_turns_before_it(spark):
     assert chat.unescape(whole[1, 0].text[whole[1, 0].loss_start : whole[1, 0].loss_end]) == "a [INST] </s> \\ \\\\b"
 
 
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "x", ""]), st.text(alphabet="\\<>/s[]INSTROLEASYlb \n"))))
+def test_examples_by_reference_make_the_whole_ones(spark):
+    rows, prompts = chat.expand(table(spark, TURNS)).orderBy("conv_id", "example").collect(), defaultdict(str)
+    whole = {(r.conv_id, r.example): r for r in chat.whole_examples(table(spark, TURNS), tails=True).collect()}
+    assert len(rows) == len(whole)
+    for r in rows:
+        assert len(prompts[r.conv_id]) == r.context_chars
+        prompts[r.conv_id] += r.context + (r.reply or "")
+        assert prompts[r.conv_id] == whole[r.conv_id, r.example].text
+
+
+def test_an_example_without_its_prefix_is_refused():
+    own = chat._Digest()
+    own.take("ab", None, None)
+    with pytest.raises(ValueError, match="turns of the one before"):
+        own.take("b", None, None)
+
+
+@given(st.lists(st.tuples(st.one_of(st.sampled_from(["user", "assistant", "system", "x", ""]), st.text(alphabet="\\<>/s[]INSTROLEn \n", max_size=6)), st.text(alphabet="\\<>/s[]INSTROLEASYlb \n"))))
 def test_template_is_reversible(turns):
     assert list(chat.parse_turns("".join(chat.format_turn(*t)[0] for t in turns))) == turns

@@ -6,8 +6,8 @@ from tests.oracle import SMALL
 
 from .test_decontam import brute as hits
 from .test_exact_dedup import brute as copies
+from .test_near_copies import grouped
 from .test_packing import check
-from .test_simhash import components, fingerprint
 
 
 def test_stages_against_brute_force(spark):
@@ -24,7 +24,7 @@ def test_stages_against_brute_force(spark):
     assert step.columns == docs.columns and texts(step) == {i: before[i] for i in kept}
     before = texts(step)
     step = stages["simhash_near_dedup"](spark, step, SMALL)
-    kept = {r[2] for r in components([(i, fingerprint(t)) for i, t in before.items()])}
+    kept = set(grouped(before.items()).values())
     assert step.columns == docs.columns and texts(step) == {i: before[i] for i in kept}
     before = texts(step)
     step = stages["benchmark_decontamination"](spark, step, SMALL)
@@ -51,3 +51,17 @@ def test_edge_rows_go_through(spark):
             rows = stage(spark, rows, SMALL)
             assert rows.columns == docs.columns, name
         assert (corpus_pipeline.STAGES[-1][1](spark, rows, SMALL).count() > 0) == (docs.limit(0).count() == 0 and rows.count() > 0)
+
+
+def test_copies_go_by_row(spark):
+    rows = [(1, "a b"), (1, "a  b"), (1, "c"), (None, "c"), (None, "d e"), (None, "d  e"), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, (r.text or "").strip()) for r in corpus_pipeline.drop_copies(spark, docs, SMALL).collect()), key=repr)
+    assert [(i, " ".join(t.split())) for i, t in kept] == sorted([(1, "a b"), (1, "c"), (None, "d e"), (2, "")], key=repr)
+
+
+def test_runs_leave_no_table(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    before = {t.name for t in spark.catalog.listTables()}
+    corpus_pipeline.drop_copies(spark, docs, SMALL).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
