@@ -17,43 +17,43 @@ from skyweave.llm.queries import tokenizer, train_toxicity
 from skyweave.llm.shared import stored
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id isn't one of ``ids``, where null is an id too."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose toxicity score is below one half."""
     return toxicity.score(docs, train_toxicity(spark, docs, sf_dir)).where("score < 0.5").select(docs.columns)
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with ``_row``, their number in a table of their own, which is
+    what they are dropped by: a doc_id may be null or repeat."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
+def _without(rows: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """The rows that aren't dropped.  What goes is in a table, so that Spark
+    broadcasts it where its size is small enough and no text is shuffled."""
+    return rows.join(stored(dropped.select("_row"), name), "_row", "left_anti").drop("_row")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text, that with the smallest doc_id; where rows repeat
     a doc_id with one text, one of them."""
+    rows = _numbered(docs, "copies")
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    verdicts = stored(index.ingest(docs).select("doc_id", "kept", "text_sha256"), "verdicts")
-    ids = verdicts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept"))
-    out = _without(docs, ids.where("rows > 1 OR NOT kept"))
-    repeated = stored(ids.where("rows > 1").select("doc_id"), "repeated-ids")
-    if repeated.isEmpty():
-        return out
-    own = docs.join(repeated.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    own = own.withColumn("_sha", F.sha2(exact_dedup.normalised(F.col("text")), 256)).dropDuplicates(["doc_id", "_sha"])
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept"))
-    own = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept")), "left_semi")
-    return out.unionByName(own.select(docs.columns))
+    out = _without(rows, index.ingest(rows, carry="_row").where("NOT kept"), "copies-dropped")
+    index.drop()
+    return out.select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group that links of a five-word Jaccard similarity of
     0.8 or more join, that with the smallest doc_id, where null is larger than
     any other; of rows that repeat this doc_id in the group, one."""
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    rows = _numbered(docs, "near-rows")
     groups = near_copies.groups(rows.select(F.col("_row").alias("row"), "text"))
     found = stored(rows.select("_row", "doc_id").join(groups, F.col("_row") == F.col("node")).select("_row", "doc_id", "root"), "near-groups")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
-    rest = found.join(first, "root").where("_row != first._row").select("_row")
-    return rows.join(rest, "_row", "left_anti").select(docs.columns)
+    rest = found.join(stored(first, "near-firsts"), "root").where("_row != first._row")
+    return _without(rows, rest, "near-dropped").select(docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
