@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import copy
+import csv
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,34 +33,88 @@ def modality_key(name: Column) -> Column:
     return F.when(key.isin(*KEYS), "fiveg").otherwise(key)
 
 
+def headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The CSV files of the paths (files, folders with all below, patterns)
+    by their header.  Only first lines are read; paths that aren't there and
+    files without a line are left out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop
+    codecs = hadoop.io.compress.CompressionCodecFactory(conf)
+    found: dict[tuple[str, ...], list[str]] = {}
+
+    def files(status) -> Iterator:
+        name = status.getPath().getName()
+        if status.isFile():
+            yield status.getPath()
+        elif not name.startswith(("_", ".")):
+            for below in sorted(status.getPath().getFileSystem(conf).listStatus(status.getPath()), key=lambda s: s.getPath().toString()):
+                if not below.getPath().getName().startswith(("_", ".")):
+                    yield from files(below)
+
+    for path in paths:
+        at = hadoop.fs.Path(path)
+        for status in at.getFileSystem(conf).globStatus(at) or []:
+            for file in files(status):
+                stream = file.getFileSystem(conf).open(file)
+                try:
+                    codec = codecs.getCodec(file)
+                    text = jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
+                    line = jvm.java.io.BufferedReader(text).readLine()
+                finally:
+                    stream.close()
+                if line is not None:
+                    names = next(csv.reader([line.removeprefix("\ufeff")]), [])
+                    found.setdefault(tuple(n.strip() for n in names), []).append(file.toString())
+    return found
+
+
 def read_csv(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
-    """Files with a header, read by column name.  Columns that a file lacks
-    are null, aliases are renamed, NaN and blanks are null."""
+    """Files with a header, each read by its own column names.  Columns that a
+    file lacks are null, other ones are left out; aliases are renamed where a
+    file lacks the name itself, and of a name that repeats the first counts.
+    NaN and blanks are null.  No file, or one that isn't there, has no rows."""
     schema = StructType.fromDDL(SCHEMAS[kind])
-    text = spark.read.option("header", True).option("nanValue", "\x00").csv(path)
-    have = {ALIASES.get(c, c): c for c in text.columns}
-    cast = {f.name: F.when(F.lower(F.trim(F.col(have[f.name]))) != "nan", F.trim(F.col(have[f.name]))).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType) for f in schema}
-    return text.select(*(c.alias(n) for n, c in cast.items()))
+    parts = []
+    for names, files in headers(spark, [path] if isinstance(path, str) else path).items():
+        text = spark.read.option("header", True).option("nanValue", "\x00").schema(", ".join(f"_c{i} string" for i in range(len(names)))).csv(files)
+        have = {n: F.col(f"_c{i}") for i, n in reversed([*enumerate(names)])}
+        have = {ALIASES[n]: c for n, c in have.items() if n in ALIASES} | have
+        cast = {f.name: F.when(F.lower(F.trim(have[f.name])) != "nan", F.trim(have[f.name])).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType) for f in schema}
+        parts.append(text.select(*(c.alias(n) for n, c in cast.items())))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def write_tracks(rows: DataFrame, path: str, kind: str = "csv") -> None:
-    """Rows by dataset profile, batch and modality, in track order within each file."""
+    """Rows by dataset profile, batch and modality, in track order within each
+    file.  What lies there of the parts that ``rows`` has is replaced, and the
+    rest stays, so a job that is run again doesn't write twice.  Rows without
+    any of these columns replace all that is there."""
     parts = [c for c in ("profile", "batch", "modality") if c in rows.columns]
     ordered = rows.sortWithinPartitions(*parts, "timestamp", "uav_id")
-    writer = ordered.write.mode("append").partitionBy(*parts) if parts else ordered.write.mode("append")
-    writer.option("header", True).format(kind).save(path)
+    writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (writer.partitionBy(*parts) if parts else writer).option("header", True).format(kind).save(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
     """Lines of JSON with ``_line``, an increasing number for each line of a
-    file in order; blank lines are dropped and broken ones are null rows."""
-    lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    file in order; blank lines are dropped and broken ones are null rows.
+    ``limit`` counts the lines of the file, blank ones too."""
+    text = spark.read.text(path)
+    lines = (text if limit is None else text.limit(limit)).withColumn("_line", F.monotonically_increasing_id()).where(F.trim("value") != "")
     return lines.select("_line", F.from_json("value", schema).alias("_row")).select("_line", "_row.*")
 
 
-def write_jsonl(rows: DataFrame, path: str) -> None:
-    """Appends the rows as lines of JSON, other than ASCII as it is."""
-    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("append").text(path)
+def write_jsonl(rows: DataFrame, path: str, batch: str) -> None:
+    """Writes the rows as lines of JSON, other than ASCII as it is, as one
+    batch of a folder; a batch that is written again replaces itself."""
+    lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+    lines.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").text(path)
+
+
+def write_json(values: DataFrame, path: str) -> None:
+    """One JSON object for each row, nested columns as they are and nulls
+    included, in place of what was there."""
+    values.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def deep_update(base: dict, override: dict) -> dict:

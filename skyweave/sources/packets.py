@@ -14,10 +14,15 @@ LISTS = ("data", "packets", "list")
 
 
 def packets_of(body: Column) -> Column:
-    """The packets of a JSON body: a list, or an object's first present list."""
+    """The packets of a JSON body: a list, or an object's first present list.
+    A name that is there decides, also with null or what isn't a list."""
     parsed = F.from_json(body, ", ".join(f"{name} array<{_PACKET}>" for name in LISTS))
     plain = F.when(F.ltrim(body).startswith("["), F.from_json(body, f"array<{_PACKET}>"))
-    return F.coalesce(plain, *(parsed[name] for name in LISTS))
+    named = F.lit(None).cast(f"array<{_PACKET}>")
+    keys = F.json_object_keys(body)
+    for name in reversed(LISTS):
+        named = F.when(F.array_contains(keys, name), parsed[name]).otherwise(named)
+    return F.coalesce(plain, named)
 
 
 def sensor_rows(requests: DataFrame, body: str = "body", length: int | None = 20) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,13 @@ _own: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; only where that is unset, as
-    in tests on one machine, in a temporary folder of this process."""
+    """A new path in ``spark.checkpoint.dir``; only where that is unset and
+    Spark runs on one machine, as in tests, in a temporary folder of this
+    process.  On a cluster executors couldn't see that, so it is an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="skyweave-"))
         folder = f"file://{_own[0]}"

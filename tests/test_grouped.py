@@ -1,100 +1,11 @@
 import json
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyweave.operators import graph_model, labelling, synthetic
+from skyweave.operators import labelling
 from skyweave.sources import packets
 
-SHAPE = graph_model.Shape(5, width=8, heads=2, layers=2, hidden=12, neighbours=3, window=4)
-
-
-def window(n=7, seed=3):
-    rng = np.random.default_rng(seed)
-    x = rng.normal(size=(n, 5))
-    x[:, 4] = rng.random(n) > 0.3
-    return x, rng.integers(0, 4, n), rng.integers(0, 3, n)
-
-
-def run(x, t, sensor, w):
-    edge = graph_model.edges(x[:, :3], x[:, 4] > 0.5, x[:, 3], t, sensor, 4)
-    return graph_model.forward(x, edge, t, w, SHAPE)
-
-
-def naive(x, t, sensor, w):
-    """Node by node and head by head."""
-    n, d, heads = len(x), SHAPE.width, SHAPE.heads
-    dist = [[np.sqrt(sum((x[i, :3] - x[j, :3]) ** 2)) if x[i, 4] > 0.5 and x[j, 4] > 0.5 else 50.0 for j in range(n)] for i in range(n)]
-    cost = [[0.0 if i == j else dist[i][j] + abs(t[i] - t[j]) / 3 for j in range(n)] for i in range(n)]
-    near = [set(sorted(range(n), key=lambda j: (cost[i][j], j))[:3]) for i in range(n)]
-    h = [x[i] @ w["encoder"] for i in range(n)]
-    norm = lambda v: (v - v.mean()) / np.sqrt(v.var() + 1e-5)
-    for k in range(SHAPE.layers):
-        qkv = [v @ w[f"qkv{k}"] for v in h]
-        new = []
-        for i in range(n):
-            mixed = []
-            for head in range(heads):
-                cut = slice(head * d // heads, (head + 1) * d // heads)
-                ok = [j for j in range(n) if j in near[i] or i in near[j] or i == j]
-                s = []
-                for j in ok:
-                    e = np.array([dist[i][j], abs(t[i] - t[j]) / 3, sensor[i] == sensor[j], t[i] == t[j], abs(x[i, 3] - x[j, 3]), x[i, 4] > 0.5 and x[j, 4] > 0.5], float)
-                    s.append(qkv[i][:d][cut] @ qkv[j][d : 2 * d][cut] / np.sqrt(d // heads) + (np.maximum(e @ w["edge_in"], 0) @ w["edge_out"])[head])
-                p = np.exp(np.array(s) - max(s))
-                p /= p.sum()
-                mixed.append(sum(a * qkv[j][2 * d :][cut] for a, j in zip(p, ok, strict=True)))
-            v = norm(h[i] + np.concatenate(mixed) @ w[f"mix{k}"])
-            new.append(norm(v + np.maximum(v @ w[f"up{k}"], 0) @ w[f"down{k}"]))
-        h = new
-    return np.array([sum((h[i] for i in range(n) if t[i] == s), np.zeros(d)) / (sum(t == s) + 1e-6) @ w["head"] for s in range(4)])
-
-
-def test_forward_is_what_a_plain_loop_gives():
-    w = graph_model.seeded_weights(SHAPE)
-    x, t, sensor = window()
-    assert np.allclose(run(x, t, sensor, w), naive(x, t, sensor, w))
-
-
-def test_forward_ignores_the_order_of_nodes():
-    w = graph_model.seeded_weights(SHAPE)
-    x, t, sensor = window()
-    order = np.random.default_rng(0).permutation(len(x))
-    assert np.allclose(run(x, t, sensor, w), run(x[order], t[order], sensor[order], w))
-    assert run(x[:1], t[:1], sensor[:1], w).shape == (4, 3)
-
-
-def test_neighbours_count_themselves():
-    cost = np.array([[9.0, 1, 2, 3], [1, 9, 5, 6], [2, 5, 9, 7], [3, 6, 7, 9]])
-    allowed = graph_model.neighbourhood(cost, 2)
-    assert allowed.tolist() == [[True, True, True, True], [True, True, False, False], [True, False, True, False], [True, False, False, True]]
-
-
-def test_disturbances_are_seeded_and_in_their_ranges(spark):
-    tracks = spark.range(30).select(F.col("id").alias("uav_id"), F.explode(F.sequence(F.lit(0), F.lit(300))).alias("t")).withColumn("t", F.col("t").cast("double"))
-    a = synthetic.disturbed(tracks, 5).orderBy("uav_id", "t").toPandas()
-    b = synthetic.disturbed(tracks.repartition(3), 5).orderBy("uav_id", "t").toPandas()
-    assert a.equals(b) and len(a) == 30 * 301
-    assert (a.arrival_time >= a.event_time).all() and a.event_time.between(0, 300).all()
-    assert set(a.scenario_tag) == set("ABCDE") and a.scenario_tag.value_counts().index[0] == "A"
-    lengths = []
-    for _, own in a.groupby("uav_id"):
-        change = np.flatnonzero(own.scenario_tag.to_numpy()[1:] != own.scenario_tag.to_numpy()[:-1])
-        lengths += np.diff(change).tolist()
-    assert min(lengths) >= 3
-    assert 0 < a.blackout_flag.mean() < 0.1
-    assert synthetic.disturbed(tracks.limit(0), 5).count() == 0
-
-
-def test_drift_decays_when_it_ends():
-    t = np.arange(50.0)
-    assert not synthetic.drift(t, np.array(["A"] * 50), np.random.default_rng(1)).any()
-    tags = np.array(["E"] * 20 + ["A"] * 60)
-    size = np.linalg.norm(synthetic.drift(np.arange(80.0), tags, np.random.default_rng(4)), axis=1)
-    assert size[:20].any() and np.allclose(size[-20:][1:] / size[-20:][:-1], synthetic.DRIFT_DECAY)
-
-
 def test_labelling_goes_on_where_it_was(spark):
     prompts = spark.createDataFrame([("1", "U1", "good"), ("2", "U1", "bad"), ("3", "U1", "broken"), ("4", "U1", "done")], "sample_id string, uav_id string, prompt string")
     done = spark.createDataFrame([("4", 1), ("2", 0)], "sample_id string, ok int")
@@ -130,3 +41,30 @@ def test_other_lengths_are_refused(spark):
     for n in (1, 2):
         with pytest.raises(Exception, match="20 packets"):
             packets.sensor_rows(df.where(f"request_id = {n}")).collect()
+
+
+def test_a_name_that_is_there_decides(spark):
+    one = json.dumps([{"timestamp": 1.0}])
+    bodies = [f'{{"data": null, "packets": {one}}}', f'{{"data": {{}}, "packets": {one}}}', f'{{"packets": {one}}}', f'{{"list": {one}, "packets": {one}}}', one, "{}", "1", None]
+    df = spark.createDataFrame([(n, b) for n, b in enumerate(bodies)], "n int, body string")
+    sizes = {r.n: r.k for r in df.selectExpr("n", "body").withColumn("k", F.size(packets.packets_of(F.col("body")))).collect()}
+    assert [sizes[n] if sizes[n] not in (None, -1) else None for n in range(len(bodies))] == [None, None, 1, 1, 1, None, None, None]
+
+
+def test_labelling_by_slices_stores_what_is_done(spark, tmp_path):
+    prompts = spark.createDataFrame([(str(n), "U1", f"p{n}") for n in range(40)], "sample_id string, uav_id string, prompt string")
+    path, log = f"file://{tmp_path}/labels", tmp_path / "calls"
+    log.mkdir()
+
+    def client(text):
+        (log / text).write_text(str(int((log / text).read_text()) + 1) if (log / text).exists() else "1")
+        if text == "p7" and not (log / "up").exists():
+            raise TimeoutError("late")
+        return "U1，请悬停\n理由:ok"
+
+    first = {r.sample_id: (r.ok, r.tries) for r in labelling.label_in_slices(prompts, path, client, slices=4, tries=2, pause=0.01).collect()}
+    assert len(first) == 40 and first["7"] == (0, 2) and sum(ok for ok, _ in first.values()) == 39
+    (log / "up").touch()
+    again = {r.sample_id: r.ok for r in labelling.label_in_slices(prompts, path, client, slices=4).collect()}
+    assert sum(again.values()) == len(again) == 40
+    assert (log / "p7").read_text() == "3" and all((log / f"p{n}").read_text() == "1" for n in range(40) if n != 7)
