@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The commands that an answer may give, and how its reason begins.
+# The commands that an answer may give, how its reason begins,
+# and the names of the verdicts below.
 COMMANDS = ("悬停", "原地降落", "返航", "正常飞行")
 REASON = "理由:"
 REASON_CHARS = 50
@@ -63,7 +64,7 @@ def check_answer(uav_id: Column, answer: Column, long_reasons: bool = False) ->
     def verdict(x: Column) -> Column:
         second, who = F.get(x["lines"], F.lit(1)), x["who"]
         out = F.when(F.size(x["lines"]) != 2, "not_two_lines").when(who == "", "bad_first_line").when(who != uav_id, "uav_id_mismatch").when(~second.startswith(REASON), "bad_reason_prefix")
-        reason = trimmed(F.substring(second, len(REASON) + 1, 1 << 20))
+        reason = trimmed(F.substr(second, F.lit(len(REASON) + 1)))
         return (out if long_reasons else out.when(F.char_length(reason) > REASON_CHARS, "reason_too_long")).otherwise("ok")
 
     # arrays of one, so that lines are split once and not in every branch

@@ -26,10 +26,12 @@ class Metric:
         if self.op not in ("pos", "neg", "cat") or self.group not in ("rt", "st"):
             raise ValueError(f"metric {self.name}: op {self.op!r} or group {self.group!r} isn't known")
 
-    def phi(self) -> Column:
+    def phi(self, x: Column, numeric: bool = False) -> Column:
+        """The metric's quality; ``numeric`` values need no cast from text."""
         if self.op == "cat":
-            return phi_cat(F.col(self.name), self.values)
-        return (phi_pos if self.op == "pos" else phi_neg)(number(F.col(self.name)), self.low, self.high)
+            return phi_cat(x, self.values)
+        value = F.when(~F.isnan(x), x.cast("double")) if numeric else number(x)
+        return (phi_pos if self.op == "pos" else phi_neg)(value, self.low, self.high)
 
 
 @dataclass(frozen=True)
@@ -68,16 +70,40 @@ def combine(rt: Column, st: Column, spec: Spec) -> Column:
     return clip(F.coalesce(spec.alpha * rt + (1.0 - spec.alpha) * st, F.lit(0.0)))
 
 
+def groups(spec: Spec, phis: dict[str, Column]) -> tuple[Column, Column]:
+    """rt_m and st_m, the weighted means of each group's qualities.  A group
+    that the spec leaves empty takes the other's value."""
+    of = {g: [(phis[m.name], m.weight) for m in spec.metrics if m.group == g] for g in ("rt", "st")}
+    return weighted_mean(of["rt"] or of["st"]), weighted_mean(of["st"] or of["rt"])
+
+
+_NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
+
+
 def with_confidence(df: DataFrame, spec: Spec) -> DataFrame:
     """The rows with phi_* of each metric, rt_m, st_m and confidence in place
-    of the metrics.  A group that the spec leaves empty takes the other's
-    value.  A metric that isn't a column is an error."""
+    of the metrics.  A metric that isn't a column is an error."""
     absent = [m.name for m in spec.metrics if m.name not in df.columns]
     if absent:
         raise ValueError(f"no column {', '.join(absent)}")
-    phis = {f"phi_{m.name}": m.phi() for m in spec.metrics}
-    out = df.withColumns(phis)
-    groups = {g: [(F.col(f"phi_{m.name}"), m.weight) for m in spec.metrics if m.group == g] for g in ("rt", "st")}
-    rt, st = weighted_mean(groups["rt"] or groups["st"]), weighted_mean(groups["st"] or groups["rt"])
+    kinds = dict(df.dtypes)
+    out = df.withColumns({f"phi_{m.name}": m.phi(F.col(m.name), kinds[m.name] in _NUMERIC) for m in spec.metrics})
+    rt, st = groups(spec, {m.name: F.col(f"phi_{m.name}") for m in spec.metrics})
     out = out.withColumns({"rt_m": rt, "st_m": st}).withColumn("confidence", combine(F.col("rt_m"), F.col("st_m"), spec))
     return out.drop(*(m.name for m in spec.metrics))
+
+
+def with_confidences(df: DataFrame, specs: dict[str, Spec], metrics: dict[str, dict[str, Column]], modality: str = "modality") -> DataFrame:
+    """Rows of several sensors with rt_m, st_m and confidence, each by its own
+    sensor's spec, in one pass.  ``metrics`` are numeric Columns (texts for
+    categories) by sensor and name; sensors without a spec have nulls."""
+    pairs = {m: groups(spec, {x.name: x.phi(metrics[m][x.name], numeric=True) for x in spec.metrics}) for m, spec in specs.items()}
+
+    def chosen(of) -> Column:
+        out = F.lit(None).cast("double")
+        for m in specs:
+            out = F.when(F.col(modality) == m, of(m)).otherwise(out)
+        return out
+
+    out = df.withColumns({"rt_m": chosen(lambda m: pairs[m][0]), "st_m": chosen(lambda m: pairs[m][1])})
+    return out.withColumn("confidence", chosen(lambda m: combine(F.col("rt_m"), F.col("st_m"), specs[m])))

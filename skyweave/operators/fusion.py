@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.scalar import clip
-from . import asof
+from . import asof, running
 
 # How far each sensor is trusted.
 PRIORS = {"gps": 1.0, "radar": 0.7, "fiveg": 0.6, "tdoa": 0.45, "acoustic": 0.2}
@@ -58,5 +58,28 @@ def priority_steps(rows: DataFrame, usable: Column, order: tuple[str, ...]) -> D
     good = F.col("modality").isin(*order) & usable
     best = F.min_by(F.when(good, F.col("alt")), F.when(good, F.struct(rank, -F.col("us"), -F.col("event_id"))))
     steps = rows.groupBy("uav_id", "hour").agg(best.alias("own"))
-    known = F.last("own", ignorenulls=True).over(Window.partitionBy("uav_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0))
-    return steps.select("uav_id", "hour", known.alias("alt"), F.col("own").isNotNull().alias("seen"))
+    known = running.with_last(steps, "uav_id", ["hour"], "own", "alt", 24 * 64)
+    return known.select("uav_id", "hour", "alt", F.col("own").isNotNull().alias("seen"))
+
+
+def truth_rows(rows: DataFrame, step: str, flagged: Column, order: tuple[str, ...], latest: list[str], moving: list[str]) -> DataFrame:
+    """A row for each object and ``step`` with a position, as truth to align
+    sensors with.
+
+    The step's own row is, of those with a position, the first by ``order``
+    that isn't flagged, else the first of all; of one sensor the latest.  A
+    step without such a row has the position of the last one that had, and 0
+    for the ``moving`` columns; steps before any position are left out.
+    ``choice`` tells which it was: valid, flagged or none.
+    """
+    rank = F.lit(len(order))
+    for n, name in enumerate(order):
+        rank = F.when(F.col("modality") == name, n).otherwise(rank)
+    placed = F.col("modality").isin(*order) & F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("alt").isNotNull()
+    by = F.struct(flagged.alias("flagged"), rank, *(-F.col(c) for c in latest))
+    own = F.min_by(F.struct("lat", "lon", "alt", *moving, flagged.alias("flagged")), F.when(placed, by))
+    steps = rows.groupBy("uav_id", step).agg(F.when(F.max(placed), own).alias("own"))
+    steps = steps.withColumn("at", F.when(F.col("own").isNotNull(), F.struct("own.lat", "own.lon", "own.alt")))
+    known = running.with_last(steps, "uav_id", [step], "at", "known", 1024).where("known IS NOT NULL")
+    choice = F.when(F.col("own").isNull(), "none").when(F.col("own.flagged"), "flagged").otherwise("valid")
+    return known.select("uav_id", step, choice.alias("choice"), "known.lat", "known.lon", "known.alt", *(F.coalesce(F.col(f"own.{c}"), F.lit(0.0)).alias(c) for c in moving))

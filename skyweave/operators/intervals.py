@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import arc_distance
 from ..functions.scalar import clip
+from . import running
+
+#: A day in microseconds.
+WIDTH = 86_400_000_000
 
 # Anchors (lat, lon) and ranges of the sensors, obstacle zones
 # (lat, lon, radius, strength) and interference events (from, to, sensors, level).
@@ -15,22 +19,21 @@ ZONES = ((45.060, 5.060, 12000.0, 0.60), (44.930, 5.020, 9000.0, 0.45), (45.010,
 EVENTS = ((20.0, 35.0, ("fiveg", "tdoa"), 0.60), (55.0, 68.0, ("gps", "radar"), 0.40), (85.0, 105.0, ("acoustic", "fiveg"), 0.70))
 
 
-def merged(intervals: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Each key's intervals with overlapping and touching ones joined."""
-    order = Window.partitionBy(key).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = intervals.withColumn("_new", F.coalesce(F.col(start) > before, F.lit(True)).cast("int"))
-    island = flagged.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+def merged(intervals: DataFrame, key: str, start: str = "start", end: str = "end", width: float = WIDTH) -> DataFrame:
+    """Each key's intervals with overlapping and touching ones joined; starts
+    are dealt to buckets of ``width``."""
+    rows = running.with_maximum(intervals, key, [start, end], end, "_latest", width, own=False)
+    fresh = F.coalesce(F.col(start) > F.col("_latest"), F.lit(True)).cast("long")
+    island = running.with_sum(rows, key, [start, end], fresh, "_island", width)
     return island.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
-def stabbed(points: DataFrame, intervals: DataFrame, key: str, time: str, start: str = "start", end: str = "end") -> DataFrame:
+def stabbed(points: DataFrame, intervals: DataFrame, key: str, time: str, start: str = "start", end: str = "end", width: float = WIDTH) -> DataFrame:
     """The points inside any interval of their key, ends included.  No pairs
     are made: the latest end of what began by then decides."""
     rows = points.withColumn("_side", F.lit(1)).unionByName(intervals.select(key, F.col(start).alias(time), F.col(end).alias("_end")).withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.withColumn("_last", F.max("_end").over(order)).where((F.col("_side") == 1) & (F.col("_last") >= F.col(time)))
-    return inside.select(*points.columns)
+    rows = running.with_maximum(rows, key, [time, "_side"], "_end", "_last", width)
+    return rows.where((F.col("_side") == 1) & (F.col("_last") >= F.col(time))).select(*points.columns)
 
 
 def _greatest(parts: list[Column]) -> Column:

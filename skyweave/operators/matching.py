@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -29,46 +32,47 @@ def candidates(detected: DataFrame, reported: DataFrame, gate: float, k: int = 5
     return scored.withColumn("place", place).where(F.col("place") <= k).select("frame", "det", "rep", "place", "distance", "score")
 
 
-def greedy(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def greedy(pairs: DataFrame, small: int = 20_000) -> DataFrame:
     """One-to-one pairs (frame, det, rep, score), as if the best by (score,
     det, rep) were taken again and again.
 
-    A pair that is best for both its sides is taken by any order, so all of
-    these are taken at once, and rounds go on with what is left.
+    A frame of up to ``small`` pairs is solved by one task, in that order.
+    In a larger one, a pair that is best for both its sides is taken by any
+    order, so all of these are taken at once, and rounds go on with what is
+    left until that is small too or nothing is left.
     """
-    left = saved(pairs.where("score > 0").select("frame", "det", "rep", "score"), "pairs")
-    rank, taken = F.struct("score", "det", "rep"), None
-    for _ in range(max_rounds):
+    def solve(pairs: pd.DataFrame) -> pd.DataFrame:
+        order = pairs.sort_values(["score", "det", "rep"], ascending=False, kind="stable")
+        dets, reps, keep = set(), set(), []
+        for det, rep in zip(order["det"], order["rep"], strict=True):
+            keep.append(det not in dets and rep not in reps)
+            if keep[-1]:
+                dets.add(det)
+                reps.add(rep)
+        return order[keep]
+
+    left = pairs.where("score > 0").select("frame", "det", "rep", "score")
+    rank, taken = F.struct("score", "det", "rep"), []
+    solved = lambda rows: rows.groupBy("frame").applyInPandas(solve, rows.schema)
+    left = saved(left, "pairs")
+    while True:
+        sizes = saved(left.groupBy("frame").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("frame"), "frames")
+        if sizes.isEmpty():
+            return reduce(DataFrame.unionByName, [*taken, solved(left)])
+        taken.append(solved(left.join(sizes, "frame", "left_anti")))
+        left = left.join(sizes, "frame", "left_semi")
         best = lambda side: F.max(rank).over(Window.partitionBy("frame", side))
         marked = left.withColumns({"_d": best("det"), "_r": best("rep")})
         won = saved(marked.where((F.col("_d") == rank) & (F.col("_r") == rank)).drop("_d", "_r"), "won")
-        taken = won if taken is None else taken.unionByName(won)
+        taken.append(won)
         left = saved(left.join(won.select("frame", "det"), ["frame", "det"], "left_anti").join(won.select("frame", "rep"), ["frame", "rep"], "left_anti").select(*left.columns), "left")
-        if left.isEmpty():
-            return taken
-    raise RuntimeError("the rounds did not end")
-
-
-def rolling_quantile(df: DataFrame, key: str, order: list[str], value: str, share: float, rows: int) -> Column:
-    """The quantile of the last ``rows`` values, this one included."""
-    return F.percentile(value, share).over(Window.partitionBy(key).orderBy(*order).rowsBetween(1 - rows, 0))
-
-
-def smoothed(key: str, order: list[str], value: str, start: float = 0.5, beta: float = 0.8, rows: int = 200) -> Column:
-    """t <- beta t + (1 - beta) value, from ``start``, after each row.
-
-    What is older than ``rows`` values weighs beta**rows, which is below a
-    double's precision, so a frame of that many is exact and bounded.
-    """
-    w = Window.partitionBy(key).orderBy(*order)
-    recent = F.collect_list(value).over(w.rowsBetween(1 - rows, 0))
-    number = F.row_number().over(w)
-    return F.aggregate(recent, F.when(number <= rows, F.lit(start)).otherwise(F.lit(0.0)), lambda t, q: beta * t + (1.0 - beta) * q)
 
 
-def votes(key: str, order: list[str], abnormal: Column) -> Column:
-    """Abnormal rows of the key so far; they are never reset."""
-    return F.sum(F.coalesce(abnormal, F.lit(False)).cast("long")).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+def unmatched(pairs: DataFrame, everything: DataFrame, side: str, least: float) -> DataFrame:
+    """The rows (frame, ``side``) of ``everything`` whose best score of any
+    pair is below ``least``, those without a pair included."""
+    best = pairs.groupBy("frame", side).agg(F.max("score").alias("_best"))
+    return everything.join(best, ["frame", side], "left").where(F.coalesce("_best", F.lit(0.0)) < least).drop("_best")
 
 
 def neighbours(points: DataFrame, key: str, index: str, axes: list[str], k: int, span: int = 20) -> DataFrame:

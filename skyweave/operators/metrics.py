@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import norm
+from ..sources.shared import saved
 
 
 def error_stats(d: Column, prefix: str = "") -> list[Column]:
@@ -51,51 +56,88 @@ def with_jerk(track: DataFrame, columns: tuple[str, str, str], name: str) -> Dat
     return track.withColumn(name, norm(*map(third, columns)))
 
 
-def dtw(a: np.ndarray, b: np.ndarray) -> float:
-    """Dynamic time warping of two point rows, by the longer one's length.
-    Works along anti-diagonals, so it holds three of them."""
-    n, m = len(a), len(b)
-    before, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
-    before[0] = 0.0  # the corner; cell (i, j) of a diagonal is at i
-    for d in range(2, n + m + 1):
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        cost = np.hypot(*(a[i - 1] - b[d - i - 1]).T)
-        now = np.full(n + 1, np.inf)
-        now[i] = cost + np.minimum(np.minimum(last[i - 1], last[i]), before[i - 1])
-        before, last = last, now
-    return float(last[n]) / max(n, m)
+def _diagonal(d: int, n: int, m: int, band: int | None) -> np.ndarray:
+    """The i of the cells (i, d - i) that count."""
+    low, high = max(1, d - m), min(n, d - 1)
+    if band is not None:
+        low, high = max(low, -((band - d) // 2)), min(high, (d + band) // 2)
+    return np.arange(low, high + 1)
 
 
-def frechet(a: np.ndarray, b: np.ndarray) -> float:
-    """The discrete Frechet distance of two point rows."""
+def _warped(a: np.ndarray, b: np.ndarray, join, band: int | None) -> float:
+    """The least cost of any way through the matrix of distances, as ``join``
+    adds a cell's to that of the way so far.  Works along anti-diagonals, so
+    it holds three of them."""
     n, m = len(a), len(b)
     before, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
-    before[0] = 0.0
+    before[0] = 0.0  # the corner; cell (i, j) of a diagonal is at i
     for d in range(2, n + m + 1):
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        i = _diagonal(d, n, m, band)
         cost = np.hypot(*(a[i - 1] - b[d - i - 1]).T)
         now = np.full(n + 1, np.inf)
-        now[i] = np.maximum(cost, np.minimum(np.minimum(last[i - 1], last[i]), before[i - 1]))
+        now[i] = join(cost, np.minimum(np.minimum(last[i - 1], last[i]), before[i - 1]))
         before, last = last, now
     return float(last[n])
 
 
-def path_distance(track: DataFrame, metric, name: str) -> DataFrame:
+def dtw(a: np.ndarray, b: np.ndarray, band: int | None = None) -> float:
+    """Dynamic time warping of two point rows, by the longer one's length.
+    ``band`` keeps to cells whose steps differ by that much at most, so time
+    grows with the length and not its square; infinite if no way fits."""
+    return _warped(a, b, np.add, band) / max(len(a), len(b))
+
+
+def frechet(a: np.ndarray, b: np.ndarray, band: int | None = None) -> float:
+    """The discrete Frechet distance of two point rows; ``band`` as for dtw()."""
+    return _warped(a, b, np.maximum, band)
+
+
+def path_distance(track: DataFrame, metric: Callable[..., float], name: str, band: int | None = None) -> DataFrame:
     """A sequential metric of each track's plane points: the recurrence needs
-    a track as a whole, so a track is a group."""
+    a track as a whole, so a track is a group, held in one task in memory
+    linear in its length."""
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t_idx")
-        return pd.DataFrame({"uav_id": [key[0]], name: [metric(rows[["gx", "gy"]].to_numpy(), rows[["px", "py"]].to_numpy())]})
+        return pd.DataFrame({"uav_id": [key[0]], name: [metric(rows[["gx", "gy"]].to_numpy(), rows[["px", "py"]].to_numpy(), band)]})
 
     return track.select("uav_id", "t_idx", "gx", "gy", "px", "py").groupBy("uav_id").applyInPandas(one, f"uav_id long, {name} double")
 
 
+def nearest_distances(points: DataFrame, others: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """``keys``, ``index`` and ``d``, the distance of each point (x, y) to the
+    nearest other (u, v) of its keys.
+
+    Both are dealt to grid cells, a point to its own and the eight around, so
+    only neighbours meet.  Points whose nearest isn't certain yet, as it is
+    farther than a cell is wide, go on with cells four times as wide.  Points
+    without a coordinate, or whose keys have no others, have no row.
+    """
+    others = others.where("u IS NOT NULL AND v IS NOT NULL").select(*keys, "u", "v").distinct()
+    span = F.greatest(F.max("u") - F.min("u"), F.max("v") - F.min("v"))
+    width = 2.0 * span / F.sqrt(F.count(F.lit(1)))
+    widths = saved(others.groupBy(*keys).agg(F.when(width > 0, width).otherwise(1.0).alias("w")), "grid-widths")
+    others = saved(others.join(widths, keys), "grid-others")
+    left = saved(points.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, index, "x", "y").join(widths, keys), "grid-open")
+    cell = lambda c, w: F.floor(F.col(c) / w)
+    around = lambda c, w: F.explode(F.sequence(cell(c, w) - 1, cell(c, w) + 1))
+    done, scale = [], 1.0
+    while True:
+        w = F.col("w") * scale
+        a = left.withColumn("cx", around("x", w)).withColumn("cy", around("y", w))
+        b = others.select(*keys, "u", "v", cell("u", w).alias("cx"), cell("v", w).alias("cy"))
+        found = a.join(b, [*keys, "cx", "cy"]).groupBy(*keys, index).agg(F.min(norm(F.col("x") - F.col("u"), F.col("y") - F.col("v"))).alias("d"))
+        step = saved(left.join(found, [*keys, index], "left").withColumn("sure", F.coalesce(F.col("d") <= w, F.lit(False))), "grid-step")
+        done.append(step.where("sure").select(*keys, index, "d"))
+        left = step.where("NOT sure").drop("d", "sure")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        scale *= 4.0
+
+
 def hausdorff(track: DataFrame) -> DataFrame:
     """The symmetric Hausdorff distance of each track's plane points."""
-    a = track.select("uav_id", "t_idx", "gx", "gy")
-    b = track.select("uav_id", F.col("t_idx").alias("u_idx"), "px", "py")
-    pairs = a.join(b, "uav_id").withColumn("d", norm(F.col("gx") - F.col("px"), F.col("gy") - F.col("py")))
-    there = pairs.groupBy("uav_id", "t_idx").agg(F.min("d").alias("d")).groupBy("uav_id").agg(F.max("d").alias("there"))
-    back = pairs.groupBy("uav_id", "u_idx").agg(F.min("d").alias("d")).groupBy("uav_id").agg(F.max("d").alias("back"))
-    return there.join(back, "uav_id").select("uav_id", F.greatest("there", "back").alias("hausdorff"))
+    sides = (("g", "p"), ("p", "g"))
+    points = reduce(DataFrame.unionByName, [track.select("uav_id", F.lit(k).alias("way"), "t_idx", F.col(f"{a}x").alias("x"), F.col(f"{a}y").alias("y")) for k, (a, _) in enumerate(sides)])
+    others = reduce(DataFrame.unionByName, [track.select("uav_id", F.lit(k).alias("way"), F.col(f"{b}x").alias("u"), F.col(f"{b}y").alias("v")) for k, (_, b) in enumerate(sides)])
+    return nearest_distances(points, others, ["uav_id", "way"], "t_idx").groupBy("uav_id").agg(F.max("d").alias("hausdorff"))

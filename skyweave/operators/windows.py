@@ -6,7 +6,7 @@ windows need neither a join nor a collected track.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import edge_taper, window_quality
@@ -28,6 +28,18 @@ def dealt(df: DataFrame, index: str, length: Column, size: int, stride: int) ->
     return df.withColumn("start", F.explode(starts)).withColumn("pos", F.col(index) - F.col("start"))
 
 
+def number_of(length: Column, size: int, stride: int) -> Column:
+    """How many whole windows a track of that length has."""
+    return F.greatest(F.lit(0).cast("long"), F.floor((length - size) / stride) + 1)
+
+
+def covering(index: Column, length: Column, size: int, stride: int) -> Column:
+    """How many windows hold a row, by arithmetic alone."""
+    low = F.ceil(F.greatest(F.lit(0), index - (size - 1)) / stride)
+    high = F.floor(F.least(index, length - size) / stride)
+    return F.when(length >= size, F.greatest(F.lit(0).cast("long"), high - low + 1)).otherwise(F.lit(0).cast("long"))
+
+
 def window_stats(windows: DataFrame, key: str) -> DataFrame:
     """Per window: n, means of conf, pos_valid and obs_valid, and quality."""
     out = windows.groupBy(key, "start").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in ("conf", "pos_valid", "obs_valid")))
@@ -48,8 +60,3 @@ def blended(value: Column, fallback: Column, cover: Column, fallback_weight: Col
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), cover / needed))
     skip = (share >= 0.999) | F.coalesce(fallback_weight <= 1e-9, F.lit(True))
     return F.when(skip, value).otherwise(share * value + (1.0 - share) * fallback)
-
-
-def locf(df: DataFrame, key: str, order: str, value: str) -> Column:
-    """The last value that isn't null, in order of time."""
-    return F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import intervals, matching
+from ..operators import intervals, matching, running
+from ..sources.shared import saved
 from ..sources.tables import MICROS, OBS_SQL, TRACK_SQL, obs, sensed, track, truth
 from .base import Plans, r6
 
 plans = Plans()
 GATE = 150.0
+DAY = 86400 * MICROS
 _COMM = "pow((greatest(0e0, least(1e0, q1 / 150e0)) + 1e-6) * (greatest(0e0, least(1e0, q2 / 50e0)) + 1e-6) * (greatest(0e0, least(1e0, 1e0 - q1 / 150e0)) + 1e-6) * (greatest(0e0, least(1e0, q2 / 100e0)) + 1e-6), 0.25e0)"
 _PAIRS = f"""f AS (SELECT *, us // (3600 * {MICROS}::BIGINT) AS frame FROM obs),
 det AS (SELECT frame, event_id AS det, lat AS d_lat, lon AS d_lon, greatest(0e0, least(1e0, q2 / 100e0)) AS confidence FROM f WHERE modality = 'gps'),
@@ -46,10 +48,22 @@ def match_greedy(spark, sf_dir):
     return matching.greedy(_candidates(spark, sf_dir)).select("frame", "det", "rep")
 
 
+@plans(f"""WITH {OBS_SQL}, {_PAIRS}, best AS (SELECT frame, det, max(score) AS best FROM top GROUP BY 1, 2), worst AS (SELECT frame, rep, max(score) AS best FROM top GROUP BY 1, 2)
+  SELECT frame, det AS event_id, 'unreported' AS kind FROM det LEFT JOIN best USING (frame, det) WHERE coalesce(best, 0e0) < 0.2e0
+  UNION ALL SELECT frame, rep, 'undetected' FROM rep LEFT JOIN worst USING (frame, rep) WHERE coalesce(best, 0e0) < 0.2e0""")
+def match_unmatched(spark, sf_dir):
+    """Detections without a good report, and reports without a good detection."""
+    frame, pairs = F.floor(F.col("us") / (3600 * MICROS)).alias("frame"), saved(_candidates(spark, sf_dir), "candidates")
+    det = obs(spark, sf_dir, ("click",)).select(frame, F.col("event_id").alias("det"))
+    rep = truth(spark, sf_dir).select(frame, F.col("event_id").alias("rep"))
+    found = [matching.unmatched(pairs, rows, side, 0.2).select("frame", F.col(side).alias("event_id"), F.lit(kind).alias("kind")) for rows, side, kind in ((det, "det", "unreported"), (rep, "rep", "undetected"))]
+    return found[0].unionByName(found[1])
+
+
 @plans(f"WITH {OBS_SQL} SELECT event_id, round(quantile_cont(q1, 0.8) OVER (PARTITION BY uav_id ORDER BY us, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 6) + 0 AS gate FROM obs WHERE modality <> 'truth'")
 def gate_quantile(spark, sf_dir):
-    gate = matching.rolling_quantile(sensed(spark, sf_dir), "uav_id", ["us", "event_id"], "q1", 0.8, 50)
-    return sensed(spark, sf_dir).select("event_id", r6(gate).alias("gate"))
+    gates = running.with_rolling_quantile(sensed(spark, sf_dir), "uav_id", ["us", "event_id"], "q1", 0.8, 50, "gate", DAY)
+    return gates.select("event_id", r6(F.col("gate")).alias("gate"))
 
 
 EMA_SQL = f"""WITH RECURSIVE {OBS_SQL}, s AS MATERIALIZED (SELECT event_id, uav_id, q1 / 100e0 AS q, row_number() OVER (PARTITION BY uav_id ORDER BY us, event_id) AS n FROM obs WHERE modality <> 'truth'),
@@ -60,14 +74,15 @@ EMA_SQL = f"""WITH RECURSIVE {OBS_SQL}, s AS MATERIALIZED (SELECT event_id, uav_
 @plans(f"{EMA_SQL} SELECT event_id, round(tau, 6) + 0 AS tau FROM r")
 def gate_ema(spark, sf_dir):
     rows = sensed(spark, sf_dir).withColumn("q", F.col("q1") / 100.0)
-    return rows.select("event_id", r6(matching.smoothed("uav_id", ["us", "event_id"], "q")).alias("tau"))
+    return running.with_smoothed(rows, "uav_id", ["us", "event_id"], "q", "tau", DAY).select("event_id", r6(F.col("tau")).alias("tau"))
 
 
 @plans(f"""WITH {OBS_SQL}, v AS (SELECT event_id, sum((q1 > 90)::INT) OVER (PARTITION BY uav_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS votes FROM obs WHERE modality <> 'truth')
   SELECT event_id, votes, votes >= 3 AS queued FROM v""")
 def abnormal_votes(spark, sf_dir):
-    rows = sensed(spark, sf_dir).select("event_id", matching.votes("uav_id", ["us", "event_id"], F.col("q1") > 90).alias("votes"))
-    return rows.withColumn("queued", F.col("votes") >= 3)
+    abnormal = F.coalesce(F.col("q1") > 90, F.lit(False)).cast("long")
+    rows = running.with_sum(sensed(spark, sf_dir), "uav_id", ["us", "event_id"], abnormal, "votes", DAY)
+    return rows.select("event_id", "votes", (F.col("votes") >= 3).alias("queued"))
 
 
 @plans(f"""WITH {TRACK_SQL}, p AS (SELECT a.uav_id, a.t_idx AS i, b.t_idx AS j, sqrt(pow(a.gx - b.gx, 2) + pow(a.gy - b.gy, 2) + pow(a.gz - b.gz, 2)) + abs(a.t_idx - b.t_idx) AS gap

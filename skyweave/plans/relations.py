@@ -1,4 +1,4 @@
-"""Set operations, numbering, batches, statistics and synthetic tracks."""
+"""Set operations, numbering, batches and statistics."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import scalar
+from ..operators import running
 from ..operators.numbering import batch_label, numbered
 from ..sources.tables import MICROS, OBS_SQL, obs, sensed, table, truth
 from .base import Plans, r6
@@ -71,54 +71,8 @@ def precision_audit(spark, sf_dir):
   SELECT event_id, round(e / (sum(e) OVER (PARTITION BY uav_id) + 1e-12), 6) + 0 AS share FROM s""")
 def softmax_share(spark, sf_dir):
     """Each observation's softmax share of its object's confidence."""
-    own = Window.partitionBy("uav_id")
-    rows = confident(spark, sf_dir).withColumn("e", F.exp(F.col("confidence") - F.max("confidence").over(own)))
-    return rows.select("event_id", r6(F.col("e") / (F.sum("e").over(own) + 1e-12)).alias("share"))
-
-
-STEPS = 61
-_U32 = "('0x' || substr(md5(c_custkey || '|' || '{part}'), 1, 8))::BIGINT"
-
-
-@plans(f"""WITH u AS (SELECT c_custkey AS uav_id, {_U32.format(part='heading')} % 360 AS heading, 30 + {_U32.format(part='speed')} % 44 AS speed, 80 + {_U32.format(part='alt')} % 81 AS alt FROM customer),
-  t AS (SELECT u.*, unnest(generate_series(0, {STEPS - 1})) AS step FROM u)
-  SELECT uav_id, step, round(45e0 + step * speed * cos(radians(heading::DOUBLE)) / 111000e0, 9) + 0 AS lat, round(5e0 + step * speed * sin(radians(heading::DOUBLE)) / (greatest(cos(radians(45e0)), 1e-6) * 111000e0), 9) + 0 AS lon,
-    alt, round(speed * cos(radians(heading::DOUBLE)), 6) + 0 AS vx, round(speed * sin(radians(heading::DOUBLE)), 6) + 0 AS vy FROM t""")
-def synth_tracks(spark, sf_dir):
-    """Straight tracks at 1 Hz, seeded by each object's id; vx is north."""
-    from ..functions import geo
-
-    drawn = lambda part, n: scalar.stable_u32(F.col("c_custkey").cast("string"), F.lit(part)) % n
-    u = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uav_id"), drawn("heading", 360).alias("heading"), (30 + drawn("speed", 44)).alias("speed"), (80 + drawn("alt", 81)).alias("alt"))
-    t = u.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(STEPS - 1).cast("long"))))
-    angle = F.radians(F.col("heading").cast("double"))
-    lat = 45.0 + geo.metres_to_lat(F.col("step") * F.col("speed") * F.cos(angle))
-    lon = 5.0 + geo.metres_to_lon(F.col("step") * F.col("speed") * F.sin(angle), F.lit(45.0))
-    return t.select("uav_id", "step", (F.round(lat, 9) + 0.0).alias("lat"), (F.round(lon, 9) + 0.0).alias("lon"), "alt", r6(F.col("speed") * F.cos(angle)).alias("vx"), r6(F.col("speed") * F.sin(angle)).alias("vy"))
-
-
-@plans()
-def model_forward(spark, sf_dir):
-    """The graph model with seeded weights over all windows of the tracks."""
-    from ..operators import graph_model, windows
-    from ..sources.tables import track
-
-    rows = windows.with_length(track(spark, sf_dir), "uav_id")
-    dealt = windows.dealt(rows, "t_idx", F.col("length"), 20, 5)
-    hot = [(F.col("t_idx") % 5 == k).cast("double").alias(f"is_{k}") for k in range(5)]
-    nodes = dealt.select("uav_id", "start", "pos", (F.col("t_idx") % 5).alias("sensor"), "gx", "gy", "gz", F.least(F.lit(1.0), F.abs("px") * 4.0).alias("conf"), (F.col("gx") > 0).cast("double").alias("pos_valid"), (F.col("pos") / 19.0).alias("t_norm"), *hot)
-    shape = graph_model.Shape(11)
-    out = graph_model.predicted(nodes, nodes.columns[4:], graph_model.seeded_weights(shape), shape)
-    return out.select("uav_id", "start", "pos", *(r6(F.col(c)).alias(c) for c in "xyz"))
-
-
-@plans()
-def synth_disturbed(spark, sf_dir):
-    """Scenarios, drift, jitter, delays and blackouts of the synthetic tracks."""
-    from ..operators import synthetic
-
-    steps = synth_tracks(spark, sf_dir).select("uav_id", F.col("step").cast("double").alias("t"))
-    return synthetic.disturbed(steps, 20260209)
+    rows = confident(spark, sf_dir).select("event_id", "uav_id", "confidence")
+    return running.softmax_share(rows, "uav_id", "confidence", "share").select("event_id", r6(F.col("share")).alias("share"))
 
 
 @plans("SELECT event_id, event_id // 64 AS block, row_number() OVER (PARTITION BY event_id // 64 ORDER BY md5('7|' || event_id), event_id) - 1 AS place FROM events")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -42,17 +42,16 @@ def phi_metrics(spark, sf_dir):
     return obs(spark, sf_dir).select("event_id", r6(scalar.phi_pos(F.col("q1"), 4, 20)).alias("phi_up"), r6(scalar.phi_neg(F.col("q2"), 5, 80)).alias("phi_down"), scalar.phi_cat(F.col("modality"), {"gps": 1.0, "radar": 0.6}).alias("phi_kind"))
 
 
-def quality(rows):
+def quality():
     """Each modality's quality metrics, from q1, q2 and the event's number."""
     q1, q2 = F.col("q1"), F.col("q2")
     kind = F.when(F.col("event_id") % 3 == 0, "FIX").when(F.col("event_id") % 3 == 1, "FLOAT").otherwise("NONE")
-    made = {
+    return {
         "gps": {"Nsat": q1 / 5.0, "DOP": q2 / 12.0, "RTK": kind},
         "radar": {"E": q1 / 100.0, "Ptrk": q2 / 100.0},
         "fiveg": {"SNR": q1 / 3.0, "RSSI": q2 * 0.6 - 110.0, "d": q1 * 3.0, "ploss": q2 / 200.0},
         "tdoa": {"e": q1 / 2.0, "eps_sync": q2 * 2.0},
     }
-    return {m: rows.where(F.col("modality") == m).withColumns(cols) for m, cols in made.items()}
 
 
 _QUALITY_SQL = f"""quality AS (
@@ -74,13 +73,9 @@ CONF_SQL = f"{OBS_SQL}, {_QUALITY_SQL}"
 
 def confident(spark, sf_dir, mode: str = "linear"):
     """Observations of all sensors with rt_m, st_m and confidence."""
-    parts = []
-    for name, rows in quality(sensed(spark, sf_dir)).items():
-        spec = confidence.SPECS[name]
-        spec = confidence.Spec(spec.metrics, spec.alpha, mode)
-        out = confidence.with_confidence(rows, spec)
-        parts.append(out.drop(*(c for c in out.columns if c.startswith("phi_"))))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    metrics = quality()
+    specs = {m: replace(confidence.SPECS[m], mode=mode) for m in metrics}
+    return confidence.with_confidences(sensed(spark, sf_dir), specs, metrics)
 
 
 @plans(f"WITH {CONF_SQL} SELECT event_id, modality, round(rt_m, 9) + 0 AS rt_m, round(st_m, 9) + 0 AS st_m, round(confidence, 9) + 0 AS confidence FROM conf")

@@ -263,12 +263,26 @@ def hausdorff(spark, sf_dir):
     return metrics.hausdorff(track(spark, sf_dir)).select("uav_id", r6(F.col("hausdorff")).alias("hausdorff"))
 
 
-@plans()
+def _path_sql(name, join, by):
+    """Row by row through the matrix of distances; a row is a list."""
+    return f"""WITH RECURSIVE {TRACK_SQL},
+  l AS (SELECT uav_id, list([gx, gy] ORDER BY t_idx) AS g, list([px, py] ORDER BY t_idx) AS p FROM track GROUP BY uav_id),
+  r(uav_id, g, p, i, d) AS (
+    SELECT uav_id, g, p, 0::BIGINT, list_concat([0e0], list_transform(p, lambda x: 'infinity'::DOUBLE)) FROM l
+    UNION ALL
+    SELECT uav_id, g, p, i + 1, list_reduce(
+      list_concat([['infinity'::DOUBLE]], list_transform(p, lambda x, j: [sqrt(pow(x[1] - g[i + 1][1], 2) + pow(x[2] - g[i + 1][2], 2)), d[j + 1], d[j]])),
+      lambda a, x: list_append(a, {join.format(cost='x[1]', way='least(a[-1], x[2], x[3])')}))
+    FROM r WHERE i < len(g))
+  SELECT uav_id, round(d[-1]{by}, 6) + 0 AS {name} FROM r WHERE i = len(g)"""
+
+
+@plans(_path_sql("dtw", "{cost} + {way}", " / greatest(len(g), len(p))"))
 def dtw(spark, sf_dir):
     return metrics.path_distance(track(spark, sf_dir), metrics.dtw, "dtw").select("uav_id", r6(F.col("dtw")).alias("dtw"))
 
 
-@plans()
+@plans(_path_sql("frechet", "greatest({cost}, {way})", ""))
 def frechet(spark, sf_dir):
     return metrics.path_distance(track(spark, sf_dir), metrics.frechet, "frechet").select("uav_id", r6(F.col("frechet")).alias("frechet"))
 
@@ -339,3 +353,76 @@ def sensor_gap_report(spark, sf_dir):
     both = side("gps").join(side("radar"), ["uav_id", "hour"]).withColumn("gap", F.abs(F.col("lat_gps") - F.col("lat_radar")))
     metres = F.col("gap") * geo.METRES_PER_DEGREE
     return both.agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg(metres), 5) + 0.0).alias("mean_gap_m"), (F.round(F.max(metres), 5) + 0.0).alias("max_gap_m"), r6(F.corr("gap", "confidence_gps")).alias("corr_gap_conf"))
+
+
+def _own(name, columns):
+    return f"SELECT uav_id, {columns} FROM ({plans.sql[name]})"
+
+
+_EVALUATED = {"error_stats": "rmse, mae, medae, p90, p95, max_err", "ade_fde": "ade, fde, ade_xy, fde_xy", "boundary_rmse": "head_rmse, tail_rmse", "outlier_ratio": "over_20, over_25, over_30", "rpe_h": "rpe_1, rpe_5, rpe_10", "along_cross": "along_rmse, cross_rmse, cross_bias", "jerk": "jerk, jerk_truth, jerk_ratio", "conf_error_corr": "corr_err_conf, n"}
+_COVERED = f"""(WITH {TRACK_SQL}, {_WIN}, c AS (SELECT t.uav_id, t.t_idx, count(w.start) AS cover, any_value(t.len) AS len FROM tl t LEFT JOIN win w USING (uav_id, t_idx) GROUP BY 1, 2)
+  SELECT uav_id, greatest(0, (max(len) - {W_SIZE}) // {W_STRIDE} + 1)::BIGINT AS windows, round(avg(cover) FILTER (t_idx < 20), 6) + 0 AS head_cover, round(avg(cover) FILTER (t_idx >= len - 20), 6) + 0 AS tail_cover FROM c GROUP BY uav_id)"""
+
+
+_JOINED = [*(f"({_own(n, c)})" for n, c in _EVALUATED.items()), _COVERED, f"({plans.sql['hausdorff']})"]
+
+
+@plans(f"SELECT * FROM {_JOINED[0]} " + " ".join(f"JOIN {part} USING (uav_id)" for part in _JOINED[1:]))
+def evaluation_rows(spark, sf_dir):
+    """A row with all metrics of each object: every track is sorted once."""
+    rows = metrics.along_cross(windows.with_length(track(spark, sf_dir), "uav_id"))
+    for h in (1, 5, 10):
+        rows = metrics.with_relative_error(rows, h).withColumnRenamed("rpe", f"d{h}")
+    rows = metrics.with_jerk(metrics.with_jerk(rows, ("px", "py", "pz"), "jp"), ("gx", "gy", "gz"), "jg")
+    rows = rows.withColumns({"d": metrics.distance3(rows), "d2": geo.norm(F.col("px") - F.col("gx"), F.col("py") - F.col("gy"))})
+    cover = windows.covering(F.col("t_idx"), F.col("length"), W_SIZE, W_STRIDE)
+    k = F.least(F.lit(20), F.col("length"))
+    head, tail = F.col("t_idx") < k, F.col("t_idx") >= F.col("length") - k
+    square = lambda c: F.col(c) * F.col(c)
+    rms = lambda c, keep=F.lit(True): F.sqrt(F.avg(F.when(keep, square(c))))
+    made = {
+        "ade": F.avg("d"), "fde": F.max_by("d", "t_idx"), "ade_xy": F.avg("d2"), "fde_xy": F.max_by("d2", "t_idx"), "head_rmse": rms("d", head), "tail_rmse": rms("d", tail),
+        **{f"over_{round(t * 100)}": F.avg((F.col("d") > t).cast("int")) for t in (0.2, 0.25, 0.3)}, **{f"rpe_{h}": rms(f"d{h}") for h in (1, 5, 10)},
+        "along_rmse": rms("along"), "cross_rmse": rms("across"), "cross_bias": F.avg("across"), "jerk": F.avg("jp"), "jerk_truth": F.avg("jg"), "jerk_ratio": F.when(F.avg("jg") > 1e-9, F.avg("jp") / F.avg("jg")),
+        "corr_err_conf": F.corr("d", F.abs("px")), "head_cover": F.avg(F.when(F.col("t_idx") < 20, cover)), "tail_cover": F.avg(F.when(F.col("t_idx") >= F.col("length") - 20, cover)),
+    }
+    whole = windows.number_of(F.max("length"), W_SIZE, W_STRIDE)
+    out = rows.groupBy("uav_id").agg(*metrics.error_stats(F.col("d")), F.count(F.lit(1)).alias("n"), whole.alias("windows"), *(c.alias(n) for n, c in made.items()))
+    out = out.join(metrics.hausdorff(track(spark, sf_dir)), "uav_id")
+    return out.select("uav_id", "n", "windows", *(r6(F.col(c)).alias(c) for c in out.columns if c not in ("uav_id", "n", "windows")))
+
+
+_GAP = "sqrt(pow(radians(lon - t_lon) * cos(radians(lat0)) * 6378137e0, 2) + pow(radians(lat - t_lat) * 6378137e0, 2) + pow(alt - t_alt, 2))"
+
+
+@plans(f"""WITH {NEAR_SQL}, ref AS (SELECT uav_id, arg_min(lat, us) AS lat0 FROM t GROUP BY uav_id),
+  d AS (SELECT near.uav_id, modality, {_GAP} AS d FROM near JOIN ref ON near.uav_id = ref.uav_id WHERE abs(us - t_us) <= {HOURS6}::BIGINT AND lat IS NOT NULL AND lon IS NOT NULL AND alt IS NOT NULL)
+  SELECT uav_id, modality, count(*) AS n, round(sqrt(avg(d * d)), 3) + 0 AS rmse, round(avg(d), 3) + 0 AS mae, round(quantile_cont(d, 0.5), 3) + 0 AS medae, round(max(d), 3) + 0 AS max_err FROM d GROUP BY uav_id, modality""")
+def modality_errors(spark, sf_dir):
+    """Each sensor's errors against the nearest truth, in the plane about the object's first truth row."""
+    seen = sensed(spark, sf_dir).where("lat IS NOT NULL AND lon IS NOT NULL AND alt IS NOT NULL")
+    known = truth(spark, sf_dir)
+    first = known.groupBy("uav_id").agg(F.min_by(F.struct("lat", "lon", "alt"), "us").alias("o"))
+    near = asof.nearest(seen, known, "uav_id", "us", POS, HOURS6).join(first, "uav_id")
+    plane = lambda p: geo.enu(*(F.col(p + c) for c in POS), *(F.col(f"o.{c}") for c in POS))
+    d = geo.norm(*(a - b for a, b in zip(plane(""), plane("t_"), strict=True)))
+    out = near.select("uav_id", "modality", d.alias("d")).groupBy("uav_id", "modality").agg(F.count(F.lit(1)).alias("n"), *metrics.error_stats(F.col("d")))
+    return out.select("uav_id", "modality", "n", *((F.round(c, 3) + 0.0).alias(c) for c in ("rmse", "mae", "medae", "max_err")))
+
+
+_STEP_ORDER = "CASE modality WHEN 'gps' THEN 0 WHEN 'radar' THEN 1 WHEN 'fiveg' THEN 2 ELSE 3 END"
+
+
+@plans(f"""WITH {OBS_SQL}, h AS (SELECT *, {_HOUR} AS hour, event_id % 4 = 0 AS missing, event_id % 7 > 0 AS placed FROM obs WHERE modality <> 'truth'),
+  own AS (SELECT * FROM h WHERE placed QUALIFY row_number() OVER (PARTITION BY uav_id, hour ORDER BY missing, {_STEP_ORDER}, us DESC, event_id DESC) = 1),
+  steps AS (SELECT DISTINCT uav_id, hour FROM h),
+  j AS (SELECT steps.*, lat, lon, alt, CASE WHEN own.event_id IS NULL THEN 0e0 ELSE q1 END AS speed, CASE WHEN own.event_id IS NULL THEN 'none' WHEN missing THEN 'flagged' ELSE 'valid' END AS choice FROM steps LEFT JOIN own USING (uav_id, hour)),
+  f AS (SELECT uav_id, hour, speed, choice, last_value(lat IGNORE NULLS) OVER w AS lat, last_value(lon IGNORE NULLS) OVER w AS lon, last_value(alt IGNORE NULLS) OVER w AS alt FROM j WINDOW w AS (PARTITION BY uav_id ORDER BY hour ROWS UNBOUNDED PRECEDING))
+  SELECT uav_id, hour, choice, round(speed, 6) + 0 AS speed, round(lat, 7) + 0 AS lat, round(lon, 7) + 0 AS lon, round(alt, 6) + 0 AS alt FROM f WHERE lat IS NOT NULL""")
+def locf_truth_rows(spark, sf_dir):
+    """Truth rows out of sensors: the best unflagged one of a step, else the best of all, else the last position."""
+    hour = F.floor(F.col("us") / (3600 * MICROS))
+    rows = sensed(spark, sf_dir).withColumns({"hour": hour, "speed": F.col("q1"), "missing": F.col("event_id") % 4 == 0})
+    rows = rows.withColumns({c: F.when(F.col("event_id") % 7 > 0, F.col(c)) for c in POS})
+    made = fusion.truth_rows(rows, "hour", F.col("missing"), ("gps", "radar", "fiveg", "tdoa"), ["us", "event_id"], ["speed"])
+    return made.select("uav_id", "hour", "choice", r6(F.col("speed")).alias("speed"), (F.round("lat", 7) + 0.0).alias("lat"), (F.round("lon", 7) + 0.0).alias("lon"), r6(F.col("alt")).alias("alt"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyweave.functions import alerts, confidence, geo, scalar
-from skyweave.operators import asof, intervals, matching, metrics, numbering, windows
+from skyweave.operators import running, asof, intervals, matching, metrics, numbering, windows
 from skyweave.plans.scalars import confidence as spec_module
 
 
@@ -113,14 +113,35 @@ def test_greedy_takes_the_best_pairs(spark):
     assert matching.greedy(pairs.limit(0)).count() == 0
 
 
+def test_greedy_in_rounds_is_greedy_in_order(spark):
+    chain = [(1, n, n, 1.0 - n / 10_000) for n in range(2000)] + [(1, n + 1, n, 1.0 - (n + 0.5) / 10_000) for n in range(2000)]
+    ties = [(2, d, r, ((d * 7 + r * 3) % 5) / 5) for d in range(12) for r in range(12)]
+    pairs = spark.createDataFrame(chain + ties, "frame long, det long, rep long, score double")
+
+    def plain(frame):
+        dets, reps, out = set(), set(), []
+        for score, det, rep in sorted(((s, d, r) for f, d, r, s in chain + ties if f == frame and s > 0), reverse=True):
+            if det not in dets and rep not in reps:
+                out.append((frame, det, rep))
+                dets.add(det)
+                reps.add(rep)
+        return out
+
+    want = sorted(plain(1) + plain(2))
+    assert sorted((r.frame, r.det, r.rep) for r in matching.greedy(pairs).collect()) == want
+    few = pairs.where("frame = 2 OR det < 6")
+    assert sorted((r.frame, r.det, r.rep) for r in matching.greedy(few, small=3).collect()) == sorted((r.frame, r.det, r.rep) for r in matching.greedy(few).collect())
+
+
 def test_smoothing(spark):
     rows = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.7)] + [(2, i, (i * 7 % 10) / 10) for i in range(500)], "k long, t long, q double")
-    got = {(r.k, r.t): r.tau for r in rows.select("k", "t", matching.smoothed("k", ["t"], "q").alias("tau")).collect()}
-    assert got[1, 1] == pytest.approx(0.604)
-    tau = 0.5
-    for i in range(500):
-        tau = 0.8 * tau + 0.2 * (i * 7 % 10) / 10
-        assert got[2, i] == pytest.approx(tau, abs=1e-12)
+    for width in (1, 64, 10_000):
+        got = {(r.k, r.t): r.tau for r in running.with_smoothed(rows, "k", ["t"], "q", "tau", width).collect()}
+        assert got[1, 1] == pytest.approx(0.604)
+        tau = 0.5
+        for i in range(500):
+            tau = 0.8 * tau + 0.2 * (i * 7 % 10) / 10
+            assert got[2, i] == pytest.approx(tau, abs=1e-12)
 
 
 def test_intervals(spark):
