@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
 
-def numbered(ids: DataFrame, column: str, width: int = 1 << 16) -> DataFrame:
-    """Distinct integers with ``number``, 0, 1, ... in ascending order.  Each
-    range of ``width`` is numbered by itself; only the ranges' sizes, a row
-    for each range, are summed in order."""
-    rows = ids.select(column).distinct().withColumn("_range", F.floor(F.col(column) / width))
+
+def numbered(ids: DataFrame, column: str) -> DataFrame:
+    """Distinct values with ``number``, 0, 1, ... in ascending order.  Spark
+    deals them to ranges of about equal size, each is numbered by itself, and
+    only the ranges' sizes, a row for each partition, are summed in order."""
+    rows = ids.select(column).distinct().repartitionByRange(column).withColumn("_range", F.spark_partition_id())
+    rows = saved(rows, "numbered")
     sizes = rows.groupBy("_range").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(column)) - 1

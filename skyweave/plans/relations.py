@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import running
 from ..operators.numbering import batch_label, numbered
+from ..sources.shared import saved
 from ..sources.tables import MICROS, OBS_SQL, obs, sensed, table, truth
 from .base import Plans, r6
 from .scalars import CONF_SQL, confident, tag
@@ -82,3 +83,26 @@ def block_shuffle(spark, sf_dir):
     drawn = F.md5(F.concat_ws("|", F.lit("7"), F.col("event_id").cast("string")).cast("binary"))
     place = (F.row_number().over(Window.partitionBy(block).orderBy(drawn, "event_id")) - 1).cast("long")
     return table(spark, sf_dir, "events").select("event_id", block.alias("block"), place.alias("place"))
+
+
+_UNITS = f"""u AS (SELECT event_id % 5 AS dataset, n.number // 20 AS unit, modality, count(*) AS k
+    FROM obs JOIN (SELECT uav_id, row_number() OVER (ORDER BY uav_id) - 1 AS number FROM (SELECT DISTINCT uav_id FROM obs)) n USING (uav_id) GROUP BY 1, 2, 3),
+  one AS (SELECT dataset, unit, '{{' || string_agg('"' || modality || '":{{"rows":' || k || '}}', ',' ORDER BY modality) || '}}' AS summary FROM u GROUP BY 1, 2),
+  b AS (SELECT *, row_number() OVER (ORDER BY dataset, unit) AS place FROM one)"""
+_LABEL = "lpad({x}::VARCHAR, greatest(2, length({x}::VARCHAR))::INT, '0')"
+
+
+@plans(f"""WITH {OBS_SQL}, {_UNITS}
+  SELECT 'merged' || {_LABEL.format(x='place')} AS batch, substr('ABCDE', dataset::INT + 1, 1) AS source_dataset, 'batch' || {_LABEL.format(x='(unit + 1)')} AS source_unit, summary FROM b
+  UNION ALL SELECT NULL, NULL, NULL, '{{"dataset_count":' || count(DISTINCT dataset) || ',"source_unit_count":' || count(*) || ',"batch_count":' || count(*) || '}}' FROM b""")
+def run_summaries(spark, sf_dir):
+    """A JSON summary of each unit of each dataset, merged to one run of batches, and that of the run."""
+    rows = obs(spark, sf_dir).select((F.col("event_id") % 5).alias("dataset"), "uav_id", "modality")
+    counts = rows.groupBy("dataset", "uav_id", "modality").agg(F.count(F.lit(1)).alias("k")).join(numbered(rows, "uav_id"), "uav_id")
+    counts = counts.groupBy("dataset", F.floor(F.col("number") / 20).alias("unit"), "modality").agg(F.sum("k").alias("rows"))
+    entries = F.array_sort(F.collect_list(F.struct("modality", F.struct("rows").alias("counts"))))
+    one = saved(counts.groupBy("dataset", "unit").agg(F.to_json(F.map_from_entries(entries)).alias("summary")).withColumn("code", F.col("dataset") * (1 << 40) + F.col("unit")), "unit-summaries")
+    place = numbered(one, "code")
+    batches = one.join(place, "code").select(batch_label(F.col("number"), 1, "merged").alias("batch"), F.substr(F.lit("ABCDE"), (F.col("dataset") + 1).cast("int"), F.lit(1)).alias("source_dataset"), batch_label(F.col("unit"), 1).alias("source_unit"), "summary")
+    total = one.agg(F.to_json(F.struct(F.countDistinct("dataset").alias("dataset_count"), F.count(F.lit(1)).alias("source_unit_count"), F.count(F.lit(1)).alias("batch_count"))).alias("summary"))
+    return batches.unionByName(total, allowMissingColumns=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, scalar
-from ..operators import asof, fusion, metrics, windows
+from ..operators import asof, fusion, inference, metrics, windows
 from ..sources.tables import MICROS, OBS_SQL, TRACK_SQL, obs, sensed, track, truth
 from .base import Plans, r6
 from .scalars import CONF_SQL, confident
@@ -426,3 +426,32 @@ def locf_truth_rows(spark, sf_dir):
     rows = rows.withColumns({c: F.when(F.col("event_id") % 7 > 0, F.col(c)) for c in POS})
     made = fusion.truth_rows(rows, "hour", F.col("missing"), ("gps", "radar", "fiveg", "tdoa"), ["us", "event_id"], ["speed"])
     return made.select("uav_id", "hour", "choice", r6(F.col("speed")).alias("speed"), (F.round("lat", 7) + 0.0).alias("lat"), (F.round("lon", 7) + 0.0).alias("lon"), r6(F.col("alt")).alias("alt"))
+
+
+_SUMS = ", ".join(f"sum(w * {a}) AS s{a}" for a in "enu")
+_LESS = "least(1e0, cover / 3e0)"
+
+
+def _blend_sql(out, at, x, where):
+    return f"CASE WHEN {where} AND NOT ({_LESS} >= 0.999e0 OR coalesce(w, 0e0) <= 1e-9) THEN {_LESS} * {x} + (1e0 - {_LESS}) * {at} ELSE {x} END AS {out}"
+
+
+@plans(f"""WITH {CONF_SQL}, t AS (SELECT * FROM obs WHERE modality = 'truth'), {_TWO.format(o='conf')},
+  ref AS (SELECT uav_id, arg_min(lat, us) AS lat0, arg_min(lon, us) AS lon0, arg_min(alt, us) AS alt0 FROM t GROUP BY uav_id),
+  nodes AS (SELECT near.uav_id, t_us AS us, confidence, (0.3e0 + 0.7e0 * confidence) * {_PRIOR} AS w, radians(lon - lon0) * cos(radians(lat0)) * 6378137e0 AS e, radians(lat - lat0) * 6378137e0 AS n, alt - alt0 AS u
+    FROM near JOIN ref ON near.uav_id = ref.uav_id WHERE abs(us - t_us) <= {HOURS6}::BIGINT AND lat IS NOT NULL AND lon IS NOT NULL AND alt IS NOT NULL),
+  sums AS (SELECT uav_id, us, count(*) AS k, sum(confidence) AS c, {_SUMS}, sum(w) AS w FROM nodes GROUP BY 1, 2),
+  times AS (SELECT uav_id, us, row_number() OVER (PARTITION BY uav_id ORDER BY us) - 1 AS t_idx, count(*) OVER (PARTITION BY uav_id) AS len FROM (SELECT DISTINCT uav_id, us FROM t)),
+  steps AS (SELECT times.*, k, c, se, sn, su, w, se / w AS e, sn / w AS n, su / w AS u FROM times LEFT JOIN sums USING (uav_id, us)),
+  d AS (SELECT steps.*, s.start, t_idx - s.start AS pos FROM steps, LATERAL (SELECT unnest(generate_series(0, len - {W_SIZE}, {W_STRIDE})) AS start) s WHERE t_idx BETWEEN s.start AND s.start + {W_SIZE - 1}),
+  whole AS (SELECT uav_id, start, greatest(1e-3, ln(1e0 + sum(k)) * (0.3e0 + 0.7e0 * sum(c) / sum(k))) AS quality, sum(se) / sum(w) AS we, sum(sn) / sum(w) AS wn, sum(su) / sum(w) AS wu FROM d GROUP BY 1, 2 HAVING sum(k) > 0),
+  p AS (SELECT uav_id, t_idx, greatest(1e-6, {_TAPER} * quality) AS g, coalesce(e, we) AS pe, coalesce(n, wn) AS pn, coalesce(u, wu) AS pu FROM d JOIN whole USING (uav_id, start)),
+  m AS (SELECT uav_id, t_idx, count(*) AS cover, sum(g * pe) / (sum(g) + 1e-6) AS pe, sum(g * pn) / (sum(g) + 1e-6) AS pn, sum(g * pu) / (sum(g) + 1e-6) AS pu FROM p GROUP BY 1, 2),
+  z AS (SELECT steps.*, coalesce(cover, 0) AS cover, coalesce(pe, 0e0) AS pe, coalesce(pn, 0e0) AS pn, coalesce(pu, 0e0) AS pu FROM steps LEFT JOIN m USING (uav_id, t_idx)),
+  h AS (SELECT z.* EXCLUDE (pe, pn, pu), {', '.join(_blend_sql('p' + a, a, 'p' + a, 't_idx < 20') for a in 'enu')} FROM z),
+  b AS (SELECT h.* EXCLUDE (pe, pn, pu), {', '.join(_blend_sql('p' + a, a, 'p' + a, 't_idx >= len - 20') for a in 'enu')} FROM h)
+  SELECT b.uav_id, us, cover, round(lat0 + degrees(pn / 6378137e0), 7) + 0 AS lat, round(lon0 + degrees(pe / (cos(radians(lat0)) * 6378137e0)), 7) + 0 AS lon, round(alt0 + pu, 5) + 0 AS alt FROM b JOIN ref ON b.uav_id = ref.uav_id""")
+def inference_pipeline(spark, sf_dir):
+    """All steps from observations to fused positions, with the observations' means in the model's place."""
+    fused = inference.fuse(confident(spark, sf_dir), truth(spark, sf_dir), HOURS6, W_SIZE, W_STRIDE)
+    return fused.select("uav_id", "us", "cover", *((F.round(c, d) + 0.0).alias(c) for c, d in (("lat", 7), ("lon", 7), ("alt", 5))))
