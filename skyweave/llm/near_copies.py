@@ -89,13 +89,13 @@ class _Shard:
 
     def __init__(self) -> None:
         self._tree, self._joined = BKTree(), Forest()
-        self._rows: list[int] = []
+        self._roots: list[int] = []
         self._prints: list[int] = []
         self._sets: list[np.ndarray] = []
         self._at: defaultdict[int, list[int]] = defaultdict(list)  # rows by node of the tree
         self._first: dict[int, int] = {}  # of those that were joined before
 
-    def take(self, row: int, fp: int, root: int, hashes: np.ndarray, search: bool) -> Iterator[tuple[int, int]]:
+    def take(self, fp: int, root: int, hashes: np.ndarray, search: bool) -> None:
         """Adds a row, first looking for links to those before it if asked."""
         own, root_of = self._joined.add(), self._joined.root
         self._joined.join(own, self._first.setdefault(root, own))
@@ -105,33 +105,40 @@ class _Shard:
             for _, i in sorted(found):
                 if root_of(i) != root_of(own) and alike(hashes, self._sets[i]):
                     self._joined.join(own, i)
-                    yield row, self._rows[i]
-        self._rows.append(row)
+        self._roots.append(root)
         self._prints.append(fp)
         self._sets.append(hashes)
         self._at[self._tree.add(fp)].append(own)
 
+    def links(self) -> set[tuple[int, int]]:
+        """The roots that were joined, each with the first of those."""
+        pairs = ((root, self._roots[self._joined.root(i)]) for i, root in enumerate(self._roots))
+        return {(a, b) for a, b in pairs if a != b}
+
 
 def _links(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by shard and part; a part may go on in the next batch."""
     last, shard = (), _Shard()
+    table = lambda found: pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
     for batch in batches:
         found: list[tuple[int, int]] = []
         keys = zip(*(batch.column(c).to_pylist() for c in ("key", "block", "part")), strict=True)
         prints = batch.column("fp").to_numpy().view(np.uint64).tolist()
-        rows, roots, searches = (batch.column(c).to_pylist() for c in ("row", "root", "search"))
-        for key, row, fp, root, hashes, search in zip(keys, rows, prints, roots, batch.column("hashes"), searches, strict=True):
+        roots, searches = batch.column("root").to_pylist(), batch.column("search").to_pylist()
+        for key, fp, root, hashes, search in zip(keys, prints, roots, batch.column("hashes"), searches, strict=True):
             if key != last:
+                found += shard.links()
                 last, shard = key, _Shard()
-            found += shard.take(row, fp, root, np.frombuffer(hashes.as_buffer(), np.uint64).copy(), search)
-        yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            shard.take(fp, root, np.frombuffer(hashes.as_buffer(), np.uint64).copy(), search)
+        yield table(found)
+    yield table([*shard.links()])
 
 
 def _linked(dealt: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """Links (a, b) within each block and part of the shards."""
+    """Links (a, b) of the roots within each block and part of the shards."""
     keys = ["key", "block", "part"]
-    rows = dealt.join(sets, "row").select(*keys, "search", "row", "root", "fp", "hashes")
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "search", "row")
+    rows = dealt.join(sets, "row").select(*keys, "search", "root", "row", "fp", "hashes")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "search", "root", "row").drop("row")
     return stored(map_batches(ordered, _links, "a long, b long"), name)
 
 
@@ -152,8 +159,7 @@ def groups(rows: DataFrame) -> DataFrame:
     sets = stored(map_batches(rows.join(stored(members.select("row").distinct(), "near-rows-of-shards"), "row", "left_semi"), _sets, "row long, hashes binary"), "near-sets")
     own_block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     dealt = members.select("key", own_block.alias("block"), F.lit(0).alias("part"), F.lit(True).alias("search"), "row", F.col("row").alias("root"), "fp")
-    links = _linked(dealt, sets, "near-links")
-    roots = stored(components(links), "near-roots")
+    roots = components(_linked(dealt, sets, "near-links"))
     large = members.where("blocks > 1")
     if not large.isEmpty():
         large = large.join(roots, large.row == roots.node, "left").select("key", "blocks", "row", "fp", F.coalesce("root", "row").alias("root"))
@@ -167,6 +173,8 @@ def groups(rows: DataFrame) -> DataFrame:
         there = large.select("key", own_block.alias("block"), numbers(F.col("parts")).alias("part"), F.lit(False).alias("search"), "row", "root", "fp")
         seeking = large.where("root != main").select("key", numbers(F.col("blocks")).alias("block"), F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("search"), "row", "root", "fp")
         more = _linked(there.unionByName(seeking), sets, "near-more-links")
-        if not more.isEmpty():
-            roots = stored(components(links.unionByName(more)), "near-roots")
+        # links of roots: what they join is joined as a whole
+        over = components(more)
+        moved = roots.join(over.select(F.col("node").alias("_old"), F.col("root").alias("_new")), F.col("root") == F.col("_old"), "left")
+        roots = moved.select("node", F.coalesce("_new", "root").alias("root")).unionByName(over)
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
