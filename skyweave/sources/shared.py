@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 _own: list[str] = []
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; only where that is unset and
-    Spark runs on one machine, as in tests, in a temporary folder of this
-    process.  On a cluster executors couldn't see that, so it is an error."""
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``.
+
+    Only where that is unset and Spark runs on one machine, as in tests, a
+    temporary folder of this process is made; on a cluster executors couldn't
+    see it, so that is an error.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
@@ -22,7 +25,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="skyweave-"))
         folder = f"file://{_own[0]}"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/run-{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path in this application's part of the shared folder that nothing
+    else uses."""
+    return f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes what this application has put there.  Results are read from
+    it, so only call this when they have been written or shown."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

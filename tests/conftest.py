@@ -3,6 +3,8 @@ import tempfile
 import pytest
 from pyspark.sql import SparkSession
 
+from skyweave.sources.shared import drop_scratch
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -14,4 +16,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_scratch(session)
     session.stop()

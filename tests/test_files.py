@@ -1,4 +1,9 @@
-from skyweave.sources import files
+import tempfile
+import types
+
+import pytest
+
+from skyweave.sources import files, shared
 
 
 def test_csv_by_name_with_nan_blanks_and_aliases(spark, tmp_path):
@@ -70,3 +75,14 @@ def test_modality_names(spark):
 def test_profiles_override_the_base():
     text = '{"base_override": {"a": {"x": 1, "y": [1, 2]}, "b": 1}, "profiles": [{"name": "p", "override": {"a": {"y": [3]}}}, {"name": "q"}]}'
     assert dict(files.profiles(text)) == {"p": {"a": {"x": 1, "y": [3]}, "b": 1}, "q": {"a": {"x": 1, "y": [1, 2]}, "b": 1}}
+
+
+def test_scratch_is_one_folder_of_the_application(spark):
+    a, b = (shared.scratch_path(spark, "x") for _ in range(2))
+    assert a != b and a.startswith(f"{shared.shared_dir(spark)}/run-{spark.sparkContext.applicationId}/")
+    other = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    fake = types.SimpleNamespace(sparkContext=types.SimpleNamespace(master="spark://host:7077", getConf=lambda: {}))
+    with pytest.raises(ValueError, match="all executors share"):
+        shared.shared_dir(fake)
+    fake.sparkContext.getConf = lambda: {"spark.checkpoint.dir": f"file://{other}/"}
+    assert shared.shared_dir(fake) == f"file://{other}"
