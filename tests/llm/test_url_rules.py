@@ -38,3 +38,16 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     for u in ("x.com/ads/1", "x.org/ads/1", "x.com/track/12345678", "x.com/track/1", "x.com/"):
         host, _, path = u.partition("/")
         assert index.judge(host, "/" + path)[0] == naive(u)
+
+
+def test_many_rules_are_judged_in_parts(spark):
+    rules = [url_rules.domain_rule(r, v) for r, v in (("a.net/", "block"), ("net/", "allow"), ("b.org/x/", "block"), ("a.net/", "allow"), ("org/", "allow"), ("a.net/p/q/", "allow"), ("b.org/x/y", "allow"))]
+    urls = ["http://a.net/", "http://a.net/p/q/r", "http://c.net/", "http://b.org/x/yes", "http://b.org/x/", "http://b.org/", "http://z.com/", None]
+    pages = spark.createDataFrame([(n, u, "k") for n, u in enumerate(urls)], "page_id int, url string, _weight string")
+    whole = {r.page_id: (r.rule, r.verdict) for r in url_rules.filter_urls(pages, rules).collect()}
+    assert whole[0] == ("a.net/", "block") and whole[3] == ("b.org/x/y", "allow") and whole[6] == (None, "allow")
+    for size in (1, 2, 3):
+        parts = url_rules.filter_urls(pages, rules, max_rules=size)
+        assert {r.page_id: (r.rule, r.verdict) for r in parts.collect()} == whole
+        assert parts._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r.verdict for r in url_rules.filter_urls(pages, [], "block").collect()} == {"block"}
