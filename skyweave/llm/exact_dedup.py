@@ -22,7 +22,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Folder, shared_dir, stored
+from ..sources.shared import shared_dir
+from .shared import Folder, stored
 
 _ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 

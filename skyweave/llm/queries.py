@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch_path
 from . import chat, decontam, exact_dedup, packing, simhash, token_counts, token_files, toxicity, url_rules, warc
-from .shared import new_path, stored
+from .shared import stored
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -55,7 +56,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "warc")
+    path = scratch_path(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages"), path, min_bytes=0, chunk_bytes=4 << 10)
     return warc.read_records(spark, path)
 
@@ -68,14 +69,14 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "token-files")
+    path = scratch_path(spark, "token-files")
     token_files.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer(), end_id=2)
     return token_files.read_documents(spark, path)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    rollup = token_counts.TokenRollup(spark, new_path(spark, "token-rollup"), tokenizer(), TOKENIZER)
+    rollup = token_counts.TokenRollup(spark, scratch_path(spark, "token-rollup"), tokenizer(), TOKENIZER)
     # an eighth is loaded under another source, then revised: deleted there and inserted where it belongs
     revised = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 8 == 0, F.lit(False))
     unsorted = F.concat_ws("/", F.lit("unsorted"), "source")

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -14,27 +11,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-_own: list[str] = []
-_libc = ctypes.CDLL(None)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``.
+from ..sources.shared import scratch_path
 
-    Only where that is unset and Spark runs on one machine, as in tests, a
-    temporary folder of this process is made; on a cluster executors couldn't
-    see it, so that is an error.  Also makes it the checkpoint folder.
-    """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="skyweave-"))
-        folder = f"file://{_own[0]}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+_libc = ctypes.CDLL(None)
 
 
 class Folder:
@@ -69,15 +48,10 @@ class Folder:
         self._fs.delete(self._at(name), True)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """The rows, written once as Parquet in the shared folder and read back:
     later reads neither recompute them nor depend on an executor's disk."""
-    path = path or new_path(df.sparkSession, name)
+    path = path or scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 from skyweave.llm import exact_dedup, queries
-from skyweave.llm.shared import new_path
+from skyweave.sources.shared import scratch_path
 from tests.oracle import SMALL, compare, views
 
 from .cases import DOCS, documents, got
@@ -53,7 +53,7 @@ def test_later_batches_keep_what_came_first(spark):
 
 
 def test_the_index_outlives_the_catalog(spark):
-    path, name = new_path(spark, "test-index"), f"digests_{uuid.uuid4().hex}"
+    path, name = scratch_path(spark, "test-index"), f"digests_{uuid.uuid4().hex}"
     exact_dedup.DigestIndex(spark, name, 8, path).ingest(documents(spark, [(5, "a b"), (6, "c")]))
     spark.sql(f"DROP TABLE {name}")  # as another session finds it
     for again in (lambda: exact_dedup.DigestIndex(spark, name, 8, path), lambda: exact_dedup.DigestIndex(spark, f"{name}_b", path=path), lambda: exact_dedup.DigestIndex(spark.newSession(), name, path=path)):
@@ -75,7 +75,7 @@ def test_the_index_is_found_by_its_name(spark):
 
 
 def test_nothing_else_is_taken_for_an_index(spark):
-    path, name = new_path(spark, "test-index"), f"digests_{uuid.uuid4().hex}"
+    path, name = scratch_path(spark, "test-index"), f"digests_{uuid.uuid4().hex}"
     spark.range(3).write.parquet(path)
     with pytest.raises(ValueError, match="isn't empty"):
         exact_dedup.DigestIndex(spark, name, path=path)

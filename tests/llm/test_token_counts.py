@@ -1,12 +1,12 @@
 from collections import Counter
 
 from skyweave.llm import queries, token_counts
-from skyweave.llm.shared import new_path
+from skyweave.sources.shared import scratch_path
 from tests.oracle import SMALL
 
 
 def rollup(spark):
-    return token_counts.TokenRollup(spark, new_path(spark, "test-rollup"), queries.tokenizer(), "v1")
+    return token_counts.TokenRollup(spark, scratch_path(spark, "test-rollup"), queries.tokenizer(), "v1")
 
 
 def docs(spark, n, source="s"):
