@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.scalar import gaussian
 from ..sources.shared import saved
+from . import running
 
 
 def candidates(detected: DataFrame, reported: DataFrame, gate: float, k: int = 5, sigma: float = 120.0) -> DataFrame:
@@ -75,6 +76,36 @@ def unmatched(pairs: DataFrame, everything: DataFrame, side: str, least: float)
     return everything.join(best, ["frame", side], "left").where(F.coalesce("_best", F.lit(0.0)) < least).drop("_best")
 
 
+def gates(rows: DataFrame, frame: str, index: str, value: str, name: str, share: float, size: int, beta: float, width: float) -> DataFrame:
+    """``frame`` and its gate: the smoothed quantile, after each frame, of the
+    last ``size`` values in order of (frame, index).  What a matcher keeps as
+    state from frame to frame is so a window over all of them; ``width``
+    frames are a bucket."""
+    quantiles = running.with_rolling_quantile(rows.withColumn("_all", F.lit(0)), "_all", [frame, index], value, share, size, "_q", width)
+    last = quantiles.groupBy("_all", frame).agg(F.max_by("_q", index).alias("_q"))
+    return running.with_smoothed(last, "_all", [frame], "_q", name, width, 0.5, beta).select(frame, name)
+
+
+def frames(detected: DataFrame, reported: DataFrame, gate: float, least: float, share: float = 0.1, size: int = 5000, beta: float = 0.8, width: float = 168) -> tuple[DataFrame, DataFrame]:
+    """Matches (frame, det, rep, score) and misses (frame, id, kind, misses).
+
+    ``detected`` (frame, det, id, lat, lon, confidence) and ``reported``
+    (frame, rep, id, lat, lon, quality) meet in frames that have both.  Rows
+    below the frame's gate take no part in the match.  A detection without a
+    report, or a report without a detection, of a score of ``least`` or more
+    is a miss of its id; ``misses`` counts those of its kind so far.
+    """
+    both = saved(detected.select("frame").intersect(reported.select("frame")), "frames")
+    det, rep = (saved(rows.join(both, "frame", "left_semi"), "frame-rows") for rows in (detected, reported))
+    levels = [gates(rows, "frame", index, value, "_gate", share, size, beta, width) for rows, index, value in ((det, "det", "confidence"), (rep, "rep", "quality"))]
+    able = [rows.join(level, "frame").where(F.col(value) >= F.col("_gate")) for rows, level, value in zip((det, rep), levels, ("confidence", "quality"), strict=True)]
+    pairs = saved(candidates(*able, gate), "candidates")
+    missed = [unmatched(pairs, rows, side, least).select("frame", "id", F.lit(kind).alias("kind"), F.col(side).alias("row")) for rows, side, kind in ((det, "det", "unreported"), (rep, "rep", "undetected"))]
+    missed = missed[0].unionByName(missed[1]).withColumn("who", F.struct("id", "kind"))
+    counted = running.with_sum(missed, "who", ["frame", "row"], F.lit(1).cast("long"), "misses", width)
+    return greedy(pairs), counted.select("frame", "id", "kind", "row", "misses")
+
+
 def neighbours(points: DataFrame, key: str, index: str, axes: list[str], k: int, span: int = 20) -> DataFrame:
     """Symmetric pairs (i, j) of each window's k nearest points, where a
     point is its own nearest; distance in space plus distance in index.

@@ -60,6 +60,38 @@ def match_unmatched(spark, sf_dir):
     return found[0].unionByName(found[1])
 
 
+def _gate_sql(side, value):
+    return f"""q{side} AS (SELECT frame, arg_max(q, {side}) AS q FROM (SELECT frame, {side}, quantile_cont({value}, 0.1e0) OVER (ORDER BY frame, {side} ROWS 499 PRECEDING) AS q FROM {side} SEMI JOIN fr USING (frame)) GROUP BY frame),
+n{side} AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY frame) AS n FROM q{side}),
+g{side}(frame, n, gate) AS (SELECT frame, n, 0.8e0 * 0.5e0 + (1e0 - 0.8e0) * q FROM n{side} WHERE n = 1 UNION ALL SELECT x.frame, x.n, 0.8e0 * gate + (1e0 - 0.8e0) * x.q FROM g{side} g JOIN n{side} x ON x.n = g.n + 1)"""
+
+
+def _missed_sql(side, kind):
+    return f"SELECT frame, uav_id AS id, '{kind}' AS kind, {side} AS event FROM {side} SEMI JOIN fr USING (frame) LEFT JOIN (SELECT frame, {side}, max(score) AS best FROM top GROUP BY 1, 2) USING (frame, {side}) WHERE coalesce(best, 0e0) < 0.2e0"
+
+
+_FRAMES = f"""f AS (SELECT *, us // (3600 * {MICROS}::BIGINT) AS frame FROM obs),
+det AS (SELECT frame, uav_id, event_id AS det, lat AS d_lat, lon AS d_lon, greatest(0e0, least(1e0, q2 / 100e0)) AS confidence FROM f WHERE modality = 'gps'),
+rep AS (SELECT frame, uav_id, event_id AS rep, lat, lon, {_COMM} AS quality FROM f WHERE modality = 'truth'),
+fr AS MATERIALIZED (SELECT frame FROM det INTERSECT SELECT frame FROM rep), {_gate_sql('det', 'confidence')}, {_gate_sql('rep', 'quality')},
+near AS (SELECT frame, det, rep, confidence, quality, sqrt(pow((lat - d_lat) * 111000e0, 2) + pow((lon - d_lon) * 111000e0, 2)) AS distance
+  FROM (SELECT det.* FROM det JOIN gdet USING (frame) WHERE confidence >= gate) JOIN (SELECT rep.* FROM rep JOIN grep USING (frame) WHERE quality >= gate) USING (frame)),
+cand AS (SELECT *, round(exp(-(distance * distance) / (2e0 * 120e0 * 120e0)) * confidence * quality, 12) AS score FROM near WHERE distance <= {GATE}),
+top AS (SELECT *, row_number() OVER (PARTITION BY frame, det ORDER BY score DESC, rep) AS place FROM cand QUALIFY place <= 5),
+missed AS ({_missed_sql('det', 'unreported')} UNION ALL {_missed_sql('rep', 'undetected')})"""
+
+
+@plans(f"WITH RECURSIVE {OBS_SQL}, {_FRAMES} SELECT *, count(*) OVER (PARTITION BY id, kind ORDER BY frame, event ROWS UNBOUNDED PRECEDING) AS misses, misses >= 3 AS abnormal FROM missed")
+def match_frames(spark, sf_dir):
+    """The matcher over all frames, with gates that follow the rows before and votes for those that are missed again and again."""
+    frame = F.floor(F.col("us") / (3600 * MICROS)).alias("frame")
+    q1, q2 = F.col("q1"), F.col("q2")
+    det = obs(spark, sf_dir, ("click",)).select(frame, F.col("event_id").alias("det"), F.col("uav_id").alias("id"), "lat", "lon", scalar.clip(q2 / 100.0).alias("confidence"))
+    rep = truth(spark, sf_dir).select(frame, F.col("event_id").alias("rep"), F.col("uav_id").alias("id"), "lat", "lon", scalar.comm_quality(q1 / 5.0, q2 - 90.0, q1, q2 / 100.0).alias("quality"))
+    _, missed = matching.frames(det, rep, GATE, 0.2, size=500)
+    return missed.select("frame", "id", "kind", F.col("row").alias("event"), "misses", (F.col("misses") >= 3).alias("abnormal"))
+
+
 @plans(f"WITH {OBS_SQL} SELECT event_id, round(quantile_cont(q1, 0.8) OVER (PARTITION BY uav_id ORDER BY us, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 6) + 0 AS gate FROM obs WHERE modality <> 'truth'")
 def gate_quantile(spark, sf_dir):
     gates = running.with_rolling_quantile(sensed(spark, sf_dir), "uav_id", ["us", "event_id"], "q1", 0.8, 50, "gate", DAY)

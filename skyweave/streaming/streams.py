@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators import asof
-from ..sources.shared import scratch_path
+from ..sources.shared import saved, scratch_path
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,7 @@ def aligned(observations: DataFrame, truth: DataFrame, key: str, time: str, colu
     so one that is replayed replaces itself."""
     spark = observations.sparkSession
     path = scratch_path(spark, name)
+    truth = saved(truth.select(key, time, *columns), f"{name}-truth")  # made once, read by each batch
     schema = asof.nearest(spark.createDataFrame([], StructType(observations.schema.fields)), truth, key, time, columns, tolerance).schema
 
     def write(batch: DataFrame, number: int) -> None:
