@@ -87,7 +87,9 @@ class DigestIndex:
         return groups.hint("merge").join(self._spark.table(self.table).hint("merge"), "digest", "left_anti")
 
     def _append(self, rows: DataFrame) -> None:
-        (rows.repartition(self._buckets, "digest").write.format("parquet").mode("append").option("compression", "zstd")
+        """Adds rows that are dealt as the buckets are, so that each task
+        writes one file: as unseen() deals them."""
+        (rows.write.format("parquet").mode("append").option("compression", "zstd")
          .bucketBy(self._buckets, "digest").sortBy("digest").saveAsTable(self.table))
 
     def ingest(self, docs: DataFrame, carry: str | None = None) -> DataFrame:
@@ -121,7 +123,7 @@ class DigestIndex:
         generation before stays for those who still read it; older ones go."""
         rows = self._spark.read.schema("digest binary, keep_id long").parquet(f"{self._path}/gen-{self._generation:06}")
         self._register(self._generation + 1)
-        self._append(rows)
+        self._append(rows.repartition(self._buckets, "digest"))
         for name in self._folder.names():
             if name.startswith("gen-") and int(name.removeprefix("gen-")) < self._generation - 1:
                 self._folder.delete(name)
