@@ -45,12 +45,18 @@ def listed(items: Column, render) -> Column:
     return F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, "(none)").otherwise(F.array_join(F.transform(items, render), "\n"))
 
 
-def prompt(uav_id: Column, battery: Column, nearby: Column, zones: Column) -> Column:
-    """A situation as text."""
+def prompt(uav_id: Column, battery: Column, nearby: Column, zones: Column, place: Column | None = None) -> Column:
+    """A situation as text; ``place`` (lat, lon, alt_m, speed_mps) adds where
+    it is and, with the thresholds, what of it is an alert."""
     near = listed(nearby, lambda x: F.format_string("- %s sep=%dm route=%d", x["id"], x["min_sep_m"], x["route_intersect"]))
     zone = listed(zones, lambda z: F.format_string("- %s inside=%d over=%d", z["zone_id"], z["inside_zone"], z["over_limit_alt"]))
     best = nearest(nearby)
-    return F.format_string("%s battery=%d%%\nnearest=%s at %dm\nnearby (%d):\n%s\nzones (%d):\n%s", uav_id, battery, best["id"], best["min_sep_m"], F.size(nearby), near, F.size(zones), zone)
+    text = F.format_string("%s battery=%d%%\nnearest=%s at %dm\nnearby (%d):\n%s\nzones (%d):\n%s", uav_id, battery, best["id"], best["min_sep_m"], F.size(nearby), near, F.size(zones), zone)
+    if place is None:
+        return text
+    where = F.format_string("\nat %.5f, %.5f, %dm, %dm/s", place["lat"], place["lon"], place["alt_m"], place["speed_mps"])
+    flags = F.format_string("\nroute=%d low=%d critical=%d separation=%dm", any_of(nearby, "route_intersect").cast("int"), (battery < LOW_BATTERY).cast("int"), (battery < CRITICAL_BATTERY).cast("int"), F.lit(SEPARATION))
+    return F.concat(text, where, flags)
 
 
 def check_answer(uav_id: Column, answer: Column, long_reasons: bool = False) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.scalar import clip
+from ..functions.scalar import clip, finite, number, spl_norm
 from . import asof, running
 
 # How far each sensor is trusted.
@@ -49,6 +49,29 @@ def node_feature(lat0: Column, lon0: Column, alt0: Column) -> Column:
     return F.array(*place, F.round(clip(F.col("confidence")), 9) + 0.0, valid.cast("double"), *hot)
 
 
+def full_feature(lat0: Column, lon0: Column, alt0: Column, t_norm: Column) -> Column:
+    """A node's features as the model takes them: plane position, velocity and
+    speed, confidence, time, whether it has a position, whether it isn't
+    flagged as missing, detection, loudness and energy (acoustic ones only,
+    else 0), and the sensor one-hot."""
+    at = lambda c: F.coalesce(number(F.col(c)), F.lit(0.0))
+    valid = finite(F.col("lat")) & finite(F.col("lon")) & finite(F.col("alt"))
+    place = [F.when(valid, x).otherwise(0.0) for x in geo.enu(F.col("lat"), F.col("lon"), F.col("alt"), lat0, lon0, alt0)]
+    heard = lambda x: F.when(F.col("modality") == "acoustic", F.coalesce(x, F.lit(0.0))).otherwise(0.0)
+    return F.array(
+        *place, *map(at, ("vx", "vy", "vz", "speed")), clip(at("confidence")), t_norm, valid.cast("double"), (at("missing_flag") < 1).cast("double"),
+        heard(clip(at("detected_flag"))), heard(spl_norm(number(F.col("spl_db")))), heard(clip(at("acoustic_energy"))), *((F.col("modality") == m).cast("double") for m in MODALITIES),
+    )
+
+
+def legacy_feature(lat0: Column, lon0: Column, alt0: Column, t_norm: Column, size: int) -> Column:
+    """The former features: plane position, the truth's velocity and speed
+    (t_vx, t_vy, t_vz, t_speed), confidence, time and the sensor one-hot, cut
+    to ``size``."""
+    values = [*geo.enu(F.col("lat"), F.col("lon"), F.col("alt"), lat0, lon0, alt0), *map(F.col, ("t_vx", "t_vy", "t_vz", "t_speed", "confidence")), t_norm]
+    return F.slice(F.array(*values, *((F.col("modality") == m).cast("double") for m in MODALITIES)), 1, size)
+
+
 def priority_steps(rows: DataFrame, usable: Column, order: tuple[str, ...]) -> DataFrame:
     """A row for each object and hour: the altitude of its best usable
     sensor (the first of ``order``, its latest row), else the last one known."""

@@ -106,14 +106,18 @@ def frames(detected: DataFrame, reported: DataFrame, gate: float, least: float,
     return greedy(pairs), counted.select("frame", "id", "kind", "row", "misses")
 
 
-def neighbours(points: DataFrame, key: str, index: str, axes: list[str], k: int, span: int = 20) -> DataFrame:
-    """Symmetric pairs (i, j) of each window's k nearest points, where a
-    point is its own nearest; distance in space plus distance in index.
+def neighbours(points: DataFrame, key: str, index: str, axes: list[str], k: int, span: int = 20, own: bool = True) -> DataFrame:
+    """Pairs (i, j) of each window's k nearest points; distance in space plus
+    distance in index.  With ``own`` a point is its own nearest and pairs are
+    symmetric; without, it has no pair with itself and pairs are as found.
     Windows are ``span`` indices, so a window has span**2 pairs at most."""
-    own = points.withColumn("_window", F.floor(F.col(index) / span))
-    a = own.select(key, "_window", F.col(index).alias("i"), *(F.col(x).alias(f"{x}_i") for x in axes))
-    b = own.select(key, "_window", F.col(index).alias("j"), *(F.col(x).alias(f"{x}_j") for x in axes))
+    apart = F.lit(True) if own else F.col("i") != F.col("j")
+    dealt = points.withColumn("_window", F.floor(F.col(index) / span))
+    a = dealt.select(key, "_window", F.col(index).alias("i"), *(F.col(x).alias(f"{x}_i") for x in axes))
+    b = dealt.select(key, "_window", F.col(index).alias("j"), *(F.col(x).alias(f"{x}_j") for x in axes))
     gap = geo.norm(*(F.col(f"{x}_i") - F.col(f"{x}_j") for x in axes)) + F.abs(F.col("i") - F.col("j"))
     place = F.row_number().over(Window.partitionBy(key, "i").orderBy(F.round(gap, 9), "j"))
-    found = a.join(b, [key, "_window"]).withColumn("_place", place).where(F.col("_place") <= k).select(key, "i", "j")
+    found = a.join(b, [key, "_window"]).where(apart).withColumn("_place", place).where(F.col("_place") <= k).select(key, "i", "j")
+    if not own:
+        return found
     return found.unionByName(found.select(key, F.col("j").alias("i"), F.col("i").alias("j"))).distinct()

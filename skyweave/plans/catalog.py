@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import matching, relations, scalars, situations, streams, tracks
+from . import files, matching, relations, scalars, situations, streams, tracks
 from .base import Query
 
 FLAGSHIP = "fusion_observation_weighted"
-_MODULES = (scalars, tracks, matching, situations, relations, streams)
+_MODULES = (scalars, tracks, matching, situations, relations, streams, files)
 
 
 def queries() -> dict[str, Query]:

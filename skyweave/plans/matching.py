@@ -125,6 +125,13 @@ def knn_self(spark, sf_dir):
     return matching.neighbours(track(spark, sf_dir), "uav_id", "t_idx", ["gx", "gy", "gz"], 6)
 
 
+@plans(f"""WITH {TRACK_SQL}, p AS (SELECT a.uav_id, a.t_idx AS i, b.t_idx AS j, sqrt(pow(a.gx - b.gx, 2) + pow(a.gy - b.gy, 2) + pow(a.gz - b.gz, 2)) + abs(a.t_idx - b.t_idx) AS gap
+    FROM track a JOIN track b ON a.uav_id = b.uav_id AND a.t_idx // 20 = b.t_idx // 20 AND a.t_idx <> b.t_idx)
+  SELECT uav_id, i, j FROM p QUALIFY row_number() OVER (PARTITION BY uav_id, i ORDER BY round(gap, 9), j) <= 6""")
+def knn_others(spark, sf_dir):
+    return matching.neighbours(track(spark, sf_dir), "uav_id", "t_idx", ["gx", "gy", "gz"], 6, own=False)
+
+
 _ARC = "sqrt(pow(radians({b} - lon) * cos(radians((lat + {a}) / 2e0)), 2) + pow(radians({a} - lat), 2)) * 6371000e0"
 _REACH = " ".join(f"WHEN '{m}' THEN greatest(0e0, least(1e0, {_ARC.format(a=f'{a}e0', b=f'{b}e0')} / {r}e0))" for m, (a, b, r) in intervals.ANCHORS.items())
 _ZONE = ", ".join(f"CASE WHEN {_ARC.format(a=f'{a}e0', b=f'{b}e0')} <= {r}e0 THEN {s}e0 ELSE 0e0 END" for a, b, r, s in intervals.ZONES)

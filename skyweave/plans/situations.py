@@ -36,6 +36,17 @@ def prompt_render(spark, sf_dir):
     return situation(spark, sf_dir).select("sample_id", text.alias("prompt"))
 
 
+_TEXT = plans.sql["prompt_render"].split(" SELECT sample_id, ", 1)[1].split(" AS prompt")[0]
+
+
+@plans(f"""WITH {SITUATION_SQL}, {_FLAGS} SELECT sample_id, {_TEXT} || chr(10) || printf('at %.5f, %.5f, %dm, %dm/s', 45e0 + battery_pct / 1000e0, 5e0 - len(zones) / 63e0, 80 + len(nearby), 10 + len(zones)) || chr(10)
+  || printf('route=%d low=%d critical=%d separation=50m', (len(list_filter(nearby, lambda x: x.route_intersect = 1)) > 0)::INT, (battery_pct < 20)::INT, (battery_pct < 15)::INT) AS prompt FROM a""")
+def prompt_with_place(spark, sf_dir):
+    rows = situation(spark, sf_dir)
+    place = F.struct((45.0 + F.col("battery_pct") / 1000.0).alias("lat"), (5.0 - F.size("zones") / 63.0).alias("lon"), (80 + F.size("nearby")).alias("alt_m"), (10 + F.size("zones")).alias("speed_mps"))
+    return rows.select("sample_id", rules.prompt(F.col("uav_id"), F.col("battery_pct"), F.col("nearby"), F.col("zones"), place).alias("prompt"))
+
+
 _ANSWER = """answers AS (SELECT o_orderkey AS sample_id, 'UAV' || lpad(o_custkey::VARCHAR, 5, '0') AS uav_id,
   CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN '返航' WHEN 2 THEN 'UAV00000，请返航' || chr(10) || '理由:x' WHEN 3 THEN 'UAV' || lpad(o_custkey::VARCHAR, 5, '0') || '，请返航' || chr(10) || 'because'
     WHEN 4 THEN 'UAV' || lpad(o_custkey::VARCHAR, 5, '0') || '，请飞' || chr(10) || '理由:x'
@@ -59,6 +70,15 @@ def answer_validate(spark, sf_dir):
     return _answers(spark, sf_dir).select("sample_id", rules.check_answer(uav, answer).alias("strict"), rules.check_answer(uav, answer, long_reasons=True).alias("label"))
 
 
+@plans(f"""WITH {_ANSWER}, {_CHECK}, v AS (SELECT {_VERDICT.format(long='')} AS label, length(coalesce(answer, '')) AS said FROM said)
+  SELECT label, count(*) AS calls, sum(40 + said)::BIGINT AS total_tokens FROM v GROUP BY label""")
+def token_accounting(spark, sf_dir):
+    """What calls cost, by what came of them: sums that tasks make first."""
+    used = 40 + F.char_length(F.coalesce("answer", F.lit("")))
+    rows = _answers(spark, sf_dir).select(rules.check_answer(F.col("uav_id"), F.col("answer"), long_reasons=True).alias("label"), used.alias("used"))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("calls"), F.sum("used").alias("total_tokens"))
+
+
 @plans("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_antijoin(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")

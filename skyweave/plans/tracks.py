@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, scalar
-from ..operators import asof, fusion, inference, metrics, windows
+from ..operators import asof, fusion, inference, metrics, running, windows
 from ..sources.tables import MICROS, OBS_SQL, TRACK_SQL, obs, sensed, track, truth
 from .base import Plans, r6
 from .scalars import CONF_SQL, confident
@@ -455,3 +455,76 @@ def inference_pipeline(spark, sf_dir):
     """All steps from observations to fused positions, with the observations' means in the model's place."""
     fused = inference.fuse(confident(spark, sf_dir), truth(spark, sf_dir), HOURS6, W_SIZE, W_STRIDE)
     return fused.select("uav_id", "us", "cover", *((F.round(c, d) + 0.0).alias(c) for c, d in (("lat", 7), ("lon", 7), ("alt", 5))))
+
+
+_HOT = ", ".join(f"(m = '{m}')::INT::DOUBLE" for m in fusion.MODALITIES)
+_ENU = [f"round({x}, 4) + 0" for x in ("radians(lon - 5e0) * cos(radians(45e0)) * 6378137e0", "radians(lat - 45e0) * 6378137e0", "alt - 100e0")]
+_CLIP = "greatest(0e0, least(1e0, {x}))"
+
+
+def _rounded(feature):
+    return F.transform(feature, lambda x, i: F.when(i < 3, F.round(x, 4)).otherwise(F.round(x, 9)) + 0.0)
+
+
+@plans(f"""WITH {CONF_SQL}, f AS (SELECT *, CASE modality WHEN 'tdoa' THEN 'acoustic' ELSE modality END AS m, event_id % 7 > 0 AS placed FROM conf)
+  SELECT event_id, [{', '.join(f'CASE WHEN placed THEN {x} ELSE 0e0 END' for x in _ENU)}, round(q1 / 10e0, 9) + 0, round(q2 / 10e0, 9) + 0, 0e0, round(q1 / 7e0, 9) + 0, round({_CLIP.format(x='confidence')}, 9) + 0, round((event_id % 20) / 19e0, 9) + 0,
+    placed::INT::DOUBLE, (event_id % 4 <> 0)::INT::DOUBLE, CASE WHEN m = 'acoustic' THEN (q1 > 50)::INT::DOUBLE ELSE 0e0 END, CASE WHEN m = 'acoustic' THEN round({_CLIP.format(x='(q1 - 35e0) / 75e0')}, 9) + 0 ELSE 0e0 END,
+    CASE WHEN m = 'acoustic' THEN round({_CLIP.format(x='q2 / 80e0')}, 9) + 0 ELSE 0e0 END, {_HOT}] AS feature FROM f""")
+def full_features(spark, sf_dir):
+    rows = confident(spark, sf_dir).withColumn("modality", F.when(F.col("modality") == "tdoa", "acoustic").otherwise(F.col("modality")))
+    rows = rows.withColumns({c: F.when(F.col("event_id") % 7 > 0, F.col(c)) for c in POS})
+    rows = rows.withColumns({"vx": F.col("q1") / 10.0, "vy": F.col("q2") / 10.0, "vz": F.lit(None).cast("double"), "speed": F.col("q1") / 7.0, "missing_flag": (F.col("event_id") % 4 == 0).cast("int"), "detected_flag": (F.col("q1") > 50).cast("int"), "spl_db": F.col("q1"), "acoustic_energy": F.col("q2") / 80.0})
+    feature = fusion.full_feature(F.lit(45.0), F.lit(5.0), F.lit(100.0), (F.col("event_id") % 20) / 19.0)
+    return rows.select("event_id", _rounded(feature).alias("feature"))
+
+
+@plans(f"""WITH {CONF_SQL}, {_T.split(', s AS')[0].replace('SELECT *', 'SELECT *, q1 AS t_speed')}, {_TWO.format(o='conf').replace('lo.alt AS lo_alt', 'lo.alt AS lo_alt, lo.q1 AS lo_q').replace('hi.alt AS hi_alt', 'hi.alt AS hi_alt, hi.q1 AS hi_q').replace('SELECT *, CASE', 'SELECT *, CASE WHEN lo_us IS NULL OR hi_us - us < us - lo_us THEN hi_q ELSE lo_q END AS tq, modality AS m, CASE', 1)}
+  SELECT event_id, [{', '.join(_ENU)}, round(tq / 10e0, 9) + 0, 0e0, round(-tq / 20e0, 9) + 0, round(tq / 7e0, 9) + 0, round(confidence, 9) + 0, round((event_id % 20) / 19e0, 9) + 0, {_HOT}][1:12] AS feature FROM near WHERE abs(us - t_us) <= {HOURS6}::BIGINT""")
+def legacy_features(spark, sf_dir):
+    near = asof.nearest(confident(spark, sf_dir), truth(spark, sf_dir), "uav_id", "us", ["q1"], HOURS6)
+    rows = near.withColumns({"t_vx": F.col("t_q1") / 10.0, "t_vy": F.lit(0.0), "t_vz": -F.col("t_q1") / 20.0, "t_speed": F.col("t_q1") / 7.0})
+    return rows.select("event_id", _rounded(fusion.legacy_feature(F.lit(45.0), F.lit(5.0), F.lit(100.0), (F.col("event_id") % 20) / 19.0, 12)).alias("feature"))
+
+
+_DENSE = ("radar", "fiveg", "tdoa")
+_SLOT = ", ".join(_ENU)
+
+
+@plans(f"""WITH {CONF_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY uav_id, modality ORDER BY us, event_id) - 1 AS t FROM conf WHERE modality IN {_DENSE}),
+  x AS (SELECT uav_id, t, modality AS m, [{_SLOT}, round(q1 / 7e0, 9) + 0, round(confidence, 9) + 0, round(t / 19e0, 9) + 0, (modality = 'radar')::INT::DOUBLE, (modality = 'fiveg')::INT::DOUBLE, (modality = 'tdoa')::INT::DOUBLE] AS f FROM n WHERE t < 20),
+  p AS (SELECT uav_id, t, max(f) FILTER (m = 'radar') AS radar, max(f) FILTER (m = 'fiveg') AS fiveg, max(f) FILTER (m = 'tdoa') AS tdoa FROM x GROUP BY 1, 2 HAVING count(*) = 3)
+  SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY uav_id) = 20""")
+def serve_tensor(spark, sf_dir):
+    """The first 20 rows of three sensors side by side, for objects that have them all: [step, sensor, feature]."""
+    rows = confident(spark, sf_dir).where(F.col("modality").isin(*_DENSE)).withColumn("who", F.struct("uav_id", "modality"))
+    rows = running.with_number(rows, "who", ["us", "event_id"], "t", asof.WIDTH).where("t < 20")
+    place = geo.enu(F.col("lat"), F.col("lon"), F.col("alt"), F.lit(45.0), F.lit(5.0), F.lit(100.0))
+    feature = F.array(*place, F.col("q1") / 7.0, F.col("confidence"), F.col("t") / 19.0, *((F.col("modality") == m).cast("double") for m in _DENSE))
+    cells = rows.select("uav_id", "t", "modality", _rounded(feature).alias("f"))
+    steps = cells.groupBy("uav_id", "t").agg(*(F.max(F.when(F.col("modality") == m, F.col("f"))).alias(m) for m in _DENSE)).dropna()
+    whole = steps.groupBy("uav_id").agg(F.count(F.lit(1)).alias("n")).where("n = 20").select("uav_id")  # steps are 20 at most
+    return steps.join(whole, "uav_id")
+
+
+@plans(f"""WITH {OBS_SQL} SELECT uav_id, us // 86400000000::BIGINT AS day, list(us ORDER BY us, event_id) AS times, list(round(lat, 7) + 0 ORDER BY us, event_id) AS lats, list(round(alt, 6) + 0 ORDER BY us, event_id) AS alts FROM obs WHERE modality = 'truth' GROUP BY 1, 2""")
+def columns_per_key(spark, sf_dir):
+    """Each object's truth as arrays, a day at a time, so that no row holds all of an object."""
+    day = F.floor(F.col("us") / (86400 * MICROS)).alias("day")
+    rows = truth(spark, sf_dir).groupBy("uav_id", day).agg(F.array_sort(F.collect_list(F.struct("us", "event_id", "lat", "alt"))).alias("r"))
+    column = lambda c, d: F.transform(F.col(f"r.{c}"), lambda x: F.round(x, d) + 0.0)
+    return rows.select("uav_id", "day", F.col("r.us").alias("times"), column("lat", 7).alias("lats"), column("alt", 6).alias("alts"))
+
+
+#: What names of metrics hold that a summary takes.
+_METRIC_PARTS = ("rmse", "mae", "medae", "p90", "p95", "max", "ade", "fde", "dtw", "frechet", "hausdorff", "rpe", "outlier", "jerk", "cross", "along")
+_SUMMED = [c for columns in [*_EVALUATED.values(), "windows, head_cover, tail_cover, hausdorff"] for c in columns.split(", ") if any(part in c for part in _METRIC_PARTS)]
+
+
+@plans(f"""WITH e AS ({plans.sql['evaluation_rows']}), u AS (UNPIVOT e ON {', '.join(_SUMMED)} INTO NAME metric VALUE x)
+  SELECT metric, round(avg(x), 5) + 0 AS mean, round(median(x), 5) + 0 AS median, round(stddev_samp(x), 5) + 0 AS std FROM u GROUP BY metric""")
+def metric_summary(spark, sf_dir):
+    """Mean, median and deviation of every column that is a metric by its name."""
+    rows = evaluation_rows(spark, sf_dir)
+    chosen = [c for c in rows.columns if any(part in c for part in _METRIC_PARTS)]
+    long = rows.unpivot([], chosen, "metric", "x").where("x IS NOT NULL")
+    return long.groupBy("metric").agg(*((F.round(f("x"), 5) + 0.0).alias(n) for n, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_samp))))
