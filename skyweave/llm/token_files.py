@@ -27,7 +27,6 @@ from .tokens import encoder, ids_crc32, text_blocks
 
 BLOCK_SCHEMA = "part int, block int, doc_ids array<long>, counts array<long>, table binary, control binary, data binary"
 _LENGTHS = (1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3)).astype(np.uint8)
-_BYTES = np.arange(4, dtype=np.uint8)
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -37,15 +36,24 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     codes[: len(values)] = lengths - 1
     control = codes[::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
-    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[_BYTES < lengths[:, None]].tobytes()
+    ends = np.cumsum(lengths, dtype=np.int64)
+    data, at = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8), ends - lengths
+    data[at] = values & 0xFF
+    for byte in (1, 2, 3):
+        longer = np.flatnonzero(lengths > byte)
+        data[at[longer] + byte] = (values[longer] >> (8 * byte)) & 0xFF
+    return control.tobytes(), data.tobytes()
 
 
 def decode_values(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The values that encode_values() was given."""
     lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:count]
-    out = np.zeros((count, 4), np.uint8)
-    out[_BYTES < lengths[:, None]] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").ravel()
+    raw, at = np.frombuffer(data, np.uint8), np.cumsum(lengths, dtype=np.int64) - lengths
+    out = raw[at].astype("<u4")
+    for byte in (1, 2, 3):
+        longer = np.flatnonzero(lengths > byte)
+        out[longer] |= raw[at[longer] + byte].astype("<u4") << np.uint32(8 * byte)
+    return out
 
 
 def encode_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:

@@ -174,7 +174,7 @@ class TextEncoder:
         lists = pc.split_pattern(marked, " ")
         words = lists.flatten().dictionary_encode()
         # a line break stands for itself, the mark for nothing, and any other part had a space before it
-        chunks = [p if p[:1] == "\n" else p[1:] if p[:1] == _START else " " + p for p in words.dictionary.to_pylist()]
+        chunks = [p if p[:1] == "\n" else p[1:] if p[:1] == _START else " " + p for p in words.dictionary.to_numpy(zero_copy_only=False).tolist()]
         known, rest = len(chunks), {}
         for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
             rest[i] = self._chunks(texts[i].as_py())
