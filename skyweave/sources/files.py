@@ -68,11 +68,12 @@ def headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list
     return found
 
 
-def read_csv(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], kind: str, source: str | None = None) -> DataFrame:
     """Files with a header, each read by its own column names.  Columns that a
     file lacks are null, other ones are left out; aliases are renamed where a
     file lacks the name itself, and of a name that repeats the first counts.
-    NaN and blanks are null.  No file, or one that isn't there, has no rows."""
+    NaN and blanks are null.  No file, or one that isn't there, has no rows.
+    ``source`` names a column for each row's file."""
     schema = StructType.fromDDL(SCHEMAS[kind])
     parts = []
     for names, files in headers(spark, [path] if isinstance(path, str) else path).items():
@@ -80,8 +81,11 @@ def read_csv(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame
         have = {n: F.col(f"_c{i}") for i, n in reversed([*enumerate(names)])}
         have = {ALIASES[n]: c for n, c in have.items() if n in ALIASES} | have
         cast = {f.name: F.when(F.lower(F.trim(have[f.name])) != "nan", F.trim(have[f.name])).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType) for f in schema}
-        parts.append(text.select(*(c.alias(n) for n, c in cast.items())))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+        own = [text.metadataColumn("_metadata")["file_path"].alias(source)] if source else []
+        parts.append(text.select(*(c.alias(n) for n, c in cast.items()), *own))
+    if not parts:
+        return spark.createDataFrame([], schema if source is None else StructType([*schema.fields]).add(source, "string"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_tracks(rows: DataFrame, path: str, kind: str = "csv") -> None:
