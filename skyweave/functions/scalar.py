@@ -105,3 +105,19 @@ def acoustic_detection(base, penalty, snr, noise) -> Column:
 
 def missing_rate(rate, gain, scale, modality_gain, bias, modality_bias) -> Column:
     return clip(rate * gain * scale * modality_gain + bias + modality_bias)
+
+
+def missing_control(modality: Column, tag: Column, rate: Column, control: dict) -> dict[str, Column]:
+    """p_missing, forced_missing and forced_available by a run's settings:
+    sensors that are forced missing come before those that are forced to be
+    there, and these before the scaled rate.  Lacking settings change nothing."""
+    def of(key: Column, values: dict[str, float], default: float) -> Column:
+        out = F.lit(default)
+        for name, value in values.items():
+            out = F.when(key == name, float(value)).otherwise(out)
+        return out
+
+    gone = F.coalesce(modality.isin(*control.get("force_missing_modalities", [])), F.lit(False))
+    there = F.coalesce(modality.isin(*control.get("force_available_modalities", [])), F.lit(False)) & ~gone
+    scaled = missing_rate(rate, control.get("global_scale", 1.0), of(tag, control.get("scenario_scale", {}), 1.0), of(modality, control.get("modality_scale", {}), 1.0), control.get("global_bias", 0.0), of(modality, control.get("modality_bias", {}), 0.0))
+    return {"p_missing": F.when(gone, 1.0).when(there, 0.0).otherwise(scaled), "forced_missing": gone, "forced_available": there}

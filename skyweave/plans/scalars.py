@@ -210,3 +210,15 @@ def error_scale(spark, sf_dir):
     for name, s in (("radar", 1.22), ("fiveg", 1.36), ("tdoa", 1.72)):
         scale = F.when(F.col("modality") == name, s).otherwise(scale)
     return sensed(spark, sf_dir).select("event_id", r6((0.8 + 0.9 * (20.0 - F.col("q1") / 5.0)) * scale).alias("sigma_pos"), r6((0.1 + F.col("q2") / 500.0) * scale).alias("sigma_vel"))
+
+
+_CONTROL = {"force_missing_modalities": ["radar"], "force_available_modalities": ["radar", "tdoa"], "global_scale": 1.3, "global_bias": 0.01, "scenario_scale": {"B": 1.7, "E": 0.4}, "modality_scale": {"gps": 2.2}, "modality_bias": {"gps": 0.16}}
+
+
+@plans(f"""WITH {OBS_SQL}, r AS (SELECT event_id, modality, {_TAG} AS tag, q2 / 200e0 AS rate FROM obs WHERE modality <> 'truth')
+  SELECT event_id, CASE modality WHEN 'radar' THEN 1e0 WHEN 'tdoa' THEN 0e0 ELSE round(greatest(0e0, least(1e0, rate * 1.3e0 * (CASE tag WHEN 'B' THEN 1.7e0 WHEN 'E' THEN 0.4e0 ELSE 1e0 END) * (CASE modality WHEN 'gps' THEN 2.2e0 ELSE 1e0 END) + 0.01e0 + (CASE modality WHEN 'gps' THEN 0.16e0 ELSE 0e0 END))), 6) + 0 END AS p_missing,
+    modality = 'radar' AS forced_missing, modality = 'tdoa' AS forced_available FROM r""")
+def missing_settings(spark, sf_dir):
+    """Missing rates under a run's settings: forced missing, forced available, scaled."""
+    made = scalar.missing_control(F.col("modality"), tag(), F.col("q2") / 200.0, _CONTROL)
+    return sensed(spark, sf_dir).select("event_id", r6(made["p_missing"]).alias("p_missing"), made["forced_missing"].alias("forced_missing"), made["forced_available"].alias("forced_available"))

@@ -528,3 +528,15 @@ def metric_summary(spark, sf_dir):
     chosen = [c for c in rows.columns if any(part in c for part in _METRIC_PARTS)]
     long = rows.unpivot([], chosen, "metric", "x").where("x IS NOT NULL")
     return long.groupBy("metric").agg(*((F.round(f("x"), 5) + 0.0).alias(n) for n, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_samp))))
+
+
+@plans(f"""WITH {TRACK_SQL}, {_WIN}, x AS (UNPIVOT (SELECT gx, gy, gz, px, py, pz FROM win) ON gx, gy, gz, px, py, pz INTO NAME axis VALUE v)
+  SELECT axis, count(*) AS n, round(avg(v), 6) + 0 AS mu, round(stddev_pop(v) + 1e-6, 6) + 0 AS sigma FROM x GROUP BY axis""")
+def norm_stats_windows(spark, sf_dir):
+    """Means and deviations over all windows' rows: a row counts once for each window that holds it, which arithmetic tells, so none is made twice."""
+    rows = windows.with_length(track(spark, sf_dir), "uav_id")
+    rows = rows.withColumn("n", windows.covering(F.col("t_idx"), F.col("length"), W_SIZE, W_STRIDE))
+    long = rows.unpivot(["n"], ["gx", "gy", "gz", "px", "py", "pz"], "axis", "v").where("n > 0 AND v IS NOT NULL")
+    sums = long.groupBy("axis").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("s"), F.sum(F.col("n") * F.col("v") * F.col("v")).alias("q"))
+    mean = F.col("s") / F.col("n")
+    return sums.select("axis", "n", r6(mean).alias("mu"), r6(F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)) + 1e-6).alias("sigma"))
