@@ -57,7 +57,7 @@ class TextEncoder:
     if their ids can't be put together from chunks.
     """
 
-    def __init__(self, path: str, max_chunks: int = 1_000_000, max_chars: int = 16_000_000):
+    def __init__(self, path: str, max_chunks: int = 700_000, max_chars: int = 12_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
