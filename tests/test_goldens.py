@@ -174,7 +174,7 @@ def test_answers(spark, answer, strict, loose):
 def test_numbers_and_batches(spark):
     ids = spark.createDataFrame([(i * i - 50,) for i in range(40)] * 2, "id long")
     want = {v: n for n, v in enumerate(sorted({i * i - 50 for i in range(40)}))}
-    assert {r.id: r.number for r in numbering.numbered(ids, "id", 100).collect()} == want
+    assert {r.id: r.number for r in numbering.numbered(ids, "id").collect()} == want
     assert [one(spark, numbering.batch_label(F.lit(n), 10))[0] for n in (0, 9, 10, 999, 1000)] == ["batch01", "batch01", "batch02", "batch100", "batch101"]
     with pytest.raises(ValueError, match="one row"):
         numbering.batch_label(F.lit(1), 0)
