@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import scratch_path
-from . import chat, decontam, exact_dedup, packing, simhash, token_counts, token_files, toxicity, url_rules, warc
+from . import chat, decontam, exact_dedup, packing, simhash, token_counts, token_files, toxicity, url_rules, warc, whitening
 from .shared import stored
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -124,8 +124,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(_table(spark, sf_dir, "embeddings"), components=8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_benchmark_decontamination, op3_best_fit_packing, op4_warc, op5_chat_formatting, op6_token_files, op7_token_counts, op8_url_filters, op9_simhash_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_benchmark_decontamination, op3_best_fit_packing, op4_warc, op5_chat_formatting, op6_token_files, op7_token_counts, op8_url_filters, op9_simhash_near_dedup, op10_toxicity, op11_embedding_whitening)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
