@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import scratch_path
-from . import chat, decontam, exact_dedup, packing, simhash, token_counts, token_files, toxicity, url_rules, warc, whitening
+from . import chat, decontam, exact_dedup, packing, phrases, simhash, token_counts, token_files, toxicity, url_rules, warc, whitening
 from .shared import stored
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -128,8 +128,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_rows(_table(spark, sf_dir, "embeddings"), components=8)
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_benchmark_decontamination, op3_best_fit_packing, op4_warc, op5_chat_formatting, op6_token_files, op7_token_counts, op8_url_filters, op9_simhash_near_dedup, op10_toxicity, op11_embedding_whitening)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_benchmark_decontamination, op3_best_fit_packing, op4_warc, op5_chat_formatting, op6_token_files, op7_token_counts, op8_url_filters, op9_simhash_near_dedup, op10_toxicity, op11_embedding_whitening, op12_phrase_mining)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -167,6 +171,21 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op12_phrase_mining": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        f AS (SELECT lang, m, array_to_string(w[k : k + m - 1], ' ') AS phrase, count(*) AS f
+              FROM w, (VALUES (1), (2), (3)) AS v(m), LATERAL (SELECT unnest(generate_series(1, len(w) - m + 1)) AS k) GROUP BY ALL),
+        c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10),
+        x AS (SELECT DISTINCT s.lang, s.phrase FROM c s, c t, (VALUES (1), (2)) AS v(k)
+              WHERE s.lang = t.lang AND s.m = 2 AND t.m = 3 AND s.phrase = array_to_string(t.w[k : k + 1], ' ') AND 100 * t.a >= 50 * s.a),
+        cut AS (SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, 1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f) AS score
+                FROM c, (VALUES (1), (2)) AS v(k), f l, f r
+                WHERE k < c.m AND l.lang = c.lang AND r.lang = c.lang AND l.phrase = array_to_string(c.w[1 : k], ' ') AND r.phrase = array_to_string(c.w[k + 1 : c.m], ' ')),
+        best AS (SELECT * FROM cut ANTI JOIN x USING (lang, phrase) QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM best JOIN n USING (lang) QUALIFY rank <= 2000""",
     "op8_url_filters": r"""
         WITH s AS (
           SELECT page_id,
