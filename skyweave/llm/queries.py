@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import scratch_path
-from . import chat, decontam, exact_dedup, packing, phrases, simhash, token_counts, token_files, toxicity, url_rules, warc, whitening
+from . import chat, decontam, exact_dedup, packing, phrases, quality, simhash, token_counts, token_files, toxicity, url_rules, warc, whitening
 from .shared import stored
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -107,9 +107,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=2)
 
 
-def held_out(doc_id: Column) -> Column:
+def held_out(doc_id: Column, parts: int = 5, part: int = 0) -> Column:
     """A null doc_id isn't held out."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
 def train_toxicity(spark: SparkSession, documents: DataFrame, sf_dir: str) -> toxicity.Model:
@@ -132,8 +132,20 @@ def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def train_quality(spark: SparkSession, documents: DataFrame, sf_dir: str) -> quality.Model:
+    """The model of the rows that aren't held out."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.train(documents, labels.where(~held_out(F.col("doc_id"), 3, 1)))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, train_quality(spark, docs, sf_dir))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_benchmark_decontamination, op3_best_fit_packing, op4_warc, op5_chat_formatting, op6_token_files, op7_token_counts, op8_url_filters, op9_simhash_near_dedup, op10_toxicity, op11_embedding_whitening, op12_phrase_mining)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_benchmark_decontamination, op3_best_fit_packing, op4_warc, op5_chat_formatting, op6_token_files, op7_token_counts, op8_url_filters, op9_simhash_near_dedup, op10_toxicity, op11_embedding_whitening, op12_phrase_mining, op13_quality)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
