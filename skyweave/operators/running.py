@@ -94,10 +94,12 @@ def with_smoothed(rows: DataFrame, key: str, order: list[str], value: str, name:
     dealt = dealt.withColumn("_sum", F.coalesce(F.sum(scaled).over(run), F.lit(0.0)))
     dealt = dealt.withColumn("_here", (1.0 - beta) * power(F.col("_at")) * F.col("_sum"))
     runs = dealt.groupBy(key, "_bucket", "_run").agg(F.max("_at").alias("n"), F.max_by("_here", F.struct("_at", *order)).alias("sum"))
-    before = Window.partitionBy(key).orderBy("_bucket", "_run").rowsBetween(-matter, -1)
-    number = F.row_number().over(Window.partitionBy(key).orderBy("_bucket", "_run"))
-    first = F.when(number <= matter + 1, F.lit(start)).otherwise(F.lit(0.0))
-    carried = F.aggregate(F.collect_list(F.struct("n", "sum")).over(before), first, lambda t, r: power(r["n"]) * t + r["sum"])
+    # runs that hold values are numbered; those of nulls alone stand between them and carry nothing
+    holds = (F.col("n") > 0).cast("long")
+    runs = runs.withColumn("_c", F.sum(holds).over(Window.partitionBy(key).orderBy("_bucket", "_run").rowsBetween(_START, 0)) - holds)
+    before = Window.partitionBy(key).orderBy("_c").rangeBetween(-matter, -1)
+    first = F.when(F.col("_c") <= matter, F.lit(start)).otherwise(F.lit(0.0))
+    carried = F.aggregate(F.collect_list(F.when(F.col("n") > 0, F.struct("n", "sum"))).over(before), first, lambda t, r: power(r["n"]) * t + r["sum"])
     runs = runs.select(F.col(key).alias("_k"), F.col("_bucket").alias("_b"), F.col("_run").alias("_r"), carried.alias("_carried"))
     same = dealt[key].eqNullSafe(runs["_k"]) & dealt["_bucket"].eqNullSafe(runs["_b"]) & (dealt["_run"] == runs["_r"])
     out = dealt.join(runs, same).withColumn(name, power(F.col("_at")) * F.col("_carried") + F.col("_here"))

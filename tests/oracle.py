@@ -63,6 +63,8 @@ def compare(df, sql: str, con: duckdb.DuckDBPyConnection) -> str:
     ours, theirs = dict(df.dtypes), dict(zip(rel.columns, map(str, rel.types), strict=True))
     if odd := [(c, ours[c], theirs[c]) for c in ours if kind(ours[c]) != kind(theirs[c]) and not ours[c].startswith(("array", "struct", "map"))]:
         return f"types {odd}"
+    if not got or not want:
+        return f"nothing to compare: {len(got)} and {len(want)} rows"
     if len(got) != len(want):
         return f"{len(got)} rows, not {len(want)}"
     for a, b in zip(got, want, strict=True):

@@ -42,6 +42,18 @@ def test_smoothing_over_a_thousand_rows(spark):
     assert running.with_smoothed(df, "k", ["t"], "q", "tau", 10**9, beta=0.99).where("t = 999").first().tau == pytest.approx(tau, abs=1e-12)
 
 
+@pytest.mark.parametrize("beta", [0.2, 0.8])
+def test_smoothing_over_a_long_gap(spark, beta):
+    """Many buckets of nulls alone, at the start, in the middle and at the end."""
+    values = [None] * 150 + [1.0] * 5 + [None] * 400 + [0.25] + [None] * 200
+    df = spark.createDataFrame([(1, t, q) for t, q in enumerate(values)], "k long, t long, q double")
+    got = {r.t: r.tau for r in running.with_smoothed(df, "k", ["t"], "q", "tau", 1, beta=beta).collect()}
+    tau = 0.5
+    for t, q in enumerate(values):
+        tau = tau if q is None else beta * tau + (1 - beta) * q
+        assert got[t] == pytest.approx(tau, abs=1e-12)
+
+
 def test_sums_maxima_and_last_values(spark, rows):
     for width in (40, 10**6):
         sums = running.with_sum(rows, "k", ["t", "n"], F.when(F.col("q") > 0, 1).otherwise(0), "s", width)
