@@ -5,7 +5,9 @@ one row for each digest (map-side first, so copies meet as counts), merged
 with the index by a sort-merge anti-join that reads the index in its buckets
 and in their order, and what is new is appended.  Which row stays of each
 text is then read from the index by a join that Spark may split where one
-text is hot.
+text is hot.  The index knows a text by its row's doc_id and by the batch that
+brought it, and only that batch's first row stays, so a replayed batch gets the
+verdicts it had and another one with the same rows gets none.
 
 The folder holds ``layout`` (the number of buckets) and generations of the
 table.  Batches append to the last generation; compact() writes the next one
@@ -34,7 +36,7 @@ def normalised(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A table (digest, keep_id) of all texts ingested so far.
+    """A table (digest, keep_id, batch) of all texts ingested so far.
 
     It lies in ``path``, by default a folder of the table's name in the shared
     folder, and outlives the session: opened again, by either, it goes on
@@ -67,7 +69,7 @@ class DigestIndex:
         self._generation = generation
         self._folder.make(f"gen-{generation:06}")
         self._spark.sql(
-            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT) USING parquet "
+            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self._buckets} BUCKETS LOCATION '{self._path}/gen-{generation:06}'"
         )
 
@@ -92,27 +94,35 @@ class DigestIndex:
         (rows.write.format("parquet").mode("append").option("compression", "zstd")
          .bucketBy(self._buckets, "digest").sortBy("digest").saveAsTable(self.table))
 
-    def ingest(self, docs: DataFrame, carry: str | None = None) -> DataFrame:
+    def ingest(self, docs: DataFrame, carry: str | None = None, batch: str | None = None) -> DataFrame:
         """Deduplicates a batch (doc_id, text) and appends its new texts.
 
         Texts are equal when their normalised forms are.  Of equal new texts
         the row with the smallest doc_id stays, one row where that id repeats;
-        a text that an earlier batch brought stays with the row that brought
-        it.  Null counts as empty and a null doc_id is larger than any other.
-        Ingesting a batch again changes nothing, also after a run that broke
-        off.  Returns doc_id, keep_id, group_size (equal rows of this batch),
-        kept, text_sha256, and the column that ``carry`` names; other columns
-        are ignored.
+        of a text that an earlier batch brought no row stays, and ``keep_id``
+        is the doc_id of the row that did.  Null counts as empty; a null
+        doc_id is larger than any other, and ``keep_id`` is null where only
+        such rows brought the text.
+
+        ``batch`` names the batch, by default by what its rows hold.  A batch
+        that is ingested again under its name, also after a run that broke
+        off, changes nothing and gets the same verdicts; equal rows in another
+        batch are copies.  Returns doc_id, keep_id, group_size (equal rows of
+        this batch), kept, text_sha256, and the column that ``carry`` names;
+        other columns are ignored.
         """
         own = [F.col(carry).alias("_carried")] if carry else []
         digests = stored(docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"), F.monotonically_increasing_id().alias("row"), *own), "digests")
+        if batch is None:
+            mark = F.xxhash64("doc_id", "digest")
+            batch = "rows-{}-{}-{}".format(*digests.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(mark), F.lit(0)), F.coalesce(F.sum(mark.cast("decimal(38,0)")), F.lit(0))).first())
         first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
         groups = digests.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
         groups = stored(groups.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"), "group_size"), "digest-groups")
         with self.in_order():
-            self._append(self.unseen(groups).select("digest", F.col("first_id").alias("keep_id")))
+            self._append(self.unseen(groups).select("digest", F.col("first_id").alias("keep_id"), F.lit(batch).alias("batch")))
         verdicts = stored(groups.hint("merge").join(self._spark.table(self.table).hint("merge"), "digest"), "digest-verdicts")
-        stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("first_row"))
+        stays = (F.col("batch") == batch) & (F.col("row") == F.col("first_row"))
         # both sides come from tables and are shuffled, so that a hot digest's rows can be split
         return digests.join(verdicts, "digest").select(
             "doc_id", "keep_id", "group_size", stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *([F.col("_carried").alias(carry)] if carry else [])
@@ -121,7 +131,7 @@ class DigestIndex:
     def compact(self) -> None:
         """Writes the index anew with one sorted file for each bucket.  The
         generation before stays for those who still read it; older ones go."""
-        rows = self._spark.read.schema("digest binary, keep_id long").parquet(f"{self._path}/gen-{self._generation:06}")
+        rows = self._spark.read.schema("digest binary, keep_id long, batch string").parquet(f"{self._path}/gen-{self._generation:06}")
         self._register(self._generation + 1)
         self._append(rows.repartition(self._buckets, "digest"))
         for name in self._folder.names():

@@ -31,7 +31,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     middle = docs.select(F.percentile_approx("doc_id", 0.5)).first()[0]
     early = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
-    parts = [stored(index.ingest(docs.where(rows)), "deduplicated") for rows in (early, ~early)]
+    parts = [stored(index.ingest(docs.where(rows), batch=name), "deduplicated") for name, rows in (("early", early), ("late", ~early))]
     index.drop()
     verdicts = parts[0].unionByName(parts[1])
     # in a table, so that a hot text's rows can be split

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import uuid
 from collections import defaultdict
@@ -52,13 +53,51 @@ def test_later_batches_keep_what_came_first(spark):
     own.drop()
 
 
+def in_batches(batches):
+    """Verdicts batch by batch; batches are (name, rows)."""
+    known, out = {}, []
+    for name, rows in batches:
+        groups = defaultdict(list)
+        for i, t in rows:
+            groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
+        verdicts = []
+        for text, ids in groups.items():
+            order = sorted(ids, key=lambda i: (i is None, i or 0))
+            keep, brought = known.setdefault(text, (order[0], name))
+            verdicts += [(i, keep, len(ids), n == 0 and brought == name, hashlib.sha256(text.encode()).hexdigest()) for n, i in enumerate(order)]
+        out.append(sorted(verdicts, key=repr))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_batches_with_nulls_repeats_and_replays(spark, seed):
+    rng = random.Random(seed)
+    batches = [(f"b{n}", [(rng.choice([None, *range(8)]), rng.choice([None, "", "one", "two", "two ", "three", "on e"])) for _ in range(rng.randint(0, 9))]) for n in range(4)]
+    batches.insert(3, batches[1])  # replays
+    batches.append(batches[2])
+    for named in (True, False):
+        own = index(spark)
+        names = {repr(sorted(rows, key=repr)): name for name, rows in batches}  # unnamed batches are what their rows are
+        want = in_batches(batches if named else [(names[repr(sorted(rows, key=repr))], rows) for _, rows in batches])
+        for (name, rows), verdicts in zip(batches, want, strict=True):
+            assert got(own.ingest(documents(spark, rows), batch=name if named else None).select(COLUMNS)) == verdicts
+        own.drop()
+
+
+def test_rows_of_another_batch_never_stay_again(spark):
+    own = index(spark)
+    assert [r.kept for r in own.ingest(documents(spark, [(None, "x"), (9, "two")])).collect()] == [True, True]
+    assert {(r.doc_id, r.keep_id, r.kept) for r in own.ingest(documents(spark, [(None, "x"), (3, "two"), (9, "two")])).collect()} == {(None, None, False), (3, 9, False), (9, 9, False)}
+    own.drop()
+
+
 def test_the_index_outlives_the_catalog(spark):
     path, name = scratch_path(spark, "test-index"), f"digests_{uuid.uuid4().hex}"
     exact_dedup.DigestIndex(spark, name, 8, path).ingest(documents(spark, [(5, "a b"), (6, "c")]))
     spark.sql(f"DROP TABLE {name}")  # as another session finds it
     for again in (lambda: exact_dedup.DigestIndex(spark, name, 8, path), lambda: exact_dedup.DigestIndex(spark, f"{name}_b", path=path), lambda: exact_dedup.DigestIndex(spark.newSession(), name, path=path)):
         own = again()
-        assert {r.doc_id: (r.keep_id, r.kept) for r in own.ingest(documents(spark, [(1, "a  b"), (6, "c")])).collect()} == {1: (5, False), 6: (6, True)}
+        assert {r.doc_id: (r.keep_id, r.kept) for r in own.ingest(documents(spark, [(1, "a  b"), (6, "c")])).collect()} == {1: (5, False), 6: (6, False)}
         assert own._spark.table(own.table).count() == 2
     with pytest.raises(ValueError, match="8 buckets, not 16"):
         exact_dedup.DigestIndex(spark, name, 16, path)

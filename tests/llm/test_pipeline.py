@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from skyweave.llm import queries
 from tests.oracle import SMALL
@@ -53,6 +55,19 @@ def test_edge_rows_go_through(spark):
         assert (corpus_pipeline.STAGES[-1][1](spark, rows, SMALL).count() > 0) == (docs.limit(0).count() == 0 and rows.count() > 0)
 
 
+def test_other_columns_go_through_whatever_their_names(spark):
+    names = ["_row", "spans", "item_ids", "n_words", "score", "first", "row", "node", "root", "a.b", "column 2", "_id", "label"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    more = docs.select("doc_id", *(F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names), "text", "n_chars")
+    for (name, stage), rows in zip(corpus_pipeline.STAGES[:-1], [more] * 4, strict=True):
+        out = stage(spark, rows, SMALL)
+        assert out.columns == more.columns, name
+        want = sorted(r.doc_id for r in stage(spark, docs, SMALL).select("doc_id").collect())
+        found = out.collect()
+        assert sorted(r.doc_id for r in found) == want, name
+        assert all(r[n] == f"{n} {r.doc_id}" for r in found for n in names), name
+
+
 def test_copies_go_by_row(spark):
     rows = [(1, "a b"), (1, "a  b"), (1, "c"), (None, "c"), (None, "d e"), (None, "d  e"), (2, None), (3, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -102,8 +102,9 @@ def plain_pass(rows, z, n, s):
 def test_training_is_what_plain_loops_give(spark, shard_rows):
     """Every epoch from the mean of the shards' states, kept as 32-bit floats."""
     s = toxicity.Settings(bits=10, l1=0.1, shard_rows=shard_rows)
-    df = spark.createDataFrame(ROWS, "doc_id long, text string, label int")
-    dealt = -(-len(ROWS) // shard_rows)
+    rows = [(i, f"{text} word{i % 60} also{i % 14}", label) for i, text, label in ROWS]  # words that tell the label
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    dealt = -(-len(rows) // shard_rows)
     model = toxicity.train(df, df, s)
     # the shards that Spark deals, by the hashes it deals them by
     order = df.select("text", "label", F.pmod(F.hash(F.xxhash64(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))), F.lit(dealt)).alias("p"), F.xxhash64("doc_id", F.lit(1)).alias("o")).orderBy("p", "o").collect()
