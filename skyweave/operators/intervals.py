@@ -40,13 +40,24 @@ def _greatest(parts: list[Column]) -> Column:
     return F.greatest(F.lit(0.0), *parts)
 
 
+def reach(modality: Column, lat: Column, lon: Column) -> Column:
+    """The distance to the sensor's anchor as a share of its range, to 1."""
+    out = F.lit(None).cast("double")
+    for name, (a_lat, a_lon, far) in ANCHORS.items():
+        out = F.when(modality == name, clip(arc_distance(lat, lon, F.lit(a_lat), F.lit(a_lon)) / far)).otherwise(out)
+    return out
+
+
+def combined(reach: Column, zone: Column, event: Column) -> Column:
+    """The penalty from its three parts."""
+    return clip(0.55 * reach + 0.30 * zone + 0.30 * event)
+
+
 def penalty(modality: Column, lat: Column, lon: Column, seconds: Column) -> Column:
     """0 to 1 from the distance to the sensor's anchor, the strongest zone
     around and the strongest interference at the time.  Zones and events are
-    a few constants, so they are part of the expression."""
-    reach = F.lit(None).cast("double")
-    for name, (a_lat, a_lon, far) in ANCHORS.items():
-        reach = F.when(modality == name, clip(arc_distance(lat, lon, F.lit(a_lat), F.lit(a_lon)) / far)).otherwise(reach)
+    a few constants, so they are part of the expression; with_zone() and
+    with_event() look them up in tables."""
     zone = _greatest([F.when(arc_distance(lat, lon, F.lit(z_lat), F.lit(z_lon)) <= radius, strength).otherwise(0.0) for z_lat, z_lon, radius, strength in ZONES])
     event = _greatest([F.when(modality.isin(*names) & seconds.between(first, last), level).otherwise(0.0) for first, last, names, level in EVENTS])
-    return clip(0.55 * reach + 0.30 * zone + 0.30 * event)
+    return combined(reach(modality, lat, lon), zone, event)

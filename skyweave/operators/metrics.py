@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from operator import and_
 from typing import Any
 
 import numpy as np
@@ -13,12 +14,22 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import norm
 from ..sources.shared import saved
+from .quantiles import quantiles
 
 
-def error_stats(d: Column, prefix: str = "") -> list[Column]:
-    """RMSE, MAE, median, P90, P95 and maximum of distances."""
-    out = {"rmse": F.sqrt(F.avg(d * d)), "mae": F.avg(d), "medae": F.percentile(d, 0.5), "p90": F.percentile(d, 0.9), "p95": F.percentile(d, 0.95), "max_err": F.max(d)}
-    return [c.alias(prefix + name) for name, c in out.items()]
+#: The quantiles among a track's error statistics.
+QUANTILES = {"medae": 0.5, "p90": 0.9, "p95": 0.95}
+
+
+def error_stats(rows: DataFrame, keys: list[str], d: str, *more: Column) -> DataFrame:
+    """``keys``, rmse, mae, medae, p90, p95 and max_err of the distances ``d``
+    of each group, and ``more`` aggregates.  Quantiles go by rank, so a group
+    isn't held in one place; null distances don't count."""
+    x = F.col(d)
+    sums = rows.groupBy(*keys).agg(F.sqrt(F.avg(x * x)).alias("rmse"), F.avg(x).alias("mae"), F.max(x).alias("max_err"), *more)
+    ranked = quantiles(rows, keys, d, QUANTILES).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return sums.join(ranked, same, "left").drop(*(f"_{k}" for k in keys))
 
 
 def distance3(df: DataFrame) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import intervals, matching, running
+from ..operators import intervals, lookups, matching, running
 from ..sources.shared import saved
-from ..sources.tables import MICROS, OBS_SQL, TRACK_SQL, obs, sensed, track, truth
+from ..sources.tables import MICROS, OBS_SQL, TRACK_SQL, obs, sensed, table, track, truth
 from .base import Plans, r6
 
 plans = Plans()
@@ -146,6 +146,52 @@ def env_penalty(spark, sf_dir):
     return sensed(spark, sf_dir).select("event_id", r6(intervals.penalty(F.col("modality"), lat, lon, seconds)).alias("penalty"))
 
 
+_POINTS = f"p AS (SELECT event_id, modality, 45e0 + (q1 - 50e0) / 500e0 AS lat, 5e0 + (q2 - 50e0) / 500e0 AS lon, us / {MICROS}e0 - 1704067200e0 AS t FROM obs WHERE modality <> 'truth')"
+_ZONES = """z AS (SELECT 45e0 + (c_custkey % 97 - 48) / 400e0 AS z_lat, 5e0 + (c_custkey % 89 - 44) / 400e0 AS z_lon, 30e0 * pow(2, c_custkey % 8) AS radius, (c_custkey % 13) / 13e0 AS strength FROM customer),
+  zoned AS (SELECT event_id, coalesce(max(strength), 0e0) AS zone FROM p LEFT JOIN z ON sqrt(pow(radians(z_lon - lon) * cos(radians((lat + z_lat) / 2e0)), 2) + pow(radians(z_lat - lat), 2)) * 6371000e0 <= radius GROUP BY event_id)"""
+_TIMES = """v AS (SELECT (o_orderkey * 37 % 2592000)::DOUBLE AS start, CASE WHEN o_custkey % 97 = 0 THEN 2592000e0 ELSE (o_orderkey * 37 % 2592000) + pow(2, o_custkey % 16) END AS "end",
+    CASE o_custkey % 4 WHEN 0 THEN ['gps', 'radar'] WHEN 1 THEN ['fiveg'] WHEN 2 THEN ['tdoa', 'acoustic'] ELSE [] END AS sensors, floor(o_totalprice % 100) / 100e0 AS level FROM orders),
+  timed AS (SELECT event_id, coalesce(max(level), 0e0) AS event FROM p LEFT JOIN v ON t BETWEEN start AND "end" AND list_contains(sensors, modality) GROUP BY event_id)"""
+
+
+def _points(spark, sf_dir):
+    lat, lon = 45.0 + (F.col("q1") - 50.0) / 500.0, 5.0 + (F.col("q2") - 50.0) / 500.0
+    return sensed(spark, sf_dir).select("event_id", "modality", lat.alias("lat"), lon.alias("lon"), (F.col("us") / MICROS - 1704067200).alias("t"))
+
+
+def _zones(spark, sf_dir):
+    """Every customer as a zone of 30 metres to 4 kilometres."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select((45.0 + (k % 97 - 48) / 400.0).alias("lat"), (5.0 + (k % 89 - 44) / 400.0).alias("lon"), (30.0 * F.pow(F.lit(2.0), k % 8)).alias("radius"), ((k % 13) / 13.0).alias("strength"))
+
+
+def _events(spark, sf_dir):
+    """Every order as an interference event of seconds to hours, or of all the time."""
+    start, k = F.col("o_orderkey") * 37 % 2592000, F.col("o_custkey")
+    end = F.when(k % 97 == 0, 2592000.0).otherwise(start + F.pow(F.lit(2.0), k % 16))
+    names = F.when(k % 4 == 0, F.array(F.lit("gps"), F.lit("radar"))).when(k % 4 == 1, F.array(F.lit("fiveg"))).when(k % 4 == 2, F.array(F.lit("tdoa"), F.lit("acoustic")))
+    return table(spark, sf_dir, "orders").select(start.alias("start"), end.alias("end"), names.alias("sensors"), (F.floor(F.col("o_totalprice") % 100) / 100.0).alias("level"))
+
+
+@plans(f"WITH {OBS_SQL}, {_POINTS}, {_ZONES} SELECT event_id, round(zone, 6) + 0 AS zone FROM zoned")
+def zone_strength(spark, sf_dir):
+    return lookups.with_zone(_points(spark, sf_dir), _zones(spark, sf_dir), "event_id").select("event_id", r6(F.col("zone")).alias("zone"))
+
+
+@plans(f"WITH {OBS_SQL}, {_POINTS}, {_TIMES} SELECT event_id, round(event, 6) + 0 AS event FROM timed")
+def interference_level(spark, sf_dir):
+    return lookups.with_event(_points(spark, sf_dir), _events(spark, sf_dir), "event_id", "t", "modality").select("event_id", r6(F.col("event")).alias("event"))
+
+
+@plans(f"""WITH {OBS_SQL}, {_POINTS}, {_ZONES}, {_TIMES} SELECT event_id, round(greatest(0e0, least(1e0, 0.55e0 * (CASE modality {_REACH} END) + 0.30e0 * zone + 0.30e0 * event)), 6) + 0 AS penalty
+  FROM p JOIN zoned USING (event_id) JOIN timed USING (event_id)""")
+def env_penalty_tables(spark, sf_dir):
+    """The environment's penalty with zones and events from tables."""
+    rows = lookups.with_event(lookups.with_zone(_points(spark, sf_dir), _zones(spark, sf_dir), "event_id"), _events(spark, sf_dir), "event_id", "t", "modality")
+    reach = intervals.reach(F.col("modality"), F.col("lat"), F.col("lon"))
+    return rows.select("event_id", r6(intervals.combined(reach, F.col("zone"), F.col("event"))).alias("penalty"))
+
+
 _OUT = f"SELECT uav_id, us AS start, us + floor(q1)::BIGINT * {900 * MICROS}::BIGINT AS \"end\" FROM obs WHERE modality = 'tdoa'"
 _MERGE = f"""o AS ({_OUT}), g AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY uav_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM o),
 h AS (SELECT *, sum(fresh) OVER (PARTITION BY uav_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM g),

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, scalar
-from ..operators import asof, fusion, inference, metrics, running, windows
+from ..operators import asof, fusion, inference, metrics, moments, running, windows
+from ..sources.shared import saved, scratch_path
 from ..sources.tables import MICROS, OBS_SQL, TRACK_SQL, obs, sensed, track, truth
 from .base import Plans, r6
 from .scalars import CONF_SQL, confident
@@ -192,8 +193,8 @@ _D = "sqrt(pow(px - gx, 2) + pow(py - gy, 2) + pow(pz - gz, 2))"
   round(quantile_cont(d, 0.9), 6) + 0 AS p90, round(quantile_cont(d, 0.95), 6) + 0 AS p95, round(max(d), 6) + 0 AS max_err FROM d GROUP BY uav_id""")
 def error_stats(spark, sf_dir):
     rows = track(spark, sf_dir)
-    out = rows.withColumn("d", metrics.distance3(rows)).groupBy("uav_id").agg(*metrics.error_stats(F.col("d")))
-    return out.select("uav_id", *(r6(F.col(c)).alias(c) for c in out.columns[1:]))
+    out = metrics.error_stats(rows.withColumn("d", metrics.distance3(rows)), ["uav_id"], "d")
+    return out.select("uav_id", *(r6(F.col(c)).alias(c) for c in out.columns if c != "uav_id"))
 
 
 @plans(f"""WITH {TRACK_SQL}, d AS (SELECT uav_id, {_D} AS d FROM track) SELECT uav_id, round(avg((d > 0.2e0)::INT), 6) + 0 AS over_20, round(avg((d > 0.25e0)::INT), 6) + 0 AS over_25, round(avg((d > 0.3e0)::INT), 6) + 0 AS over_30 FROM d GROUP BY uav_id""")
@@ -387,7 +388,8 @@ def evaluation_rows(spark, sf_dir):
         "corr_err_conf": F.corr("d", F.abs("px")), "head_cover": F.avg(F.when(F.col("t_idx") < 20, cover)), "tail_cover": F.avg(F.when(F.col("t_idx") >= F.col("length") - 20, cover)),
     }
     whole = windows.number_of(F.max("length"), W_SIZE, W_STRIDE)
-    out = rows.groupBy("uav_id").agg(*metrics.error_stats(F.col("d")), F.count(F.lit(1)).alias("n"), whole.alias("windows"), *(c.alias(n) for n, c in made.items()))
+    rows = saved(rows, "evaluated")  # read by ranks again
+    out = metrics.error_stats(rows, ["uav_id"], "d", F.count(F.lit(1)).alias("n"), whole.alias("windows"), *(c.alias(n) for n, c in made.items()))
     out = out.join(metrics.hausdorff(track(spark, sf_dir)), "uav_id")
     return out.select("uav_id", "n", "windows", *(r6(F.col(c)).alias(c) for c in out.columns if c not in ("uav_id", "n", "windows")))
 
@@ -406,7 +408,8 @@ def modality_errors(spark, sf_dir):
     near = asof.nearest(seen, known, "uav_id", "us", POS, HOURS6).join(first, "uav_id")
     plane = lambda p: geo.enu(*(F.col(p + c) for c in POS), *(F.col(f"o.{c}") for c in POS))
     d = geo.norm(*(a - b for a, b in zip(plane(""), plane("t_"), strict=True)))
-    out = near.select("uav_id", "modality", d.alias("d")).groupBy("uav_id", "modality").agg(F.count(F.lit(1)).alias("n"), *metrics.error_stats(F.col("d")))
+    distances = saved(near.select("uav_id", "modality", d.alias("d")), "distances")
+    out = metrics.error_stats(distances, ["uav_id", "modality"], "d", F.count(F.lit(1)).alias("n"))
     return out.select("uav_id", "modality", "n", *((F.round(c, 3) + 0.0).alias(c) for c in ("rmse", "mae", "medae", "max_err")))
 
 
@@ -538,6 +541,18 @@ def norm_stats_windows(spark, sf_dir):
     rows = windows.with_length(track(spark, sf_dir), "uav_id")
     rows = rows.withColumn("n", windows.covering(F.col("t_idx"), F.col("length"), W_SIZE, W_STRIDE))
     long = rows.unpivot(["n"], ["gx", "gy", "gz", "px", "py", "pz"], "axis", "v").where("n > 0 AND v IS NOT NULL")
-    sums = long.groupBy("axis").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("s"), F.sum(F.col("n") * F.col("v") * F.col("v")).alias("q"))
-    mean = F.col("s") / F.col("n")
-    return sums.select("axis", "n", r6(mean).alias("mu"), r6(F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)) + 1e-6).alias("sigma"))
+    sums = moments.weighted(long, ["axis"], "v", "n")
+    return sums.select("axis", "n", r6(F.col("mean")).alias("mu"), r6(moments.deviation(F.col("m2"), F.col("n")) + 1e-6).alias("sigma"))
+
+
+@plans(f"""WITH {OBS_SQL} SELECT modality, count(q1) AS n, round(avg(q1), 6) + 0 AS mean, round(stddev_pop(q1), 6) + 0 AS std, round(min(q1), 6) + 0 AS least, round(max(q1), 6) + 0 AS most FROM obs GROUP BY modality""")
+def merged_moments(spark, sf_dir):
+    """Each sensor's moments from states stored by ten-day batches, one of them added again."""
+    rows = obs(spark, sf_dir)
+    store = moments.MomentStore(spark, scratch_path(spark, "moments"), ["modality"])
+    third = F.floor((F.col("us") - 1704067200 * MICROS) / (10 * 86400 * MICROS))
+    parts = {"early": rows.where(third < 1), "middle": rows.where(third == 1), "late": rows.where((third > 1) | third.isNull())}
+    for name, part in [*parts.items(), ("early", parts["early"])]:
+        store.add(name, part, F.col("q1"))
+    out = store.totals()
+    return out.select("modality", "n", r6(F.col("mean")).alias("mean"), r6(moments.deviation(F.col("m2"), F.col("n"))).alias("std"), r6(F.col("least")).alias("least"), r6(F.col("most")).alias("most"))
