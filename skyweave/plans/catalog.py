@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import files, matching, relations, scalars, situations, streams, tracks
+from . import files, matching, relations, scalars, situations, streams, tracks, training
 from .base import Query
 
 FLAGSHIP = "fusion_observation_weighted"
-_MODULES = (scalars, tracks, matching, situations, relations, streams, files)
+_MODULES = (scalars, tracks, matching, situations, relations, streams, files, training)
 
 
 def queries() -> dict[str, Query]:
