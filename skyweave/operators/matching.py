@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -9,28 +10,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.scalar import gaussian
+from ..functions.scalar import node_kernel
 from ..sources.shared import saved
 from . import running
 
 
-def candidates(detected: DataFrame, reported: DataFrame, gate: float, k: int = 5, sigma: float = 120.0) -> DataFrame:
-    """Per frame and ``det`` the best ``k`` reports within ``gate`` metres,
-    with ``score`` = Gaussian of the distance x confidence x quality.
+@dataclass(frozen=True)
+class Kernel:
+    """How a pair is scored: Gaussians of the distance (metres) and of the gap
+    of plane velocities, times powers of confidence and quality."""
 
-    Both sides are dealt to cells as wide as the gate, a detection to its
-    own and the eight around, so only neighbours are paired.  Of equal
-    scores the smaller ``rep`` comes first.
+    sigma_pos: float = 120.0
+    sigma_vel: float = 20.0
+    power_conf: float = 1.0
+    power_quality: float = 1.0
+
+
+def origins(detected: DataFrame) -> DataFrame:
+    """Each frame's origin (frame, r_lat, r_lon, r_alt): the mean detection."""
+    return detected.groupBy("frame").agg(*(F.avg(c).alias(f"r_{c}") for c in ("lat", "lon", "alt")))
+
+
+def candidates(detected: DataFrame, reported: DataFrame, gate: float, k: int = 5, kernel: Kernel | None = None, about: DataFrame | None = None) -> DataFrame:
+    """Per frame and ``det`` the ``k`` reports nearest to it within ``gate``
+    metres, with the kernel's ``score``: frame, det, rep, place, distance, score.
+
+    ``detected`` (frame, det, lat, lon, alt, vx, vy, confidence) and
+    ``reported`` (frame, rep, lat, lon, alt, vx, vy, quality) are placed in the
+    plane about their frame's origin, by default that of ``detected``.  Both
+    sides are dealt to cells as wide as the gate, a detection to its own and
+    the eight around, so only neighbours are paired.  Of reports as near the
+    smaller ``rep`` comes first.
     """
-    cell = lambda x: F.floor(F.col(x) * geo.METRES_PER_DEGREE / gate)
+    c = kernel or Kernel()
+    about = origins(detected) if about is None else about
+    place = geo.enu(*(F.col(x) for x in ("lat", "lon", "alt", "r_lat", "r_lon", "r_alt")))
+    placed = lambda rows, of: rows.join(about, "frame").withColumns({f"{of}{a}": x for a, x in zip("xyz", place, strict=True)})
+    cell = lambda x: F.floor(F.col(x) / gate)
     around = lambda x: F.explode(F.sequence(cell(x) - 1, cell(x) + 1))
-    left = detected.select("frame", "det", F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon"), "confidence").withColumn("cx", around("d_lon")).withColumn("cy", around("d_lat"))
-    right = reported.select("frame", "rep", "lat", "lon", "quality").withColumns({"cx": cell("lon"), "cy": cell("lat")})
-    distance = geo.flat_distance(F.col("d_lat"), F.col("d_lon"), F.col("lat"), F.col("lon"))
-    near = left.join(right, ["frame", "cx", "cy"]).withColumn("distance", distance).where(F.col("distance") <= gate)
-    scored = near.withColumn("score", F.round(gaussian(F.col("distance"), sigma) * F.col("confidence") * F.col("quality"), 12))
-    place = F.row_number().over(Window.partitionBy("frame", "det").orderBy(F.desc("score"), "rep"))
-    return scored.withColumn("place", place).where(F.col("place") <= k).select("frame", "det", "rep", "place", "distance", "score")
+    left = placed(detected, "d").select("frame", "det", "dx", "dy", "dz", F.col("vx").alias("dvx"), F.col("vy").alias("dvy"), "confidence").withColumn("cx", around("dx")).withColumn("cy", around("dy"))
+    right = placed(reported, "r").select("frame", "rep", "rx", "ry", "rz", "vx", "vy", "quality").withColumns({"cx": cell("rx"), "cy": cell("ry")})
+    gap = lambda a, b: F.col(a) - F.col(b)
+    near = left.join(right, ["frame", "cx", "cy"]).withColumn("distance", geo.norm(gap("dx", "rx"), gap("dy", "ry"), gap("dz", "rz"))).where(F.col("distance") <= gate)
+    number = F.row_number().over(Window.partitionBy("frame", "det").orderBy(F.round("distance", 6), "rep"))
+    best = near.withColumn("place", number).where(F.col("place") <= k)
+    score = node_kernel(F.col("distance"), geo.norm(gap("dvx", "vx"), gap("dvy", "vy")), F.col("confidence"), F.col("quality"), c.sigma_pos, c.sigma_vel, c.power_conf, c.power_quality)
+    return best.select("frame", "det", "rep", "place", "distance", F.round(score, 12).alias("score"))
 
 
 def greedy(pairs: DataFrame, small: int = 20_000) -> DataFrame:
@@ -86,11 +111,11 @@ def gates(rows: DataFrame, frame: str, index: str, value: str, name: str, share:
     return running.with_smoothed(last, "_all", [frame], "_q", name, width, 0.5, beta).select(frame, name)
 
 
-def frames(detected: DataFrame, reported: DataFrame, gate: float, least: float, share: float = 0.1, size: int = 5000, beta: float = 0.8, width: float = 168) -> tuple[DataFrame, DataFrame]:
+def frames(detected: DataFrame, reported: DataFrame, gate: float, least: float, share: float = 0.1, size: int = 5000, beta: float = 0.8, width: float = 168, k: int = 5, kernel: Kernel | None = None) -> tuple[DataFrame, DataFrame]:
     """Matches (frame, det, rep, score) and misses (frame, id, kind, misses).
 
-    ``detected`` (frame, det, id, lat, lon, confidence) and ``reported``
-    (frame, rep, id, lat, lon, quality) meet in frames that have both.  Rows
+    ``detected`` and ``reported``, as for candidates() and with ``id``, meet
+    in frames that have both, about the frame's mean detection.  Rows
     below the frame's gate take no part in the match.  A detection without a
     report, or a report without a detection, of a score of ``least`` or more
     is a miss of its id; ``misses`` counts those of its kind so far.
@@ -99,7 +124,7 @@ def frames(detected: DataFrame, reported: DataFrame, gate: float, least: float,
     det, rep = (saved(rows.join(both, "frame", "left_semi"), "frame-rows") for rows in (detected, reported))
     levels = [gates(rows, "frame", index, value, "_gate", share, size, beta, width) for rows, index, value in ((det, "det", "confidence"), (rep, "rep", "quality"))]
     able = [rows.join(level, "frame").where(F.col(value) >= F.col("_gate")) for rows, level, value in zip((det, rep), levels, ("confidence", "quality"), strict=True)]
-    pairs = saved(candidates(*able, gate), "candidates")
+    pairs = saved(candidates(*able, gate, k, kernel, origins(det)), "candidates")
     missed = [unmatched(pairs, rows, side, least).select("frame", "id", F.lit(kind).alias("kind"), F.col(side).alias("row")) for rows, side, kind in ((det, "det", "unreported"), (rep, "rep", "undetected"))]
     missed = missed[0].unionByName(missed[1]).withColumn("who", F.struct("id", "kind"))
     counted = running.with_sum(missed, "who", ["frame", "row"], F.lit(1).cast("long"), "misses", width)

@@ -14,20 +14,28 @@ plans = Plans()
 GATE = 150.0
 DAY = 86400 * MICROS
 _COMM = "pow((greatest(0e0, least(1e0, q1 / 150e0)) + 1e-6) * (greatest(0e0, least(1e0, q2 / 50e0)) + 1e-6) * (greatest(0e0, least(1e0, 1e0 - q1 / 150e0)) + 1e-6) * (greatest(0e0, least(1e0, q2 / 100e0)) + 1e-6), 0.25e0)"
-_PAIRS = f"""f AS (SELECT *, us // (3600 * {MICROS}::BIGINT) AS frame FROM obs),
-det AS (SELECT frame, event_id AS det, lat AS d_lat, lon AS d_lon, greatest(0e0, least(1e0, q2 / 100e0)) AS confidence FROM f WHERE modality = 'gps'),
-rep AS (SELECT frame, event_id AS rep, lat, lon, {_COMM} AS quality FROM f WHERE modality = 'truth'),
-near AS (SELECT *, sqrt(pow((lat - d_lat) * 111000e0, 2) + pow((lon - d_lon) * 111000e0, 2)) AS distance FROM det JOIN rep USING (frame)),
-cand AS (SELECT *, round(exp(-(distance * distance) / (2e0 * 120e0 * 120e0)) * confidence * quality, 12) AS score FROM near WHERE distance <= {GATE}),
-top AS (SELECT *, row_number() OVER (PARTITION BY frame, det ORDER BY score DESC, rep) AS place FROM cand QUALIFY place <= 5)"""
+_SIDES = f"""f AS (SELECT *, us // (3600 * {MICROS}::BIGINT) AS frame FROM obs),
+det AS (SELECT frame, uav_id, event_id AS det, lat AS d_lat, lon AS d_lon, alt AS d_alt, q1 / 10e0 AS d_vx, q2 / 10e0 AS d_vy, greatest(0e0, least(1e0, q2 / 100e0)) AS confidence FROM f WHERE modality = 'gps'),
+rep AS (SELECT frame, uav_id, event_id AS rep, lat, lon, alt, q2 / 10e0 AS vx, q1 / 10e0 AS vy, {_COMM} AS quality FROM f WHERE modality = 'truth')"""
+_NEAR = f"""near AS (SELECT *, sqrt(pow(radians(lon - d_lon) * cos(radians(r_lat)) * 6378137e0, 2) + pow(radians(lat - d_lat) * 6378137e0, 2) + pow(alt - d_alt, 2)) AS distance, pow(vx - d_vx, 2) + pow(vy - d_vy, 2) AS gap2
+  FROM {{det}} JOIN (SELECT frame, avg(d_lat) AS r_lat FROM {{all}} GROUP BY frame) USING (frame) JOIN {{rep}} USING (frame)),
+cand AS (SELECT *, round(exp(-(distance * distance) / (2e0 * 120e0 * 120e0)) * exp(-gap2 / (2e0 * 20e0 * 20e0)) * confidence * quality, 12) AS score FROM near WHERE distance <= {GATE}),
+top AS (SELECT *, row_number() OVER (PARTITION BY frame, det ORDER BY round(distance, 6), rep) AS place FROM cand QUALIFY place <= 5)"""
+_PAIRS = f"{_SIDES}, {_NEAR.format(det='det', rep='rep', all='det')}"
+
+
+def sides(rows, reports):
+    """Detections and reports of the observations, with what both matchers need."""
+    q1, q2 = F.col("q1"), F.col("q2")
+    frame, place = F.floor(F.col("us") / (3600 * MICROS)).alias("frame"), ["lat", "lon", "alt"]
+    det = rows.select(frame, F.col("event_id").alias("det"), F.col("uav_id").alias("id"), *place, (q1 / 10.0).alias("vx"), (q2 / 10.0).alias("vy"), scalar.clip(q2 / 100.0).alias("confidence"))
+    quality = scalar.comm_quality(q1 / 5.0, q2 - 90.0, q1, q2 / 100.0)
+    rep = reports.select(frame, F.col("event_id").alias("rep"), F.col("uav_id").alias("id"), *place, (q2 / 10.0).alias("vx"), (q1 / 10.0).alias("vy"), quality.alias("quality"))
+    return det, rep
 
 
 def _candidates(spark, sf_dir):
-    frame = F.floor(F.col("us") / (3600 * MICROS)).alias("frame")
-    q1, q2 = F.col("q1"), F.col("q2")
-    det = obs(spark, sf_dir, ("click",)).select(frame, F.col("event_id").alias("det"), "lat", "lon", scalar.clip(q2 / 100.0).alias("confidence"))
-    rep = truth(spark, sf_dir).select(frame, F.col("event_id").alias("rep"), "lat", "lon", scalar.comm_quality(q1 / 5.0, q2 - 90.0, q1, q2 / 100.0).alias("quality"))
-    return matching.candidates(det, rep, GATE)
+    return matching.candidates(*sides(obs(spark, sf_dir, ("click",)), truth(spark, sf_dir)), GATE)
 
 
 @plans(f"WITH {OBS_SQL}, {_PAIRS} SELECT frame, det, rep, place, round(distance, 5) + 0 AS distance, round(score, 6) + 0 AS score FROM top")
@@ -70,24 +78,18 @@ def _missed_sql(side, kind):
     return f"SELECT frame, uav_id AS id, '{kind}' AS kind, {side} AS event FROM {side} SEMI JOIN fr USING (frame) LEFT JOIN (SELECT frame, {side}, max(score) AS best FROM top GROUP BY 1, 2) USING (frame, {side}) WHERE coalesce(best, 0e0) < 0.2e0"
 
 
-_FRAMES = f"""f AS (SELECT *, us // (3600 * {MICROS}::BIGINT) AS frame FROM obs),
-det AS (SELECT frame, uav_id, event_id AS det, lat AS d_lat, lon AS d_lon, greatest(0e0, least(1e0, q2 / 100e0)) AS confidence FROM f WHERE modality = 'gps'),
-rep AS (SELECT frame, uav_id, event_id AS rep, lat, lon, {_COMM} AS quality FROM f WHERE modality = 'truth'),
+_ABLE = "(SELECT {side}.* FROM {side} JOIN g{side} USING (frame) WHERE {value} >= gate) AS {side}"
+_BOTH = "(SELECT * FROM det SEMI JOIN fr USING (frame))"
+FRAMES_SQL = f"""{_SIDES},
 fr AS MATERIALIZED (SELECT frame FROM det INTERSECT SELECT frame FROM rep), {_gate_sql('det', 'confidence')}, {_gate_sql('rep', 'quality')},
-near AS (SELECT frame, det, rep, confidence, quality, sqrt(pow((lat - d_lat) * 111000e0, 2) + pow((lon - d_lon) * 111000e0, 2)) AS distance
-  FROM (SELECT det.* FROM det JOIN gdet USING (frame) WHERE confidence >= gate) JOIN (SELECT rep.* FROM rep JOIN grep USING (frame) WHERE quality >= gate) USING (frame)),
-cand AS (SELECT *, round(exp(-(distance * distance) / (2e0 * 120e0 * 120e0)) * confidence * quality, 12) AS score FROM near WHERE distance <= {GATE}),
-top AS (SELECT *, row_number() OVER (PARTITION BY frame, det ORDER BY score DESC, rep) AS place FROM cand QUALIFY place <= 5),
+{_NEAR.format(det=_ABLE.format(side='det', value='confidence'), rep=_ABLE.format(side='rep', value='quality'), all=_BOTH)},
 missed AS ({_missed_sql('det', 'unreported')} UNION ALL {_missed_sql('rep', 'undetected')})"""
 
 
-@plans(f"WITH RECURSIVE {OBS_SQL}, {_FRAMES} SELECT *, count(*) OVER (PARTITION BY id, kind ORDER BY frame, event ROWS UNBOUNDED PRECEDING) AS misses, misses >= 3 AS abnormal FROM missed")
+@plans(f"WITH RECURSIVE {OBS_SQL}, {FRAMES_SQL} SELECT *, count(*) OVER (PARTITION BY id, kind ORDER BY frame, event ROWS UNBOUNDED PRECEDING) AS misses, misses >= 3 AS abnormal FROM missed")
 def match_frames(spark, sf_dir):
     """The matcher over all frames, with gates that follow the rows before and votes for those that are missed again and again."""
-    frame = F.floor(F.col("us") / (3600 * MICROS)).alias("frame")
-    q1, q2 = F.col("q1"), F.col("q2")
-    det = obs(spark, sf_dir, ("click",)).select(frame, F.col("event_id").alias("det"), F.col("uav_id").alias("id"), "lat", "lon", scalar.clip(q2 / 100.0).alias("confidence"))
-    rep = truth(spark, sf_dir).select(frame, F.col("event_id").alias("rep"), F.col("uav_id").alias("id"), "lat", "lon", scalar.comm_quality(q1 / 5.0, q2 - 90.0, q1, q2 / 100.0).alias("quality"))
+    det, rep = sides(obs(spark, sf_dir, ("click",)), truth(spark, sf_dir))
     _, missed = matching.frames(det, rep, GATE, 0.2, size=500)
     return missed.select("frame", "id", "kind", F.col("row").alias("event"), "misses", (F.col("misses") >= 3).alias("abnormal"))
 
