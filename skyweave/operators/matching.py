@@ -112,7 +112,7 @@ def gates(rows: DataFrame, frame: str, index: str, value: str, name: str, share:
 
 
 def frames(detected: DataFrame, reported: DataFrame, gate: float, least: float, share: float = 0.1, size: int = 5000, beta: float = 0.8, width: float = 168, k: int = 5, kernel: Kernel | None = None) -> tuple[DataFrame, DataFrame]:
-    """Matches (frame, det, rep, score) and misses (frame, id, kind, misses).
+    """Pairs, which greedy() makes matches of, and misses (frame, id, kind, misses).
 
     ``detected`` and ``reported``, as for candidates() and with ``id``, meet
     in frames that have both, about the frame's mean detection.  Rows
@@ -128,7 +128,7 @@ def frames(detected: DataFrame, reported: DataFrame, gate: float, least: float,
     missed = [unmatched(pairs, rows, side, least).select("frame", "id", F.lit(kind).alias("kind"), F.col(side).alias("row")) for rows, side, kind in ((det, "det", "unreported"), (rep, "rep", "undetected"))]
     missed = missed[0].unionByName(missed[1]).withColumn("who", F.struct("id", "kind"))
     counted = running.with_sum(missed, "who", ["frame", "row"], F.lit(1).cast("long"), "misses", width)
-    return greedy(pairs), counted.select("frame", "id", "kind", "row", "misses")
+    return pairs, counted.select("frame", "id", "kind", "row", "misses")
 
 
 def neighbours(points: DataFrame, key: str, index: str, axes: list[str], k: int, span: int = 20, own: bool = True) -> DataFrame:

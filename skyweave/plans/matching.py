@@ -24,13 +24,13 @@ top AS (SELECT *, row_number() OVER (PARTITION BY frame, det ORDER BY round(dist
 _PAIRS = f"{_SIDES}, {_NEAR.format(det='det', rep='rep', all='det')}"
 
 
-def sides(rows, reports):
+def sides(rows, reports, *more):
     """Detections and reports of the observations, with what both matchers need."""
     q1, q2 = F.col("q1"), F.col("q2")
     frame, place = F.floor(F.col("us") / (3600 * MICROS)).alias("frame"), ["lat", "lon", "alt"]
-    det = rows.select(frame, F.col("event_id").alias("det"), F.col("uav_id").alias("id"), *place, (q1 / 10.0).alias("vx"), (q2 / 10.0).alias("vy"), scalar.clip(q2 / 100.0).alias("confidence"))
+    det = rows.select(*more, frame, F.col("event_id").alias("det"), F.col("uav_id").alias("id"), *place, (q1 / 10.0).alias("vx"), (q2 / 10.0).alias("vy"), scalar.clip(q2 / 100.0).alias("confidence"))
     quality = scalar.comm_quality(q1 / 5.0, q2 - 90.0, q1, q2 / 100.0)
-    rep = reports.select(frame, F.col("event_id").alias("rep"), F.col("uav_id").alias("id"), *place, (q2 / 10.0).alias("vx"), (q1 / 10.0).alias("vy"), quality.alias("quality"))
+    rep = reports.select(*more, frame, F.col("event_id").alias("rep"), F.col("uav_id").alias("id"), *place, (q2 / 10.0).alias("vx"), (q1 / 10.0).alias("vy"), quality.alias("quality"))
     return det, rep
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.tables import micros, modality, truth
-from ..streaming import streams
+from ..sources.tables import MICROS, OBS_SQL, as_obs, micros, modality, truth
+from ..streaming import matcher, streams
 from .base import Plans, r6
-from .matching import EMA_SQL
+from .matching import EMA_SQL, FRAMES_SQL, sides
 from .tracks import HOURS6, NEAR_SQL, POS
 
 plans = Plans()
@@ -34,3 +34,16 @@ def stream_thresholds(spark, sf_dir):
     events = streams.table_stream(spark, sf_dir, "events").where(F.col("event_type") != "view")
     seen = events.select(F.col("user_id").alias("uav_id"), micros(F.col("ts")).alias("us"), "event_id", (F.col("value") / 100.0).alias("q"))
     return streams.run(streams.thresholds(seen, "uav_id", ["us", "event_id"], "q"), "stream-thresholds").select("event_id", r6(F.col("tau")).alias("tau"), "votes")
+
+
+@plans(f"""WITH RECURSIVE {OBS_SQL}, {FRAMES_SQL}, counted AS (SELECT *, count(*) OVER (PARTITION BY id, kind ORDER BY frame, event ROWS UNBOUNDED PRECEDING) AS misses FROM missed)
+  SELECT *, misses >= 3 AS abnormal FROM counted WHERE (frame + 1) * 3600 * {MICROS}::BIGINT <= (SELECT max(epoch_us(ts)) FROM events WHERE event_type IN ('click', 'view')) - 3600 * {MICROS}::BIGINT""")
+def stream_match_frames(spark, sf_dir):
+    """The matcher as a stream, all in one sector: the frames that the watermark, an hour behind, has passed."""
+    rows = as_obs(streams.table_stream(spark, sf_dir, "events"), ("click", "view"))
+    time = F.timestamp_micros("us").alias("time")
+    det, rep = sides(rows.where("modality = 'gps'"), rows.where("modality = 'truth'"), time)
+    both = [x.select("time", F.lit("all").alias("sector"), F.lit(side).alias("side"), F.col(side).alias("row"), "id", "lat", "lon", "alt", "vx", "vy", F.col(w).alias("weight")) for x, side, w in ((det, "det", "confidence"), (rep, "rep", "quality"))]
+    with streams.rocks(spark):
+        found = streams.run(matcher.match_stream(both[0].unionByName(both[1]), "time", 3600, "1 hour", matcher.Settings(size=500)), "stream-matches")
+    return found.where("kind != 'match'").select("frame", "id", "kind", F.col("row").alias("event"), "misses", (F.col("misses") >= 3).alias("abnormal"))

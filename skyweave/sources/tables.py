@@ -34,7 +34,11 @@ def modality(event_type: Column) -> Column:
 def obs(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """event_id, uav_id, us, modality, q1, q2, lat, lon, alt; ``kinds`` are
     the event types to read, which reaches the scan."""
-    events = table(spark, sf_dir, "events")
+    return as_obs(table(spark, sf_dir, "events"), kinds)
+
+
+def as_obs(events: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows of events, or a stream of them, as obs()."""
     if kinds:
         events = events.where(F.col("event_type").isin(*kinds))
     k = F.get_json_object("props", "$.k").try_cast("double")

@@ -8,6 +8,7 @@ goes on where it was.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,26 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
 
 
-def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all available input into a new table of files."""
+_STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Streams that start in here keep state in RocksDB, which lists, maps and
+    timers need; its snapshots go to the checkpoint."""
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, before)
+
+
+def run(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Runs a stream over all available input into a table of files, a new one
+    or, where it was broken off, that of ``path``."""
     spark = stream.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
