@@ -10,6 +10,9 @@ Within a shard, a BK-tree over the fingerprints gives the rows within
 of their sets.  Rows that are joined already aren't checked again, so a group
 of near copies costs about one check for each row.
 
+Rows with one set of shingles are one row of it from the start: they are
+linked by a digest of the set, and only the first of them is searched.
+
 A shard of more than ``BLOCK_ROWS`` rows is dealt to blocks.  When the links
 within the blocks are known, those rows that its largest group lacks are sent
 to all of its blocks, so that no link is skipped.
@@ -71,12 +74,14 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 def _sketches(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, prints, keys = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, BANDS), np.uint64)
+        sets: list[bytes] = []
         for n, text in enumerate(batch.column(1)):
             hashes = shingles(text.as_py())
             sizes[n], prints[n], keys[n] = len(hashes), majority_bits(hashes), band_keys(hashes)
+            sets.append(xxhash.xxh3_128_digest(hashes.tobytes()))
         ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
-        columns = [batch.column(0), pa.array(sizes), pa.array(prints.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1).view(np.int64)))]
-        yield pa.record_batch(columns, names=["row", "size", "fp", "keys"])
+        columns = [batch.column(0), pa.array(sizes), pa.array(prints.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1).view(np.int64))), pa.array(sets, pa.binary())]
+        yield pa.record_batch(columns, names=["row", "size", "fp", "keys", "set"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[pa.RecordBatch]:
@@ -148,7 +153,10 @@ def groups(rows: DataFrame) -> DataFrame:
     that stays when the table is read again, and ``text``.  Null and empty
     texts, and texts of white space, have no shingle and are alike."""
     rows = rows.select("row", "text")
-    sketches = stored(map_batches(rows, _sketches, "row long, size long, fp long, keys array<long>"), "near-sketches")
+    sketches = stored(map_batches(rows, _sketches, "row long, size long, fp long, keys array<long>, set binary"), "near-sketches")
+    firsts = stored(sketches.groupBy("set").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "near-sets-firsts")
+    copies = stored(sketches.select("row", "set").join(firsts.where("n > 1").drop("n"), "set").select("row", "first"), "near-equals")
+    sketches = sketches.join(copies.where("row != first").select("row"), "row", "left_anti")
     flat = sketches.select("row", "size", "fp", F.explode("keys").alias("key"))
     shards = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("row").alias("first"), F.max("row").alias("last"), F.bit_xor(F.xxhash64("row")).alias("mark"))
     # shards of one row have no link; of shards with the same rows one is enough
@@ -177,4 +185,8 @@ def groups(rows: DataFrame) -> DataFrame:
         over = components(more)
         moved = roots.join(over.select(F.col("node").alias("_old"), F.col("root").alias("_new")), F.col("root") == F.col("_old"), "left")
         roots = moved.select("node", F.coalesce("_new", "root").alias("root")).unionByName(over)
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    equal = copies.join(roots, copies["first"] == roots["node"], "left").select("row", F.coalesce("root", "first").alias("root"))
+    # first rows of equal sets are among their copies
+    alone = roots.join(copies.select(F.col("row").alias("node")), "node", "left_anti")
+    return alone.select("node", "root").unionByName(equal.select(F.col("row").alias("node"), "root"))

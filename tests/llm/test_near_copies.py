@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 import corpus_pipeline
 from skyweave.llm import near_copies
 from tests.oracle import SMALL
@@ -63,6 +65,20 @@ def test_a_shard_of_several_groups(spark, monkeypatch):
     assert {k: roots.get(k, k) for k, _ in enumerate(texts)} == want and len(set(want.values())) == 4
 
 
+@pytest.mark.parametrize("n", [600, 2400])
+def test_equal_sets_are_searched_once(spark, monkeypatch, n):
+    """However many rows have one set, by case, white space or repeated lines."""
+    sent, linked = [], near_copies._linked
+    monkeypatch.setattr(near_copies, "_linked", lambda dealt, *more: sent.append(dealt.count()) or linked(dealt, *more))
+    line = " ".join(f"w{i}" for i in range(30))
+    texts = [(line.upper() if k % 2 else line) + " " * (k % 5) if k % 3 else None for k in range(n)]
+    texts += [" ".join([*line.split()[:-1], "new"]), "other words than those"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    roots = {r.node: r.root for r in near_copies.groups(rows).collect()}
+    assert sum(sent) <= 4 * near_copies.BANDS
+    assert {k: roots.get(k, k) for k in range(len(texts))} == {**{k: 0 if texts[k] is None else 1 for k in range(n)}, n: 1, n + 1: n + 1}
+
+
 def test_no_rows(spark):
     assert near_copies.groups(spark.createDataFrame([], "row long, text string")).count() == 0
 
