@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .perfect_hash import PerfectHash
-from .shared import map_batches, stored
+from .shared import map_batches, stored, trim
 
 BREAK = b"\xff"  # no byte of UTF-8
 _UPPER, _ENDS = bytes(range(65, 91)), b".,;:!?\n\x0b\x0c\r"
@@ -48,7 +48,7 @@ class Settings:
     contained: int = 50  # percent: goes where a longer one occurs as often
     top: int = 2000  # of each language
     block: int = 1 << 22
-    buffer: int = 1 << 22  # keys of a task that are counted before they are sent
+    buffer: int = 1 << 21  # keys of a task that are counted before they are sent
 
 
 def word_lists(text: bytes) -> Iterator[list[bytes]]:
@@ -90,6 +90,7 @@ def _count_words(batches: Iterator[pa.RecordBatch], task: int, most: int) -> Ite
             yield pa.record_batch([pa.array([lang] * len(ns), pa.string()), words, pa.array(ns, pa.int64())], names=["lang", "word", "n"])
         counts.clear()
 
+    trim()
     for batch in batches:
         for lang, texts in _by_lang(batch).items():
             for text in texts:
@@ -131,7 +132,7 @@ class Words:
 def _slots_of(words: list[bytes], lang: bytes, block: Words, known: dict[bytes, int]) -> np.ndarray:
     """The words' slots; ``known`` holds those of words met lately."""
     if new := list(set(words) - known.keys()):
-        if len(known) > 300_000:
+        if len(known) > 60_000:
             known.clear()
             new = list(set(words))
         known.update(zip(new, block.find([_full(w, lang) for w in new]).tolist(), strict=True))
@@ -164,6 +165,7 @@ def _encode(batches: Iterator[pa.RecordBatch], task: int, block, last: bool) ->
     """Sequences of word slots.  Before the last block of words the texts stay
     with them and the sequences are whole."""
     known: defaultdict[str, dict[bytes, int]] = defaultdict(dict)
+    trim()
     for batch in batches:
         if "slots" in batch.schema.names:
             columns = zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), batch.column("slots"), strict=True)
@@ -195,6 +197,7 @@ def _keys(batches: Iterator[pa.RecordBatch], task: int, s: Settings) -> Iterator
         table = pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.minimum(counts, s.least).astype(np.int16))], names=["key", "n"])
         yield from (table.slice(at, 1 << 16) for at in range(0, len(keys), 1 << 16))
 
+    trim()
     for batch in batches:
         for value in batch.column("slots"):
             waiting.append(neighbours(_slots(value))[1])
@@ -231,6 +234,7 @@ def _found(batches: Iterator[pa.RecordBatch], task: int, block, last: bool, fina
         yield pa.record_batch([none, none, *packed], names=["slots", "found", "part", "task", "counts"])
         counts[:] = 0
 
+    trim()
     for batch in batches:
         sequences, before = batch.column("slots"), batch.column("found") if "found" in batch.schema.names else [None] * batch.num_rows
         for value, old in zip(sequences, before, strict=True):
@@ -377,7 +381,7 @@ def collocations(docs: DataFrame, settings: Settings | None = None) -> DataFrame
     """
     s = settings or Settings()
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    words = map_batches(docs, partial(_count_words, most=300_000), "lang string, word string, n long")
+    words = map_batches(docs, partial(_count_words, most=200_000), "lang string, word string, n long")
     words = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("word").isNull() | (F.col("n") >= s.least)), "phrase-counts")
     totals = words.where("word IS NULL").select("lang", F.col("n").alias("all"))
     level, sequences = _word_level(docs, words.where("word IS NOT NULL"), s)

@@ -61,6 +61,13 @@ on_switch: list[Callable[[], None]] = []
 _operator = ""
 
 
+def trim() -> None:
+    """Gives back what this worker has freed; else it stays with it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def _call(fn, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs ``fn``; a worker that turns to another operator first drops what
     the last one cached, so that a pipeline's stages don't add up."""
@@ -69,9 +76,7 @@ def _call(fn, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for clear in on_switch:
             clear()
         _operator = now
-        pa.default_memory_pool().release_unused()
-        if hasattr(_libc, "malloc_trim"):
-            _libc.malloc_trim(0)  # else what was freed stays with the worker
+        trim()
     return fn(batches, TaskContext.get().partitionId())
 
 
