@@ -404,6 +404,10 @@ def collocations(docs: DataFrame, settings: Settings | None = None) -> DataFrame
     every = out[0]
     for more in out[1:]:
         every = every.unionByName(more)
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    best = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.top).join(totals, "lang")
+    # the best of each part of a language first, so that no task ranks all of its phrases
+    order = [F.desc("cut.score"), F.desc("a"), "phrase"]
+    parts = every.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    for keys in (["lang", "_part"], ["lang"]):
+        parts = parts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= s.top)
+    best = parts.join(totals, "lang")
     return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("all").alias("n"), F.col("cut.score").alias("score"))
