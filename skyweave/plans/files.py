@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import confidence
-from ..operators import asof, running
-from ..sources import files, packets
-from ..sources.shared import scratch_path
-from ..sources.tables import MICROS, OBS_SQL, obs, sensed
+from ..functions import confidence, scalar
+from ..operators import asof, matching, running
+from ..sources import files, ordered, packets, reports
+from ..sources.shared import saved, scratch_path
+from ..sources.tables import MICROS, OBS_SQL, obs, sensed, truth
 from .base import Plans, r6
+from .matching import GATE, PAIRS_SQL, sides
 from .situations import _ANSWER, _answers
+from .tracks import error_stats
+from .tracks import plans as tracks
 
 plans = Plans()
 
@@ -91,3 +97,66 @@ def confidence_groups(spark, sf_dir):
 def modality_names(spark, sf_dir):
     name = F.when(F.col("event_id") % 6 == 0, " 5G ").when(F.col("event_id") % 6 == 1, "5g_a").when(F.col("event_id") % 6 == 2, "5GA").when(F.col("event_id") % 6 == 3, "FiveG").when(F.col("event_id") % 6 == 4, F.upper("modality"))
     return obs(spark, sf_dir).select("event_id", files.modality_key(name).alias("key"))
+
+
+_TEN = (1704067200 + 10 * 86400) * MICROS
+_DAYS = (_TEN, _TEN + 2 * 86400 * MICROS)
+
+
+@plans(f"""WITH {OBS_SQL}, n AS (SELECT event_id, uav_id, modality, us, row_number() OVER (ORDER BY us NULLS FIRST, uav_id NULLS FIRST, event_id) - 1 AS place FROM obs)
+  SELECT event_id, uav_id, modality, place FROM n WHERE us BETWEEN {_DAYS[0]}::BIGINT AND {_DAYS[1]}::BIGINT""")
+def sorted_files(spark, sf_dir):
+    """All observations stored in one order of time, object and number over 16 files; two days read by the index, with each row's place among all."""
+    path = scratch_path(spark, "sorted")
+    ordered.write_sorted(obs(spark, sf_dir).select("event_id", "uav_id", "modality", "us"), path, ("us", "uav_id", "event_id"), 16)
+    return ordered.read_range(spark, path, "us", *_DAYS, place="place").drop("us")
+
+
+@plans(f"WITH {OBS_SQL}, {PAIRS_SQL} SELECT frame, det, rep, place, round(distance, 5) + 0 AS distance, round(score, 6) + 0 AS score FROM top")
+def match_csv_files(spark, sf_dir):
+    """Detections and reports through CSV files of their own kinds, the reports' quality from what the link measured."""
+    rows, reports_ = obs(spark, sf_dir, ("click",)), truth(spark, sf_dir)
+    det, _ = sides(rows, reports_)
+    path = scratch_path(spark, "sides")
+    time, number = F.col("frame").cast("double").alias("time"), lambda c: F.col(c).cast("string").alias("id")
+    det.select(time, number("det"), "lat", "lon", "alt", "vx", "vy", "confidence").write.option("header", True).csv(f"{path}/det")
+    q1, q2 = F.col("q1"), F.col("q2")
+    seen = reports_.select(F.floor(F.col("us") / (3600 * MICROS)).cast("double").alias("time"), number("event_id"), "lat", "lon", "alt", (q2 / 10.0).alias("vx"), (q1 / 10.0).alias("vy"))
+    link = reports_.select(number("event_id"), (q1 / 5.0).alias("snr"), (q2 - 90.0).alias("rssi"), q1.alias("delay"), (q2 / 100.0).alias("coverage"))
+    seen.join(link, "id").write.option("header", True).csv(f"{path}/rep")
+    frame, index = F.col("time").cast("long").alias("frame"), lambda n: F.col("id").cast("long").alias(n)
+    det = files.read_csv(spark, f"{path}/det", "detected").select(frame, index("det"), "lat", "lon", "alt", "vx", "vy", "confidence")
+    quality = scalar.comm_quality(F.col("snr"), F.col("rssi"), F.col("delay"), F.col("coverage"))
+    rep = files.read_csv(spark, f"{path}/rep", "reported").select(frame, index("rep"), "lat", "lon", "alt", "vx", "vy", quality.alias("quality"))
+    found = matching.candidates(det, rep, GATE)
+    return found.select("frame", "det", "rep", "place", (F.round("distance", 5) + 0.0).alias("distance"), r6(F.col("score")).alias("score"))
+
+
+_ERRORS = ("rmse", "mae", "medae", "p90", "p95", "max_err")
+
+
+@plans(f"""WITH e AS ({tracks.sql['error_stats']}), w AS (SELECT * FROM e ORDER BY rmse DESC, uav_id LIMIT 20), u AS (UNPIVOT e ON {', '.join(_ERRORS)} INTO NAME metric VALUE x), v AS (UNPIVOT w ON {', '.join(_ERRORS)} INTO NAME metric VALUE x),
+    s AS (SELECT metric, avg(x) AS mean, median(x) AS median, stddev_samp(x) AS std FROM u GROUP BY metric), t AS (UNPIVOT s ON mean, median, std INTO NAME name VALUE x)
+  SELECT 'rows' AS part, uav_id::VARCHAR AS name, metric, round(x, 10) + 0 AS x FROM u UNION ALL SELECT 'worst', uav_id::VARCHAR, metric, round(x, 10) + 0 FROM v UNION ALL SELECT 'summary', name, metric, round(x, 10) + 0 FROM t""")
+def evaluation_files(spark, sf_dir) -> DataFrame:
+    """Rows, summary and worst rows of an evaluation, read back from their CSV files."""
+    path = scratch_path(spark, "evaluation")
+    reports.write_evaluation(saved(error_stats(spark, sf_dir), "errors"), path)
+    read = lambda part, key, columns: spark.read.option("header", True).csv(f"{path}/{part}").select(key, *(F.col(c).cast("double").alias(c) for c in columns))
+    parts = []
+    for part in ("rows", "worst"):
+        long = read(part, "uav_id", _ERRORS).unpivot(["uav_id"], list(_ERRORS), "metric", "x")
+        parts.append(long.select(F.lit(part).alias("part"), F.col("uav_id").alias("name"), "metric", "x"))
+    stats = ["mean", "median", "std"]
+    parts.append(read("summary", "metric", stats).unpivot(["metric"], stats, "name", "x").select(F.lit("summary").alias("part"), "name", "metric", "x"))
+    return reduce(DataFrame.unionByName, parts).select("part", "name", "metric", (F.round("x", 10) + 0.0).alias("x"))
+
+
+@plans(f"""WITH {OBS_SQL} SELECT us / {MICROS}e0 AS timestamp, round(avg(lat), 6) + 0 AS lat, round(avg(lon), 6) + 0 AS lon, round(avg(alt), 6) + 0 AS alt FROM obs WHERE modality = 'gps' GROUP BY us""")
+def result_files(spark, sf_dir):
+    """Mean positions of each time as an answer's lines of JSON, read back."""
+    rows = obs(spark, sf_dir, ("click",)).groupBy((F.col("us") / float(MICROS)).alias("timestamp")).agg(*(r6(F.avg(c)).alias(c) for c in ("lat", "lon", "alt")))
+    path = scratch_path(spark, "answers")
+    reports.write_results(rows, path)
+    read = files.read_jsonl(spark, path, "timestamp double, lat double, lon double, alt double")
+    return read.drop("_line")

@@ -21,7 +21,7 @@ _NEAR = f"""near AS (SELECT *, sqrt(pow(radians(lon - d_lon) * cos(radians(r_lat
   FROM {{det}} JOIN (SELECT frame, avg(d_lat) AS r_lat FROM {{all}} GROUP BY frame) USING (frame) JOIN {{rep}} USING (frame)),
 cand AS (SELECT *, round(exp(-(distance * distance) / (2e0 * 120e0 * 120e0)) * exp(-gap2 / (2e0 * 20e0 * 20e0)) * confidence * quality, 12) AS score FROM near WHERE distance <= {GATE}),
 top AS (SELECT *, row_number() OVER (PARTITION BY frame, det ORDER BY round(distance, 6), rep) AS place FROM cand QUALIFY place <= 5)"""
-_PAIRS = f"{_SIDES}, {_NEAR.format(det='det', rep='rep', all='det')}"
+PAIRS_SQL = f"{_SIDES}, {_NEAR.format(det='det', rep='rep', all='det')}"
 
 
 def sides(rows, reports, *more):
@@ -38,12 +38,12 @@ def _candidates(spark, sf_dir):
     return matching.candidates(*sides(obs(spark, sf_dir, ("click",)), truth(spark, sf_dir)), GATE)
 
 
-@plans(f"WITH {OBS_SQL}, {_PAIRS} SELECT frame, det, rep, place, round(distance, 5) + 0 AS distance, round(score, 6) + 0 AS score FROM top")
+@plans(f"WITH {OBS_SQL}, {PAIRS_SQL} SELECT frame, det, rep, place, round(distance, 5) + 0 AS distance, round(score, 6) + 0 AS score FROM top")
 def match_candidates_topk(spark, sf_dir):
     return _candidates(spark, sf_dir).select("frame", "det", "rep", "place", (F.round("distance", 5) + 0.0).alias("distance"), r6(F.col("score")).alias("score"))
 
 
-@plans(f"""WITH RECURSIVE {OBS_SQL}, {_PAIRS},
+@plans(f"""WITH RECURSIVE {OBS_SQL}, {PAIRS_SQL},
   ranked AS MATERIALIZED (SELECT frame, det, rep, row_number() OVER (PARTITION BY frame ORDER BY score DESC, det DESC, rep DESC) AS n FROM top WHERE score > 0),
   step(frame, n, dets, reps) AS (
     SELECT DISTINCT frame, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM ranked
@@ -56,7 +56,7 @@ def match_greedy(spark, sf_dir):
     return matching.greedy(_candidates(spark, sf_dir)).select("frame", "det", "rep")
 
 
-@plans(f"""WITH {OBS_SQL}, {_PAIRS}, best AS (SELECT frame, det, max(score) AS best FROM top GROUP BY 1, 2), worst AS (SELECT frame, rep, max(score) AS best FROM top GROUP BY 1, 2)
+@plans(f"""WITH {OBS_SQL}, {PAIRS_SQL}, best AS (SELECT frame, det, max(score) AS best FROM top GROUP BY 1, 2), worst AS (SELECT frame, rep, max(score) AS best FROM top GROUP BY 1, 2)
   SELECT frame, det AS event_id, 'unreported' AS kind FROM det LEFT JOIN best USING (frame, det) WHERE coalesce(best, 0e0) < 0.2e0
   UNION ALL SELECT frame, rep, 'undetected' FROM rep LEFT JOIN worst USING (frame, rep) WHERE coalesce(best, 0e0) < 0.2e0""")
 def match_unmatched(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scalar
 from ..operators import asof, fusion, inference, metrics, moments, running, windows
+from ..sources import reports
 from ..sources.shared import saved, scratch_path
 from ..sources.tables import MICROS, OBS_SQL, TRACK_SQL, obs, sensed, track, truth
 from .base import Plans, r6
@@ -519,19 +520,15 @@ def columns_per_key(spark, sf_dir):
     return rows.select("uav_id", "day", F.col("r.us").alias("times"), column("lat", 7).alias("lats"), column("alt", 6).alias("alts"))
 
 
-#: What names of metrics hold that a summary takes.
-_METRIC_PARTS = ("rmse", "mae", "medae", "p90", "p95", "max", "ade", "fde", "dtw", "frechet", "hausdorff", "rpe", "outlier", "jerk", "cross", "along")
-_SUMMED = [c for columns in [*_EVALUATED.values(), "windows, head_cover, tail_cover, hausdorff"] for c in columns.split(", ") if any(part in c for part in _METRIC_PARTS)]
+_SUMMED = [c for columns in [*_EVALUATED.values(), "windows, head_cover, tail_cover, hausdorff"] for c in columns.split(", ") if any(part in c for part in reports.METRIC_PARTS)]
 
 
 @plans(f"""WITH e AS ({plans.sql['evaluation_rows']}), u AS (UNPIVOT e ON {', '.join(_SUMMED)} INTO NAME metric VALUE x)
-  SELECT metric, round(avg(x), 5) + 0 AS mean, round(median(x), 5) + 0 AS median, round(stddev_samp(x), 5) + 0 AS std FROM u GROUP BY metric""")
+  SELECT metric, round(avg(x), 10) + 0 AS mean, round(median(x), 10) + 0 AS median, round(stddev_samp(x), 10) + 0 AS std FROM u GROUP BY metric""")
 def metric_summary(spark, sf_dir):
     """Mean, median and deviation of every column that is a metric by its name."""
-    rows = evaluation_rows(spark, sf_dir)
-    chosen = [c for c in rows.columns if any(part in c for part in _METRIC_PARTS)]
-    long = rows.unpivot([], chosen, "metric", "x").where("x IS NOT NULL")
-    return long.groupBy("metric").agg(*((F.round(f("x"), 5) + 0.0).alias(n) for n, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_samp))))
+    found = reports.metric_summary(evaluation_rows(spark, sf_dir))
+    return found.select("metric", *((F.round(n, 10) + 0.0).alias(n) for n in ("mean", "median", "std")))
 
 
 @plans(f"""WITH {TRACK_SQL}, {_WIN}, x AS (UNPIVOT (SELECT gx, gy, gz, px, py, pz FROM win) ON gx, gy, gz, px, py, pz INTO NAME axis VALUE v)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -57,10 +56,6 @@ class _Folder:
     def below(self, name: str) -> _Folder:
         return _Folder(self._spark, f"{self.path}/{name}")
 
-    def stamp(self, name: str) -> str:
-        s = self._fs.getFileStatus(self._type(f"{self.path}/{name}"))
-        return f"{self.path}/{name}:{s.getLen()}:{s.getModificationTime()}"
-
 
 def _units(root: _Folder, prefix: str) -> Iterator[Unit]:
     sensors = lambda f: any(f.has(name) for name in FILES.values())
@@ -117,10 +112,20 @@ def convert(spark: SparkSession, root: str, out: str, specs: dict[str, Spec] | N
 
 
 def signature(spark: SparkSession, root: str, prefix: str = "batch", **settings: object) -> str:
-    """Changes with the path, size and time of any file of the units, and with
-    any setting."""
-    stamps = [_Folder(spark, u.path).stamp(name) for u in units(spark, root, prefix) for name in (TRUTH, *FILES.values()) if _Folder(spark, u.path).has(name)]
-    return hashlib.md5("|".join([*sorted(stamps), *(f"{k}={v!r}" for k, v in sorted(settings.items()))]).encode()).hexdigest()
+    """A key for what the units' files and the settings are now.
+
+    Spark lists the files with their lengths and times, without reading them,
+    and hashes that table together with one of the settings.  The hashes are
+    combined by exclusive or, so no order counts and nothing is sorted; 128
+    bits keep different states apart.
+    """
+    stated = spark.createDataFrame([(k, repr(v)) for k, v in settings.items()], "name string, value string")
+    state = stated.select(F.lit("setting").alias("kind"), "name", "value")
+    if found := units(spark, root, prefix):
+        known = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{','.join((TRUTH, *FILES.values()))}}}").load([u.path for u in found])
+        state = state.unionByName(known.select(F.lit("file").alias("kind"), F.col("path").alias("name"), F.concat_ws(" ", "length", F.unix_micros("modificationTime")).alias("value")))
+    half = lambda n: F.coalesce(F.bit_xor(F.xxhash64(F.lit(n), "kind", "name", "value")), F.lit(0).cast("long"))
+    return state.agg(F.format_string("%016x%016x", half(1), half(2))).first()[0]
 
 
 def cached(spark: SparkSession, folder: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:

@@ -8,12 +8,13 @@ import json
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 # The columns of each kind of file, and other names they go by.
 BASE = "timestamp double, uav_id string, lat double, lon double, alt double, vx double, vy double, vz double, speed double"
+_SEEN = "time double, id string, lat double, lon double, alt double, vx double, vy double"
 _TAIL = "scenario_tag string, missing_flag int, blackout_flag int, arrival_time double"
 SCHEMAS = {
     "truth": BASE,
@@ -21,6 +22,8 @@ SCHEMAS = {
     "radar": f"{BASE}, {_TAIL}, E double, Ptrk double",
     "fiveg": f"{BASE}, {_TAIL}, SNR double, RSSI double, d double, ploss double",
     "tdoa": f"{BASE}, {_TAIL}, eps_sync double, e double",
+    "detected": f"{_SEEN}, confidence double",
+    "reported": f"{_SEEN}, snr double, rssi double, delay double, coverage double",
     "acoustic": f"timestamp double, uav_id string, detected_flag int, spl_db double, acoustic_energy double, {_TAIL}, SNRa double, n double",
 }
 ALIASES = {"id": "uav_id", "source_conf": "confidence"}
@@ -102,10 +105,23 @@ def write_tracks(rows: DataFrame, path: str, kind: str = "csv") -> None:
 def read_jsonl(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
     """Lines of JSON with ``_line``, an increasing number for each line of a
     file in order; blank lines are dropped and broken ones are null rows.
-    ``limit`` counts the lines of the file, blank ones too."""
+    ``limit`` takes the first lines of each file, blank ones counted."""
     text = spark.read.text(path)
-    lines = (text if limit is None else text.limit(limit)).withColumn("_line", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    return lines.select("_line", F.from_json("value", schema).alias("_row")).select("_line", "_row.*")
+    lines = text.select("value", F.monotonically_increasing_id().alias("_line"), *(text.metadataColumn("_metadata")[c].alias(f"_{c}") for c in ("file_path", "file_block_start")))
+    if limit is not None:
+        lines = _first_lines(lines, limit)
+    return lines.where(F.trim("value") != "").select("_line", F.from_json("value", schema).alias("_row")).select("_line", "_row.*")
+
+
+def _first_lines(lines: DataFrame, limit: int) -> DataFrame:
+    """The first lines of each file: the blocks that Spark reads a file by are
+    counted, which tells how many lines precede each, whatever order tasks
+    end in.  A file's blocks are few, one for each of some 100 MB."""
+    block = ["_file_path", "_file_block_start"]
+    earlier = Window.partitionBy("_file_path").orderBy("_file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy(*block).agg(F.min("_line").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    wanted = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where(F.col("_before") < limit).drop("_n")
+    return lines.join(wanted, block).where(F.col("_before") + F.col("_line") - F.col("_first") < limit)
 
 
 def write_jsonl(rows: DataFrame, path: str, batch: str) -> None:
