@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -63,9 +63,11 @@ def greedy(pairs: DataFrame, small: int = 20_000) -> DataFrame:
     det, rep) were taken again and again.
 
     A frame of up to ``small`` pairs is solved by one task, in that order.
-    In a larger one, a pair that is best for both its sides is taken by any
-    order, so all of these are taken at once, and rounds go on with what is
-    left until that is small too or nothing is left.
+    A larger one goes in rounds: each takes what its best ``small`` pairs come
+    to, as worse ones can't change that, and with them all pairs that are best
+    for both their sides.  So a frame of n pairs has n / ``small`` rounds at
+    most, also where every pair waits for the one before it, and about log n
+    where scores are mixed.
     """
     def solve(pairs: pd.DataFrame) -> pd.DataFrame:
         order = pairs.sort_values(["score", "det", "rep"], ascending=False, kind="stable")
@@ -89,11 +91,21 @@ def greedy(pairs: DataFrame, small: int = 20_000) -> DataFrame:
         left = left.join(sizes, "frame", "left_semi")
         best = lambda side: F.max(rank).over(Window.partitionBy("frame", side))
         marked = left.withColumns({"_d": best("det"), "_r": best("rep")})
-        won = saved(marked.where((F.col("_d") == rank) & (F.col("_r") == rank)).drop("_d", "_r"), "won")
+        mutual = marked.where((F.col("_d") == rank) & (F.col("_r") == rank)).drop("_d", "_r")
+        won = saved(solved(_first(left, rank, small)).unionByName(mutual).distinct(), "won")
         taken.append(won)
         left = saved(left.join(won.select("frame", "det"), ["frame", "det"], "left_anti").join(won.select("frame", "rep"), ["frame", "rep"], "left_anti").select(*left.columns), "left")
 
 
+def _first(pairs: DataFrame, rank: Column, n: int) -> DataFrame:
+    """Each frame's n greatest pairs, of 64 parts of the frame first, so one
+    task gets 64 n rows of a frame at most."""
+    for keys in (["frame", F.pmod(F.xxhash64("det", "rep"), F.lit(64))], ["frame"]):
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(rank.desc()))
+        pairs = pairs.withColumn("_n", number).where(F.col("_n") <= n).drop("_n")
+    return pairs
+
+
 def unmatched(pairs: DataFrame, everything: DataFrame, side: str, least: float) -> DataFrame:
     """The rows (frame, ``side``) of ``everything`` whose best score of any
     pair is below ``least``, those without a pair included."""
@@ -146,3 +158,51 @@ def neighbours(points: DataFrame, key: str, index: str, axes: list[str], k: int,
     if not own:
         return found
     return found.unionByName(found.select(key, F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
+
+
+def nearest(points: DataFrame, key: str, index: str, axes: list[str], k: int, finest: float = 0.0625, levels: int = 15) -> DataFrame:
+    """Pairs (``key``, i, j, place) of each point's ``k`` nearest others with
+    the same key, by distance over ``axes`` and then by index: exact, for keys
+    of any size.  Points with a null or NaN coordinate take no part; a key of
+    fewer points has all pairs.
+
+    Cells of widths ``finest`` times powers of 4 are counted.  A point takes
+    the smallest of its cells that holds more than ``k`` points; the k-th
+    distance in there bounds the ball that is then looked through, cell by
+    cell of that width.  Points that no cell does for, as their key has few or
+    they lie about the origin or beyond all cells, see their whole key.  Of
+    points in one place only the first k + 1 can be neighbours, so the others
+    take the first k and are in no search.
+    """
+    top, width = levels, lambda level: F.lit(finest) * F.pow(F.lit(4.0), level)
+    cells = [f"_c{n}" for n in range(len(axes))]
+    cell = lambda x, level: F.floor(x / width(level))
+    there = points.select(key, F.col(index).alias("i"), *(F.col(a).cast("double").alias(a) for a in axes))
+    there = there.where(" AND ".join(f"NOT isnan({a}) AND {a} IS NOT NULL" for a in axes))
+    there = saved(there.select(key, "i", *axes, F.row_number().over(Window.partitionBy(key, *axes).orderBy("i")).alias("_n")), "points")
+    few = there.where(F.col("_n") <= k + 1).drop("_n")
+
+    offered = few.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    offered = offered.withColumns({c: F.when(F.col("_level") < top, cell(F.col(a), F.col("_level"))).otherwise(F.lit(0).cast("long")) for c, a in zip(cells, axes, strict=True)})
+    full = offered.where(F.col("_level") < top).groupBy(key, "_level", *cells).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > k).drop("_size")
+    fits = offered.join(full, [key, "_level", *cells]).groupBy(key, "i").agg(F.min("_level").alias("_level"))
+    asking = saved(few.join(fits, [key, "i"], "left").withColumn("_level", F.coalesce("_level", F.lit(top))), "asking")
+    offers = offered.withColumnRenamed("i", "j").withColumnsRenamed({a: f"_{a}" for a in axes})
+
+    def pairs(rows: DataFrame, most: Column) -> DataFrame:
+        gap = geo.norm(*(F.col(a) - F.col(f"_{a}") for a in axes))
+        near = rows.join(offers, [key, "_level", *cells]).where(F.col("i") != F.col("j")).withColumn("_gap", F.round(gap, 9)).where(most)
+        place = F.row_number().over(Window.partitionBy(key, "i").orderBy("_gap", "j"))
+        return near.withColumn("place", place).where(F.col("place") <= k)
+
+    inside = asking.where(F.col("_level") < top)
+    own = pairs(inside.withColumns({c: cell(F.col(a), F.col("_level")) for c, a in zip(cells, axes, strict=True)}), F.lit(True))
+    bound = own.groupBy(key, "i").agg((F.max("_gap") + 1e-6).alias("_most"))
+    ball = inside.join(bound, [key, "i"])
+    for c, a in zip(cells, axes, strict=True):
+        ball = ball.withColumn(c, F.explode(F.sequence(*(cell(F.col(a) + sign * F.col("_most"), F.col("_level")) for sign in (-1, 1)))))
+    around = pairs(ball, F.col("_gap") <= F.col("_most"))
+    wide = pairs(asking.where(F.col("_level") == top).withColumns({c: F.lit(0).cast("long") for c in cells}), F.lit(True))
+    first = there.where(F.col("_n") <= k).select(key, *axes, F.col("i").alias("j"), F.col("_n").alias("place"))
+    rest = there.where(F.col("_n") > k + 1).drop("_n").join(first, [key, *axes])
+    return reduce(DataFrame.unionByName, [x.select(key, "i", "j", "place") for x in (around, wide, rest)])

@@ -134,6 +134,16 @@ def knn_others(spark, sf_dir):
     return matching.neighbours(track(spark, sf_dir), "uav_id", "t_idx", ["gx", "gy", "gz"], 6, own=False)
 
 
+@plans(f"""WITH {OBS_SQL}, p AS (SELECT us // {DAY}::BIGINT AS frame, event_id AS i, round(radians(lon - 5e0) * cos(radians(45e0)) * 6378137e0, 3) AS x, round(radians(lat - 45e0) * 6378137e0, 3) AS y, alt AS z FROM obs WHERE modality = 'gps' AND lat IS NOT NULL AND lon IS NOT NULL AND alt IS NOT NULL),
+  q AS (SELECT a.frame, a.i, b.i AS j, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS gap FROM p a JOIN p b ON a.frame = b.frame AND a.i <> b.i)
+  SELECT frame, i, j, row_number() OVER (PARTITION BY frame, i ORDER BY round(gap, 9), j) AS place FROM q QUALIFY place <= 6""")
+def knn_frame(spark, sf_dir):
+    """Every detection's six nearest others of its frame, here a day, whatever the frame's size."""
+    lat, lon = F.radians(F.col("lat") - 45.0), F.radians(F.col("lon") - 5.0) * F.cos(F.radians(F.lit(45.0)))
+    points = obs(spark, sf_dir, ("click",)).select(F.floor(F.col("us") / DAY).alias("frame"), "event_id", F.round(lon * 6378137.0, 3).alias("x"), F.round(lat * 6378137.0, 3).alias("y"), F.col("alt").alias("z"))
+    return matching.nearest(points, "frame", "event_id", ["x", "y", "z"], 6)
+
+
 _ARC = "sqrt(pow(radians({b} - lon) * cos(radians((lat + {a}) / 2e0)), 2) + pow(radians({a} - lat), 2)) * 6371000e0"
 _REACH = " ".join(f"WHEN '{m}' THEN greatest(0e0, least(1e0, {_ARC.format(a=f'{a}e0', b=f'{b}e0')} / {r}e0))" for m, (a, b, r) in intervals.ANCHORS.items())
 _ZONE = ", ".join(f"CASE WHEN {_ARC.format(a=f'{a}e0', b=f'{b}e0')} <= {r}e0 THEN {s}e0 ELSE 0e0 END" for a, b, r, s in intervals.ZONES)
