@@ -102,9 +102,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], task: int, path: str, end_id: int
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids: int = 2_000_000) -> None:
     """Writes the ids of whole documents, ``end_id`` after each, in ascending
     order of doc_id.  Null texts are empty; a null doc_id comes first; rows
-    that repeat a doc_id are written each, in order of their texts.  Other
-    columns are ignored.  Blocks hold ``block_ids`` ids or somewhat more."""
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    that repeat a doc_id are written each, in order of the first 64 characters
+    of their texts and then of the texts' hashes.  Ranges are cut by all of
+    these and by the rows' numbers, so a doc_id that a third of the rows have
+    is many tasks.  Other columns are ignored.  Blocks hold ``block_ids`` ids
+    or somewhat more."""
+    order = [F.col("doc_id"), F.substring("text", 1, 64), F.xxhash64("text"), F.col("_row")]
+    dealt = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    ordered = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     blocks = map_batches(ordered, partial(_blocks, path=tokenizer, end_id=end_id, block_ids=block_ids), BLOCK_SCHEMA)
     blocks.write.option("compression", "zstd").parquet(path)
 

@@ -69,6 +69,18 @@ def test_token_files_edge_rows(spark, tmp_path):
     assert token_files.read_documents(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_one_doc_id_is_many_tasks(spark, tmp_path):
+    rows = [(7, "the same start of a text" if n % 3 else f"{n:04d} text") for n in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as the rows are few
+    try:
+        token_files.write_tokens(documents(spark, rows), f"file://{tmp_path}/h", queries.tokenizer(), block_ids=50)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got(token_files.read_documents(spark, f"file://{tmp_path}/h")) == expected(sorted(rows, key=lambda r: r[1]))
+    per_part = [r["n"] for r in spark.read.parquet(f"file://{tmp_path}/h").groupBy("part").agg(token_files.F.sum(token_files.F.size("counts")).alias("n")).collect()]
+    assert len(per_part) == 8 and max(per_part) < 3000 / 4
+
+
 @settings(deadline=None, max_examples=100)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=60))
 def test_variable_length_round_trip(values):
