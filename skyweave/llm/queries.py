@@ -85,6 +85,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     revision = docs.where(revised).select("lang", "text", sides.alias("side")).select("side.source", "lang", "text", "side.sign")
     rollup.commit("load", load)
     rollup.commit("revision", revision, "sign")
+    rollup.compact()
     rollup.commit("load", load)  # replays, which change nothing
     rollup.commit("revision", revision, "sign")
     return rollup.totals()
