@@ -19,7 +19,7 @@ that are stored between passes still hold words.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -272,24 +272,24 @@ def _first_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _tree_sum(batches, "u4")
 
 
-def _last_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _tree_sum(batches, "i8")
-
-
 _LEVEL = "slot long, left long, right long, n long"
 
 
-def _by_slot(batches: Iterator[pa.RecordBatch], task: int, block) -> Iterator[pa.RecordBatch]:
-    """A row for each slot: what its key is made of, and its count."""
-    candidates: Candidates = block.value
-    for batch in batches:
-        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
-            n = np.frombuffer(counts.as_buffer(), np.int64)
-            at = np.arange(part * _SLOTS, part * _SLOTS + len(n))
+def _by_slot(block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Ends the tree: a row for each slot, what its key is made of and its
+    count.  One function does both, so a task holds one Python worker."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        candidates: Candidates = block.value
+        for batch in _tree_sum(batches, "i8"):
+            n = np.frombuffer(batch.column("counts")[0].as_buffer(), np.int64)
+            at = np.arange(len(n)) + batch.column("part")[0].as_py() * _SLOTS
             keys = candidates.hash.keys[at]
             columns = at + candidates.first, (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), n
             yield pa.record_batch([pa.array(x) for x in columns], names=["slot", "left", "right", "n"])
 
+    return rows
+
 
 def _numbered(batches: Iterator[pa.RecordBatch], task: int, block) -> Iterator[pa.RecordBatch]:
     """The words of a block with their slots."""
@@ -339,8 +339,7 @@ def _next_level(sequences: DataFrame, s: Settings, final: bool) -> tuple[DataFra
         found = stored(map_batches(sequences, partial(_found, block=block, last=last, final=final), _FOUND), "phrase-found")
         sums = found.where("part IS NOT NULL").select("part", "task", "counts")
         sums = sums.groupBy("part", F.pmod("task", F.lit(64)).alias("of")).applyInArrow(_first_sums, "part long, task int, counts binary")
-        sums = sums.groupBy("part").applyInArrow(_last_sums, "part long, task int, counts binary")
-        level.append(stored(map_batches(sums, partial(_by_slot, block=block), _LEVEL), "phrase-level"))
+        level.append(stored(sums.groupBy("part").applyInArrow(_by_slot(block), _LEVEL), "phrase-level"))
         if not final:
             own = found.where("part IS NULL")
             sequences = own.select(F.col("found").alias("slots")) if last else own.select("slots", "found")
