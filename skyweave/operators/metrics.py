@@ -1,14 +1,10 @@
-"""Accuracy and path-similarity metrics of tracks."""
+"""Accuracy metrics of tracks, and how far two paths are apart at most."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 from operator import and_
-from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,54 +63,6 @@ def with_jerk(track: DataFrame, columns: tuple[str, str, str], name: str) -> Dat
     return track.withColumn(name, norm(*map(third, columns)))
 
 
-def _diagonal(d: int, n: int, m: int, band: int | None) -> np.ndarray:
-    """The i of the cells (i, d - i) that count."""
-    low, high = max(1, d - m), min(n, d - 1)
-    if band is not None:
-        low, high = max(low, -((band - d) // 2)), min(high, (d + band) // 2)
-    return np.arange(low, high + 1)
-
-
-def _warped(a: np.ndarray, b: np.ndarray, join, band: int | None) -> float:
-    """The least cost of any way through the matrix of distances, as ``join``
-    adds a cell's to that of the way so far.  Works along anti-diagonals, so
-    it holds three of them."""
-    n, m = len(a), len(b)
-    before, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
-    before[0] = 0.0  # the corner; cell (i, j) of a diagonal is at i
-    for d in range(2, n + m + 1):
-        i = _diagonal(d, n, m, band)
-        cost = np.hypot(*(a[i - 1] - b[d - i - 1]).T)
-        now = np.full(n + 1, np.inf)
-        now[i] = join(cost, np.minimum(np.minimum(last[i - 1], last[i]), before[i - 1]))
-        before, last = last, now
-    return float(last[n])
-
-
-def dtw(a: np.ndarray, b: np.ndarray, band: int | None = None) -> float:
-    """Dynamic time warping of two point rows, by the longer one's length.
-    ``band`` keeps to cells whose steps differ by that much at most, so time
-    grows with the length and not its square; infinite if no way fits."""
-    return _warped(a, b, np.add, band) / max(len(a), len(b))
-
-
-def frechet(a: np.ndarray, b: np.ndarray, band: int | None = None) -> float:
-    """The discrete Frechet distance of two point rows; ``band`` as for dtw()."""
-    return _warped(a, b, np.maximum, band)
-
-
-def path_distance(track: DataFrame, metric: Callable[..., float], name: str, band: int | None = None) -> DataFrame:
-    """A sequential metric of each track's plane points: the recurrence needs
-    a track as a whole, so a track is a group, held in one task in memory
-    linear in its length."""
-
-    def one(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t_idx")
-        return pd.DataFrame({"uav_id": [key[0]], name: [metric(rows[["gx", "gy"]].to_numpy(), rows[["px", "py"]].to_numpy(), band)]})
-
-    return track.select("uav_id", "t_idx", "gx", "gy", "px", "py").groupBy("uav_id").applyInPandas(one, f"uav_id long, {name} double")
-
-
 def nearest_distances(points: DataFrame, others: DataFrame, keys: list[str], index: str) -> DataFrame:
     """``keys``, ``index`` and ``d``, the distance of each point (x, y) to the
     nearest other (u, v) of its keys.

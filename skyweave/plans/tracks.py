@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, scalar
-from ..operators import asof, fusion, inference, metrics, moments, running, windows
+from ..operators import asof, fusion, inference, metrics, moments, paths, running, windows
 from ..sources import reports
 from ..sources.shared import saved, scratch_path
 from ..sources.tables import MICROS, OBS_SQL, TRACK_SQL, obs, sensed, track, truth
@@ -281,12 +281,12 @@ def _path_sql(name, join, by):
 
 @plans(_path_sql("dtw", "{cost} + {way}", " / greatest(len(g), len(p))"))
 def dtw(spark, sf_dir):
-    return metrics.path_distance(track(spark, sf_dir), metrics.dtw, "dtw").select("uav_id", r6(F.col("dtw")).alias("dtw"))
+    return paths.path_distances(track(spark, sf_dir)).select("uav_id", r6(F.col("dtw")).alias("dtw"))
 
 
 @plans(_path_sql("frechet", "greatest({cost}, {way})", ""))
 def frechet(spark, sf_dir):
-    return metrics.path_distance(track(spark, sf_dir), metrics.frechet, "frechet").select("uav_id", r6(F.col("frechet")).alias("frechet"))
+    return paths.path_distances(track(spark, sf_dir)).select("uav_id", r6(F.col("frechet")).alias("frechet"))
 
 
 _RMSE = f"e AS (SELECT uav_id, sqrt(avg(d * d)) AS rmse, avg(d) AS mae FROM (SELECT uav_id, {_D} AS d FROM track) GROUP BY uav_id)"
@@ -357,6 +357,25 @@ def sensor_gap_report(spark, sf_dir):
     return both.agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg(metres), 5) + 0.0).alias("mean_gap_m"), (F.round(F.max(metres), 5) + 0.0).alias("max_gap_m"), r6(F.corr("gap", "confidence_gps")).alias("corr_gap_conf"))
 
 
+_GAP = "sqrt(pow(radians(lon - t_lon) * cos(radians(lat0)) * 6378137e0, 2) + pow(radians(lat - t_lat) * 6378137e0, 2) + pow(alt - t_alt, 2))"
+
+
+@plans(f"""WITH {NEAR_SQL}, ref AS (SELECT uav_id, arg_min(lat, us) AS lat0 FROM t GROUP BY uav_id),
+  d AS (SELECT near.uav_id, modality, {_GAP} AS d FROM near JOIN ref ON near.uav_id = ref.uav_id WHERE abs(us - t_us) <= {HOURS6}::BIGINT AND lat IS NOT NULL AND lon IS NOT NULL AND alt IS NOT NULL)
+  SELECT uav_id, modality, count(*) AS n, round(sqrt(avg(d * d)), 3) + 0 AS rmse, round(avg(d), 3) + 0 AS mae, round(quantile_cont(d, 0.5), 3) + 0 AS medae, round(max(d), 3) + 0 AS max_err FROM d GROUP BY uav_id, modality""")
+def modality_errors(spark, sf_dir):
+    """Each sensor's errors against the nearest truth, in the plane about the object's first truth row."""
+    seen = sensed(spark, sf_dir).where("lat IS NOT NULL AND lon IS NOT NULL AND alt IS NOT NULL")
+    known = truth(spark, sf_dir)
+    first = known.groupBy("uav_id").agg(F.min_by(F.struct("lat", "lon", "alt"), "us").alias("o"))
+    near = asof.nearest(seen, known, "uav_id", "us", POS, HOURS6).join(first, "uav_id")
+    plane = lambda p: geo.enu(*(F.col(p + c) for c in POS), *(F.col(f"o.{c}") for c in POS))
+    d = geo.norm(*(a - b for a, b in zip(plane(""), plane("t_"), strict=True)))
+    distances = saved(near.select("uav_id", "modality", d.alias("d")), "distances")
+    out = metrics.error_stats(distances, ["uav_id", "modality"], "d", F.count(F.lit(1)).alias("n"))
+    return out.select("uav_id", "modality", "n", *((F.round(c, 3) + 0.0).alias(c) for c in ("rmse", "mae", "medae", "max_err")))
+
+
 def _own(name, columns):
     return f"SELECT uav_id, {columns} FROM ({plans.sql[name]})"
 
@@ -366,12 +385,23 @@ _COVERED = f"""(WITH {TRACK_SQL}, {_WIN}, c AS (SELECT t.uav_id, t.t_idx, count(
   SELECT uav_id, greatest(0, (max(len) - {W_SIZE}) // {W_STRIDE} + 1)::BIGINT AS windows, round(avg(cover) FILTER (t_idx < 20), 6) + 0 AS head_cover, round(avg(cover) FILTER (t_idx >= len - 20), 6) + 0 AS tail_cover FROM c GROUP BY uav_id)"""
 
 
-_JOINED = [*(f"({_own(n, c)})" for n, c in _EVALUATED.items()), _COVERED, f"({plans.sql['hausdorff']})"]
+# Errors in the plane and in height, and each sensor's own, by name of the column.
+_STATS = {"rmse": "sqrt(avg({d} * {d}))", "mae": "avg({d})", "medae": "quantile_cont({d}, 0.5)", "p90": "quantile_cont({d}, 0.9)", "p95": "quantile_cont({d}, 0.95)", "max_err": "max({d})"}
+_PARTS = {"xy": "sqrt(pow(px - gx, 2) + pow(py - gy, 2))", "z": "abs(pz - gz)"}
+_PART_NAMES = [f"{p}_{n}" for p in _PARTS for n in _STATS]
+_SENSORS = ("gps", "radar", "fiveg", "tdoa")
+_SENSOR_STATS = ("rmse", "mae", "medae", "max_err")
+_SENSOR_NAMES = [f"{m}_{n}" for m in _SENSORS for n in _SENSOR_STATS]
+_PART_SQL = f"(WITH {TRACK_SQL} SELECT uav_id, {', '.join(f'round({x.format(d=d)}, 6) + 0 AS {p}_{n}' for p, d in _PARTS.items() for n, x in _STATS.items())} FROM track GROUP BY uav_id)"
+_SENSOR_SQL = f"(SELECT uav_id, {', '.join(f"max({n}) FILTER (modality = '{m}') AS {m}_{n}" for m in _SENSORS for n in _SENSOR_STATS)} FROM ({plans.sql['modality_errors']}) GROUP BY uav_id)"
+_JOINED = [*(f"({_own(n, c)})" for n, c in _EVALUATED.items()), _COVERED, _PART_SQL, *(f"({plans.sql[n]})" for n in ("hausdorff", "dtw", "frechet"))]
 
 
-@plans(f"SELECT * FROM {_JOINED[0]} " + " ".join(f"JOIN {part} USING (uav_id)" for part in _JOINED[1:]))
+@plans(f"SELECT * FROM {_JOINED[0]} " + " ".join(f"JOIN {part} USING (uav_id)" for part in _JOINED[1:]) + f" LEFT JOIN {_SENSOR_SQL} USING (uav_id)")
 def evaluation_rows(spark, sf_dir):
-    """A row with all metrics of each object: every track is sorted once."""
+    """A row with all metrics of each object, those of its sensors where it has
+    any included: every track is sorted once for its steps, and all errors'
+    quantiles are one pass over ranks."""
     rows = metrics.along_cross(windows.with_length(track(spark, sf_dir), "uav_id"))
     for h in (1, 5, 10):
         rows = metrics.with_relative_error(rows, h).withColumnRenamed("rpe", f"d{h}")
@@ -390,30 +420,18 @@ def evaluation_rows(spark, sf_dir):
     }
     whole = windows.number_of(F.max("length"), W_SIZE, W_STRIDE)
     rows = saved(rows, "evaluated")  # read by ranks again
-    out = metrics.error_stats(rows, ["uav_id"], "d", F.count(F.lit(1)).alias("n"), whole.alias("windows"), *(c.alias(n) for n, c in made.items()))
-    out = out.join(metrics.hausdorff(track(spark, sf_dir)), "uav_id")
+    out = rows.groupBy("uav_id").agg(F.count(F.lit(1)).alias("n"), whole.alias("windows"), *(c.alias(n) for n, c in made.items()))
+    kinds = {"": F.col("d"), "xy_": F.col("d2"), "z_": F.abs(F.col("pz") - F.col("gz"))}
+    errors = rows.select("uav_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), d.alias("d")) for k, d in kinds.items()))).alias("e")).select("uav_id", "e.*")
+    stats = metrics.error_stats(errors, ["uav_id", "kind"], "d")
+    out = out.join(stats.groupBy("uav_id").agg(*(F.max(F.when(F.col("kind") == k, F.col(n))).alias(k + n) for k in kinds for n in _STATS)), "uav_id")
+    for more in (metrics.hausdorff(track(spark, sf_dir)), paths.path_distances(track(spark, sf_dir))):
+        out = out.join(more, "uav_id")
+    sensors = modality_errors(spark, sf_dir).groupBy("uav_id").agg(*(F.max(F.when(F.col("modality") == m, F.col(n))).alias(f"{m}_{n}") for m in _SENSORS for n in _SENSOR_STATS))
+    out = out.join(sensors, "uav_id", "left")
     return out.select("uav_id", "n", "windows", *(r6(F.col(c)).alias(c) for c in out.columns if c not in ("uav_id", "n", "windows")))
 
 
-_GAP = "sqrt(pow(radians(lon - t_lon) * cos(radians(lat0)) * 6378137e0, 2) + pow(radians(lat - t_lat) * 6378137e0, 2) + pow(alt - t_alt, 2))"
-
-
-@plans(f"""WITH {NEAR_SQL}, ref AS (SELECT uav_id, arg_min(lat, us) AS lat0 FROM t GROUP BY uav_id),
-  d AS (SELECT near.uav_id, modality, {_GAP} AS d FROM near JOIN ref ON near.uav_id = ref.uav_id WHERE abs(us - t_us) <= {HOURS6}::BIGINT AND lat IS NOT NULL AND lon IS NOT NULL AND alt IS NOT NULL)
-  SELECT uav_id, modality, count(*) AS n, round(sqrt(avg(d * d)), 3) + 0 AS rmse, round(avg(d), 3) + 0 AS mae, round(quantile_cont(d, 0.5), 3) + 0 AS medae, round(max(d), 3) + 0 AS max_err FROM d GROUP BY uav_id, modality""")
-def modality_errors(spark, sf_dir):
-    """Each sensor's errors against the nearest truth, in the plane about the object's first truth row."""
-    seen = sensed(spark, sf_dir).where("lat IS NOT NULL AND lon IS NOT NULL AND alt IS NOT NULL")
-    known = truth(spark, sf_dir)
-    first = known.groupBy("uav_id").agg(F.min_by(F.struct("lat", "lon", "alt"), "us").alias("o"))
-    near = asof.nearest(seen, known, "uav_id", "us", POS, HOURS6).join(first, "uav_id")
-    plane = lambda p: geo.enu(*(F.col(p + c) for c in POS), *(F.col(f"o.{c}") for c in POS))
-    d = geo.norm(*(a - b for a, b in zip(plane(""), plane("t_"), strict=True)))
-    distances = saved(near.select("uav_id", "modality", d.alias("d")), "distances")
-    out = metrics.error_stats(distances, ["uav_id", "modality"], "d", F.count(F.lit(1)).alias("n"))
-    return out.select("uav_id", "modality", "n", *((F.round(c, 3) + 0.0).alias(c) for c in ("rmse", "mae", "medae", "max_err")))
-
-
 _STEP_ORDER = "CASE modality WHEN 'gps' THEN 0 WHEN 'radar' THEN 1 WHEN 'fiveg' THEN 2 ELSE 3 END"
 
 
@@ -520,7 +538,7 @@ def columns_per_key(spark, sf_dir):
     return rows.select("uav_id", "day", F.col("r.us").alias("times"), column("lat", 7).alias("lats"), column("alt", 6).alias("alts"))
 
 
-_SUMMED = [c for columns in [*_EVALUATED.values(), "windows, head_cover, tail_cover, hausdorff"] for c in columns.split(", ") if any(part in c for part in reports.METRIC_PARTS)]
+_SUMMED = [c for columns in [*_EVALUATED.values(), "windows, head_cover, tail_cover, hausdorff, dtw, frechet", ", ".join(_PART_NAMES + _SENSOR_NAMES)] for c in columns.split(", ") if any(part in c for part in reports.METRIC_PARTS)]
 
 
 @plans(f"""WITH e AS ({plans.sql['evaluation_rows']}), u AS (UNPIVOT e ON {', '.join(_SUMMED)} INTO NAME metric VALUE x)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyweave.functions import alerts, confidence, geo, scalar
-from skyweave.operators import running, asof, intervals, matching, metrics, numbering, windows
+from skyweave.operators import running, asof, intervals, matching, metrics, numbering, paths, windows
 from skyweave.plans.scalars import confidence as spec_module
 
 
@@ -87,8 +87,8 @@ def test_track_metrics(spark):
     ac = metrics.along_cross(track).agg(F.max(F.abs("along")), F.sqrt(F.avg(F.col("across") * F.col("across"))), F.avg("across")).first()
     assert tuple(ac) == pytest.approx((0.0, 1.3228757, 1.25), abs=1e-6)
     assert metrics.with_jerk(track, ("px", "py", "pz"), "j").agg(F.avg("j")).first()[0] == pytest.approx(3.0)
-    assert metrics.path_distance(track, metrics.dtw, "x").first().x == pytest.approx(1.25)
-    assert metrics.path_distance(track, metrics.frechet, "x").first().x == pytest.approx(2.0)
+    row = paths.path_distances(track).first()
+    assert (row.dtw, row.frechet) == pytest.approx((1.25, 2.0))
     assert metrics.hausdorff(track).first().hausdorff == pytest.approx(2.0)
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyweave.operators import asof, intervals, metrics, running
+from skyweave.operators import asof, intervals, metrics, paths, running
 
 R = random.Random(5)
 #: One object holds all rows; times are spread over many buckets, with gaps, ties and nulls.
@@ -140,6 +140,6 @@ def test_bands_of_path_distances():
         return d[40, 37]
 
     for band in (None, 39, 5, 3):
-        assert metrics.dtw(a, b, band) == pytest.approx(plain(lambda x, y: x + y, band) / 40)
-        assert metrics.frechet(a, b, band) == pytest.approx(plain(max, band))
-    assert metrics.dtw(a, b, 1) == np.inf
+        assert paths.dtw(a, b, band) == pytest.approx(plain(lambda x, y: x + y, band) / 40)
+        assert paths.frechet(a, b, band) == pytest.approx(plain(max, band))
+    assert paths.dtw(a, b, 1) == np.inf
