@@ -74,7 +74,7 @@ def frechet(a: np.ndarray, b: np.ndarray, band: int | None = None) -> float:
 
 def _side(track: DataFrame, side: str, size: int) -> DataFrame:
     """One path's points, numbered, with their block."""
-    rows = track.select("uav_id", "t_idx", F.col(f"{side}x").cast("double").alias("x"), F.col(f"{side}y").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    rows = track.select("uav_id", "t_idx", F.col(f"{side}x").cast("double").alias("x"), F.col(f"{side}y").cast("double").alias("y")).where("abs(x) < double('inf') AND abs(y) < double('inf')")
     numbered = with_number(rows, "uav_id", ["t_idx"], "n", 1 << 16)
     return numbered.select("uav_id", F.floor(F.col("n") / size).alias("block"), (F.col("n") % size).cast("long").alias("pos"), "x", "y")
 
@@ -89,12 +89,38 @@ def _joined(rows: DataFrame, more: DataFrame, block: bool, how: str) -> DataFram
 def path_distances(track: DataFrame, band: int | None = None, size: int = 4096) -> DataFrame:
     """``uav_id``, ``dtw`` and ``frechet`` of each track's plane points.
 
-    Tiles are ``size`` wide, so a track of n points is about n / size tasks at
-    a time for 2 n / size rounds, each in memory linear in ``size``.  With a
-    ``band`` only tiles that it meets are made; infinite if no way fits.  A
-    point that lacks a coordinate isn't part of its path; null where a path
-    has no points.  Points of one t_idx are in any order.
+    A track of up to ``size`` rows is one tile.  Tiles are ``size`` wide, so
+    one of n points is about n / size tasks at a time for 2 n / size rounds,
+    each in memory linear in ``size``.  With a ``band`` only tiles that it
+    meets are made; infinite if no way fits.  A point without two finite
+    coordinates isn't part of its path; null where a path has no points.
+    Points of one t_idx are in any order.
     """
+    rows = track.select("uav_id", "t_idx", *(F.col(c).cast("double").alias(c) for c in ("gx", "gy", "px", "py")))
+    counts = saved(rows.groupBy("uav_id").agg(F.count(F.lit(1)).alias("rows")), "path-rows")
+    long = counts.where(F.col("rows") > size).select("uav_id")
+    if long.isEmpty():
+        return _single(rows, band)
+    return _single(_joined(rows, long, False, "left_anti"), band).unionByName(_tiled(_joined(rows, long, False, "left_semi"), band, size))
+
+
+def _single(track: DataFrame, band: int | None) -> DataFrame:
+    """path_distances() of tracks of one tile."""
+
+    def one(ids: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t_idx")
+        a, b = (rows[[f"{s}x", f"{s}y"]].to_numpy(float) for s in "gp")
+        a, b = a[np.isfinite(a).all(1)], b[np.isfinite(b).all(1)]
+        total, most = _whole(a, b, band) if len(a) and len(b) else (None, None)
+        by = max(len(a), len(b))
+        return pd.DataFrame({"uav_id": pd.Series([ids[0]], dtype=object), "dtw": [total / by if by and total is not None else None], "frechet": [most]})
+
+    key = track.schema["uav_id"].dataType.simpleString()
+    return track.groupBy("uav_id").applyInPandas(one, f"uav_id {key}, dtw double, frechet double")
+
+
+def _tiled(track: DataFrame, band: int | None, size: int) -> DataFrame:
+    """path_distances() of tracks of any length, in rounds of tiles."""
     spark = track.sparkSession
     sides = {s: saved(_side(track, s, size), f"path-{s}") for s in "gp"}
     lengths = None

@@ -37,7 +37,8 @@ def test_bands_that_end_at_a_tile(spark):
 
 def test_no_way_no_points_no_rows(spark):
     a, b = np.zeros((40, 2)), np.ones((3, 2))
-    track = spark.createDataFrame(rows_of(1, a, b) + rows_of(2, a, b[:0]) + [(3, 0, None, 1.0, 1.0, None)], SCHEMA)
+    track = spark.createDataFrame(rows_of(1, a, b) + rows_of(2, a, b[:0]) + [(3, 0, None, 1.0, 1.0, None), (4, 0, math.nan, 1.0, 3.0, 4.0), (4, 1, 0.0, 0.0, math.inf, 1.0), (4, None, 0.0, 0.0, 3.0, 4.0)], SCHEMA)
     got = {r.uav_id: (r.dtw, r.frechet) for r in paths.path_distances(track, 5, 8).collect()}
-    assert got == {1: (math.inf, math.inf), 2: (None, None), 3: (None, None)}
+    assert got == {1: (math.inf, math.inf), 2: (None, None), 3: (None, None), 4: (5.0, 5.0)}
+    assert {r.uav_id: (r.dtw, r.frechet) for r in paths.path_distances(track, 5, 1000).collect()} == got
     assert paths.path_distances(track.limit(0)).count() == 0
