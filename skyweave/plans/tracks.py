@@ -509,24 +509,22 @@ def legacy_features(spark, sf_dir):
 
 
 _DENSE = ("radar", "fiveg", "tdoa")
-_STEPS = 10
+_STEPS = 20
 _SLOT = ", ".join(_ENU)
 
 
 @plans(f"""WITH {CONF_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY uav_id, modality ORDER BY us, event_id) - 1 AS t FROM conf WHERE modality IN {_DENSE}),
-  x AS (SELECT uav_id, t, modality AS m, [{_SLOT}, round(q1 / 7e0, 9) + 0, round(confidence, 9) + 0, round(t / {_STEPS - 1}e0, 9) + 0, (modality = 'radar')::INT::DOUBLE, (modality = 'fiveg')::INT::DOUBLE, (modality = 'tdoa')::INT::DOUBLE] AS f FROM n WHERE t < {_STEPS}),
+  x AS (SELECT uav_id, t, modality AS m, [{_SLOT}, round(q1 / 7e0, 9) + 0, round(confidence, 9) + 0, round((t % {_STEPS}) / {_STEPS - 1}e0, 9) + 0, (modality = 'radar')::INT::DOUBLE, (modality = 'fiveg')::INT::DOUBLE, (modality = 'tdoa')::INT::DOUBLE] AS f FROM n),
   p AS (SELECT uav_id, t, max(f) FILTER (m = 'radar') AS radar, max(f) FILTER (m = 'fiveg') AS fiveg, max(f) FILTER (m = 'tdoa') AS tdoa FROM x GROUP BY 1, 2 HAVING count(*) = 3)
-  SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY uav_id) = {_STEPS}""")
+  SELECT * FROM p""")
 def serve_tensor(spark, sf_dir):
-    """The first rows of three sensors side by side, for objects that have them all: [step, sensor, feature]."""
+    """All rows of three sensors side by side, as far as an object has them of each: [step, sensor, feature], 20 steps a tensor."""
     rows = confident(spark, sf_dir).where(F.col("modality").isin(*_DENSE)).withColumn("who", F.struct("uav_id", "modality"))
-    rows = running.with_number(rows, "who", ["us", "event_id"], "t", asof.WIDTH).where(F.col("t") < _STEPS)
+    rows = running.with_number(rows, "who", ["us", "event_id"], "t", asof.WIDTH)
     place = geo.enu(F.col("lat"), F.col("lon"), F.col("alt"), F.lit(45.0), F.lit(5.0), F.lit(100.0))
-    feature = F.array(*place, F.col("q1") / 7.0, F.col("confidence"), F.col("t") / float(_STEPS - 1), *((F.col("modality") == m).cast("double") for m in _DENSE))
+    feature = F.array(*place, F.col("q1") / 7.0, F.col("confidence"), F.col("t") % _STEPS / float(_STEPS - 1), *((F.col("modality") == m).cast("double") for m in _DENSE))
     cells = rows.select("uav_id", "t", "modality", _rounded(feature).alias("f"))
-    steps = cells.groupBy("uav_id", "t").agg(*(F.max(F.when(F.col("modality") == m, F.col("f"))).alias(m) for m in _DENSE)).dropna()
-    whole = steps.groupBy("uav_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == _STEPS).select("uav_id")
-    return steps.join(whole, "uav_id")
+    return cells.groupBy("uav_id", "t").agg(*(F.max(F.when(F.col("modality") == m, F.col("f"))).alias(m) for m in _DENSE)).dropna()
 
 
 @plans(f"""WITH {OBS_SQL} SELECT uav_id, us // 86400000000::BIGINT AS day, list(us ORDER BY us, event_id) AS times, list(round(lat, 7) + 0 ORDER BY us, event_id) AS lats, list(round(alt, 6) + 0 ORDER BY us, event_id) AS alts FROM obs WHERE modality = 'truth' GROUP BY 1, 2""")

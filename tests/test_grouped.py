@@ -82,3 +82,13 @@ def test_names_of_customers_beyond_five_digits_are_as_in_sql(spark, tmp_path):
         con.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
     for query in ("prompt_render", "prompt_with_place", "token_accounting", "answer_validate", "jsonl_last_wins"):
         assert not compare(entry.queries()[query](spark, str(tmp_path)), entry.oracle_sql()[query], con), query
+
+
+def test_serve_tensor_has_every_step_that_three_sensors_share(spark):
+    from skyweave.plans import catalog
+
+    from .oracle import SMALL, views
+
+    want = views().sql("SELECT sum(least(a, b, c)) FROM (SELECT count(*) FILTER (event_type = 'purchase') AS a, count(*) FILTER (event_type = 'signup') AS b, count(*) FILTER (event_type = 'error') AS c FROM events GROUP BY user_id)").fetchall()[0][0]
+    got = catalog.queries()["serve_tensor"](spark, SMALL)
+    assert got.count() == want > 0
