@@ -44,6 +44,5 @@ def stream_match_frames(spark, sf_dir):
     time = F.timestamp_micros("us").alias("time")
     det, rep = sides(rows.where("modality = 'gps'"), rows.where("modality = 'truth'"), time)
     both = [x.select("time", F.lit("all").alias("sector"), F.lit(side).alias("side"), F.col(side).alias("row"), "id", "lat", "lon", "alt", "vx", "vy", F.col(w).alias("weight")) for x, side, w in ((det, "det", "confidence"), (rep, "rep", "quality"))]
-    with streams.rocks(spark):
-        found = streams.run(matcher.match_stream(both[0].unionByName(both[1]), "time", 3600, "1 hour", matcher.Settings(size=500)), "stream-matches")
+    found = matcher.match_batches(both[0].unionByName(both[1]), "time", 3600, "1 hour", matcher.Settings(size=500), "stream-matches")
     return found.where("kind != 'match'").select("frame", "id", "kind", F.col("row").alias("event"), "misses", (F.col("misses") >= 3).alias("abnormal"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_below: ContextVar[str] = ContextVar("_below", default="")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,14 +39,30 @@ def _run_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in this application's part of the shared folder that nothing
     else uses."""
-    return f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_run_dir(spark)}/{_below.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def passing(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is saved in here is removed at its end, as a batch of a stream needs."""
+    path = scratch_path(spark, name)
+    token = _below.set(path.removeprefix(f"{_run_dir(spark)}/") + "/")
+    try:
+        yield
+    finally:
+        _below.reset(token)
+        drop(spark, path)
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Removes what this application has put there.  Results are read from
     it, so only call this when they have been written or shown."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop(spark, _run_dir(spark))
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
